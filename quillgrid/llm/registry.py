@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from quillgrid.llm import bpe, langid, toxicity
+from quillgrid.llm import bpe, html_text, langid, minhash, quality, toxicity
 
-MODULES = [bpe, langid, toxicity]
+MODULES = [bpe, html_text, langid, minhash, quality, toxicity]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
