@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillgrid.llm.common import bounded_sample, doc_hash_mod, table
+from quillgrid.llm.common import Scratch, bounded_sample, doc_hash_mod, table
 
 UNDETERMINED = "und"
-LONGEST = 5  # characters of the longest n-grams
+LONGEST = 4  # characters of the longest n-grams
 FLUSH = 300_000  # distinct features that a task counts before it hands them on
-REMEMBERED = 400_000
+REMEMBERED = 1_600_000  # scores of words that a worker remembers, over all languages
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -73,11 +73,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def fit(train: DataFrame, max_docs: int = 20_000, max_words: int = 50_000, max_grams: int = 10_000) -> dict:
+def fit(train: DataFrame, max_docs: int = 12_000, max_words: int = 50_000, max_grams: int = 10_000) -> dict:
     """The model: languages, and log frequencies of words and n-grams. train: doc_id, text, lang."""
     train = bounded_sample(train.where("lang is not null"), "doc_id", max_docs).where("text is not null")
     counts = train.select("lang", "text").mapInArrow(_count, "lang string, n int, feature string, count long")
-    counts = counts.groupBy("lang", "n", "feature").agg(F.sum("count").alias("count"))
+    counts = Scratch(train.sparkSession).keep(counts.groupBy("lang", "n", "feature").agg(F.sum("count").alias("count")))
     totals = {(r["lang"], r["n"]): (r["total"], r["kinds"]) for r in counts.groupBy("lang", "n").agg(F.sum("count").alias("total"), F.count("*").alias("kinds")).collect()}
     order = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "feature")
     kept = (
@@ -90,42 +90,53 @@ def fit(train: DataFrame, max_docs: int = 20_000, max_words: int = 50_000, max_g
     langs = sorted({lang for lang, _ in totals})
     index = {lang: i for i, lang in enumerate(langs)}
     # an n-gram or word that a language lacks gets half a count
-    floors = {n: np.array([math.log(0.5 / (totals.get((x, n), (0, 0))[0] + 1)) for x in langs]) for n in range(LONGEST + 1)}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+    floors = np.array([[math.log(0.5 / (totals.get((x, n), (0, 0))[0] + 1)) for x in langs] for n in range(LONGEST + 1)], np.float32)
+    places: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    rows: list[list[np.ndarray]] = [[] for _ in range(LONGEST + 1)]
     for lang, n, feature, count in zip(*(kept.column(i).to_pylist() for i in range(4)), strict=True):
-        row = tables[n].get(feature)
-        if row is None:
-            row = tables[n][feature] = floors[n].copy()
-        row[index[lang]] = math.log(count / totals[lang, n][0])
-    return {"langs": langs, "tables": tables}
+        place = places[n].setdefault(feature, len(rows[n]))
+        if place == len(rows[n]):
+            rows[n].append(floors[n].copy())
+        rows[n][place][index[lang]] = math.log(count / totals[lang, n][0])
+    # centred, so that a word tells only how the languages differ
+    tables = [np.array(r, np.float32).reshape(len(r), len(langs)) for r in rows]
+    tables = [t - t.mean(axis=1, keepdims=True) if t.size else t for t in tables]
+    return {"langs": langs, "places": places, "tables": tables}
 
 
-def word_score(model: dict, word: str) -> np.ndarray | None:
+def word_score(model: dict, word: str) -> np.ndarray:
     """Log frequencies by language; n-grams of an unseen word share one vote, from the longest length that is known."""
-    tables = model["tables"]
-    if word in tables[0]:
-        return tables[0][word]
+    places, tables = model["places"], model["tables"]
+    if (i := places[0].get(word)) is not None:
+        return tables[0][i]
     for n in range(LONGEST, 0, -1):
-        known = [tables[n][g] for g in grams_of(word, n) if g in tables[n]]
+        known = [i for g in grams_of(word, n) if (i := places[n].get(g)) is not None]
         if known:
-            return sum(known) / len(known)
-    return None
+            return tables[n][known].mean(axis=0)
+    return np.zeros(len(model["langs"]), np.float32)
 
 
 class _Scores(dict):
+    """Places of words in a table of their scores, which starts anew when it is full."""
+
     def __init__(self, model: dict):
         super().__init__()
         self.model = model
+        self.rows = np.zeros((max(20_000, REMEMBERED // max(1, len(model["langs"]))), len(model["langs"])), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        self.rows[len(self)] = word_score(self.model, word)
+        self[word] = place = len(self)
+        return place
 
-    def __missing__(self, word: str):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        row = word_score(self.model, word)
-        # centred, so that a word tells only how the languages differ
-        row = None if row is None else tuple((row - row.mean()).tolist())
-        if len(word) < 64:
-            self[word] = row
-        return row
+    def total(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(self.rows.shape[1])
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            if len(self) + len(part) > len(self.rows):
+                self.clear()
+            out += self.rows[list(map(self.__getitem__, part))].sum(axis=0, dtype=float)
+        return out
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -138,15 +149,14 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             found, score = [], []
             for text in batch.column("text"):
                 words = words_of(text.as_py())
-                rows = [r for r in map(scores.__getitem__, words) if r is not None] if langs else []
-                if not rows:
-                    found.append(UNDETERMINED if not words or not langs else langs[0])
+                if not words or not langs:
+                    found.append(UNDETERMINED)
                     score.append(0.0)
                     continue
-                total = np.array([math.fsum(x) for x in zip(*rows, strict=True)])
+                total = scores.total(words)
                 best = int(total.argmax())
                 # a long text's sum says more than its independent words do: 20 words' worth at most
-                p = np.exp((total - total[best]) * min(1.0, 20 / len(rows)))
+                p = np.exp((total - total[best]) * min(1.0, 20 / len(words)))
                 found.append(langs[best])
                 score.append(float(1 / p.sum()))
             yield pa.RecordBatch.from_arrays(
