@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from quillgrid.llm import bpe, decontaminate, html_text, langid, minhash, quality, sharding, toxicity
+from quillgrid.llm import bpe, chat, decontaminate, html_text, langid, minhash, quality, sharding, toxicity
 
-MODULES = [bpe, decontaminate, html_text, langid, minhash, quality, sharding, toxicity]
+MODULES = [bpe, chat, decontaminate, html_text, langid, minhash, quality, sharding, toxicity]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
