@@ -172,8 +172,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, max_docs: int = 30_000, max_tokens: int = 200_000) -> dict:
-    """The model from rows (doc_id, text, toxic); text may be read late: see ``train_rows``."""
+def fit(labelled: DataFrame, max_tokens: int = 100_000) -> dict:
+    """The model from rows (doc_id, text, toxic); see ``train_rows``."""
     rows = labelled.select("text", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int").alias("fold"), F.col("toxic").cast("int").alias("toxic")).persist()
     sizes = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     n = {t: sum(v for (_, x), v in sizes.items() if x == t) for t in (0, 1)}
@@ -187,10 +187,11 @@ def fit(labelled: DataFrame, max_docs: int = 30_000, max_tokens: int = 200_000)
     ratio = n[1] / n[0]
     # what tells most about the label; of the others the prefixes give the odds
     gap = F.abs(F.log((toxic + PRIOR * ratio) / (clean + PRIOR) / ratio)) * F.sqrt(toxic + clean)
-    kept = counts.where(toxic + clean > 1).withColumn("gap", gap).orderBy(F.desc("gap"), "token").limit(max_tokens).select("token", "c00", "c01", "c10", "c11").collect()
+    kept = counts.where(toxic + clean > 1).withColumn("gap", gap).orderBy(F.desc("gap"), "token").limit(max_tokens).select("token", "c00", "c01", "c10", "c11").toArrow().to_pydict()
 
     def odds(folds: tuple[int, ...]) -> dict[str, float]:
-        got = {r["token"]: (sum(r[f"c{f}1"] for f in folds), sum(r[f"c{f}0"] for f in folds)) for r in kept}
+        sums = [np.sum([kept[f"c{f}{t}"] for f in folds], axis=0).tolist() for t in (1, 0)]
+        got = dict(zip(kept["token"], zip(*sums, strict=True), strict=True))
         return _log_odds({k: v for k, v in got.items() if sum(v)}, sum(sizes.get((f, 1), 0) for f in folds), sum(sizes.get((f, 0), 0) for f in folds))
 
     both = all(sizes.get((f, t), 0) >= 5 for f in (0, 1) for t in (0, 1))
@@ -264,7 +265,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 THRESHOLD = 0.3
-MAX_DOCS = 30_000
+MAX_DOCS = 12_000
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
