@@ -36,6 +36,8 @@ PRIOR = 2.0  # weight of the prefix's odds, in documents
 MARGIN = 0.7
 LIMITS = (-2.0, 6.0)  # of a token's log-odds
 SIGNIFICANT = 0.05
+THRESHOLD = 0.3
+MAX_DOCS = 12_000
 FLUSH = 400_000
 REMEMBERED = 400_000
 
@@ -235,6 +237,30 @@ def passages(text: str | None, model: dict) -> list[tuple[int, int, float]]:
     return [x for x in expected if x[2] < SIGNIFICANT]
 
 
+def judge(text: str | None, model: dict, tokens: _Tokens) -> tuple[float, int, float | None]:
+    """Probability that the text is toxic, its number of significant passages, the least expected number of one."""
+    if "constant" in model:
+        return model["constant"], 0, None
+    n, _, found = scan(text, tokens)
+    rate, log_k = model["law"]
+    e = _evidence(n, found, model["law"])
+    z = sum(a * b for a, b in zip(model["curve"], [*e, 1.0], strict=True))
+    worst = math.exp(-max(rate * s - log_k - math.log(max(n, 10)) for *_, s in found)) if found else None
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), round(math.expm1(e[2])), worst
+
+
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs that are not toxic, with all their columns; each task filters its own, nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _Tokens(shared.value.get("odds", {}))
+        for batch in batches:
+            yield batch.filter(pa.array([judge(t.as_py(), shared.value, tokens)[0] < THRESHOLD for t in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, n_passages, worst (the least expected number of a segment by chance)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -245,17 +271,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             p, n_found, worst = [], [], []
             for text in batch.column("text"):
-                if "constant" in m:
-                    p.append(m["constant"])
-                    n_found.append(0)
-                    worst.append(None)
-                    continue
-                n, _, found = scan(text.as_py(), tokens)
-                e = _evidence(n, found, m["law"])
-                z = sum(a * b for a, b in zip(m["curve"], [*e, 1.0], strict=True))
-                p.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-                n_found.append(round(math.expm1(e[2])))
-                worst.append(math.exp(-max(m["law"][0] * s - m["law"][1] - math.log(max(n, 10)) for *_, s in found)) if found else None)
+                chance, some, least = judge(text.as_py(), m, tokens)
+                p.append(chance)
+                n_found.append(some)
+                worst.append(least)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(p, pa.float64()), pa.array(n_found, pa.int64()), pa.array(worst, pa.float64())],
                 ["doc_id", "score", "n_passages", "worst"],
@@ -264,10 +283,6 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, n_passages long, worst double")
 
 
-THRESHOLD = 0.3
-MAX_DOCS = 12_000
-
-
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document; rows whose crc32 leaves 2 by 4 are held out of the fit."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
