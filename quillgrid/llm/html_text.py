@@ -69,8 +69,8 @@ class _Element:
         self.parts: list[str] = [tag]
 
 
-def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
-    """Blocks (text, hashes of the removable subtrees around it) of the main region, all subtree hashes, the main text's digest."""
+def parse(page: str) -> tuple[list[tuple[str, list[int]]], int]:
+    """Blocks (text, hashes of the removable subtrees around it) of the main region, and the main text's digest."""
     stack = [_Element("", False, 0, -1, 0)]
     blocks: list[tuple[str, int, int]] = []  # text, region, block number
     spans: list[tuple[int, int, int, int, str]] = []  # hash, first block, end block, region, tag
@@ -157,18 +157,16 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
     main = max((r for _, r in blocks), default=0)
     kept = [i for i, (_, r) in enumerate(blocks) if r == main]
     around: dict[int, list[int]] = {i: [] for i in kept}
-    subtrees = set()
     for h, first, end, region, tag in spans:
         if tag in ("html", "body", "article", "main", "head"):
             continue
         if region == 2 and tag in PROSE:
             continue
-        subtrees.add(h)
         for i in range(first, end):
             if i in around:
                 around[i].append(h)
     out = [(blocks[i][0], around[i]) for i in kept]
-    return out, sorted(subtrees), _digest(" ".join(t for t, _ in out))
+    return out, _digest(" ".join(t for t, _ in out))
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +177,8 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             got = [parse(x.as_py() or "") for x in rows.column("html")]
             blocks = [[{"text": t, "around": a} for t, a in g[0]] for g in got]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("page_id").cast(pa.int64()), rows.column("url").cast(pa.string()), pa.array(blocks, pa.list_(block)), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.int64())],
-                ["page_id", "url", "blocks", "subtrees", "main"],
+                [rows.column("page_id").cast(pa.int64()), rows.column("url").cast(pa.string()), pa.array(blocks, pa.list_(block)), pa.array([g[1] for g in got], pa.int64())],
+                ["page_id", "url", "blocks", "main"],
             )
 
 
@@ -188,20 +186,26 @@ def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.02) -> Da
     """page_id, url, text, n_chars, n_template (subtrees removed as template) for each row of pages (page_id, url, html)."""
     scratch = Scratch(pages.sparkSession)
     parsed = pages.select("page_id", "url", "html").mapInArrow(
-        _parse_batches, "page_id long, url string, blocks array<struct<text string, around array<long>>>, subtrees array<long>, main long"
+        _parse_batches, "page_id long, url string, blocks array<struct<text string, around array<long>>>, main long"
     )
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     parsed = scratch.keep(parsed.withColumns({"row": F.monotonically_increasing_id(), "host": host}))
-    of_page = parsed.select("row", "host", "main", F.explode("subtrees").alias("subtree"))
+    # what no subtree surrounds stays as it is, and its text isn't shuffled
+    inside = parsed.withColumn("subtrees", F.array_distinct(F.flatten(F.col("blocks.around"))))
+    plain = inside.where(F.size("subtrees") == 0)
+    inside = inside.where(F.size("subtrees") > 0)
+    of_page = inside.select("row", "host", "main", F.explode("subtrees").alias("subtree"))
     # texts of one host, counted once each
     pages_of = parsed.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("of"))
     found = of_page.select("host", "subtree", "main").distinct().groupBy("host", "subtree").agg(F.count("*").alias("on"))
     template = found.where(F.col("on") >= min_pages).join(pages_of, "host").where(F.col("on") >= min_share * F.col("of")).select("host", "subtree")
     gone = of_page.join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("template"))
-    out = parsed.select("row", "page_id", "url", "blocks").join(gone, "row", "left")
+    some = inside.join(gone, "row", "left")
     kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.col("template"))))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
-    return out.select("page_id", "url", text.alias("text"), F.coalesce(F.size("template"), F.lit(0)).alias("n_template")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), F.greatest(F.lit(0), "n_template").alias("n_template"))
+    some = some.select("page_id", "url", kept.alias("blocks"), F.coalesce(F.array_size("template"), F.lit(0)).alias("n_template"))
+    out = plain.select("page_id", "url", "blocks", F.lit(0).alias("n_template")).unionByName(some)
+    text = F.array_join(F.col("blocks.text"), " ")
+    return out.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), "n_template")
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
