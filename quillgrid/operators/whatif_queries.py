@@ -6,21 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query and its SQL under the function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+from quillgrid.registry import Registry, table
 
+registry = Registry()
+query = registry.query
 
 REVENUE = "sum(l_extendedprice * (1 - l_discount) * (1 + l_tax))"
 
@@ -44,7 +33,7 @@ def tornado_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The three sums that revenue is linear in are taken in one pass; scenarios multiply those, not the rows.
     """
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = table(spark, sf_dir, "lineitem")
     e, d, t = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
     sums = li.agg(F.sum(e).alias("e"), F.sum(e * d).alias("ed"), F.sum(e * t).alias("et"), F.sum(e * d * t).alias("edt"))
     scenarios = spark.sql(
