@@ -59,20 +59,21 @@ class _Search:
         return max(1, -(-(self.high - self.low + 1) // BINS))
 
 
-def _of_nodes(rows: DataFrame, columns: str, values: list[tuple]) -> DataFrame:
+def _of_nodes(rows: DataFrame, columns: list[str], values: list[tuple[int | None, ...]]) -> DataFrame:
     """Rows with what holds for their node; there are fewer nodes than shards, so the table is tiny."""
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(values, columns)), "node")
+    each = F.array(*(F.struct(*(F.lit(v).cast("long").alias(c) for c, v in zip(columns, x, strict=True))) for x in values))
+    return rows.join(F.broadcast(rows.sparkSession.range(1).select(F.inline(each))), "node")
 
 
 def _dimension(dims: list[str]) -> Column:
-    return F.element_at(F.array(*dims), F.col("dim"))
+    return F.element_at(F.array(*dims), F.col("dim").cast("int"))
 
 
 def _medians(rows: DataFrame, dims: list[str], searches: dict[int, _Search]) -> None:
     """Narrows every node's range, all nodes in one job a round, until each has its cut."""
     while open_ := {n: s for n, s in searches.items() if s.cut is None}:
         values = [(n, dims.index(s.dimension) + 1, len(s.fixed), *(s.fixed + [0, 0])[:2], s.low, s.high, s.width) for n, s in open_.items()]
-        now = _of_nodes(rows, "node int, dim int, depth int, f0 long, f1 long, low long, high long, width long", values)
+        now = _of_nodes(rows, ["node", "dim", "depth", "f0", "f1", "low", "high", "width"], values)
         now = now.withColumn("v", _dimension(dims))
         now = now.withColumn("key", F.when(F.col("depth") == 0, F.col("v")).when(F.col("depth") == 1, F.col("text_hash")).otherwise(F.col("doc_id")))
         now = now.where("(depth = 0 or v = f0) and (depth < 2 or text_hash = f1) and key between low and high")
@@ -104,7 +105,7 @@ def _narrow(s: _Search, bins: list[tuple[int, int, int]]) -> None:
 def _split(rows: DataFrame, dims: list[str], searches: dict[int, _Search]) -> DataFrame:
     """Every node's rows to its two children: keys up to the cut go left, in lexicographic order."""
     values = [(n, dims.index(s.dimension) + 1, *(s.cut + [None, None])[:3]) for n, s in searches.items()]
-    now = _of_nodes(rows, "node int, dim int, c0 long, c1 long, c2 long", values).withColumn("v", _dimension(dims))
+    now = _of_nodes(rows, ["node", "dim", "c0", "c1", "c2"], values).withColumn("v", _dimension(dims))
     left = "v < c0 or v = c0 and (c1 is null or text_hash < c1 or text_hash = c1 and (c2 is null or doc_id <= c2))"
     return now.withColumn("node", F.expr(f"node * 2 + if({left}, 0, 1)")).drop("dim", "c0", "c1", "c2", "v")
 
@@ -127,7 +128,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     slim = scratch.keep(slim)
     dims = [f"d_{n}" for n in DIMENSIONS]
     groups = slim.groupBy("text_hash").agg(*(F.min(d).alias(d) for d in dims))
-    rows = scratch.keep(slim.drop(*dims).join(groups, "text_hash").withColumn("node", F.lit(1)))
+    rows = scratch.keep(slim.drop(*dims).join(groups, "text_hash").withColumn("node", F.lit(1).cast("long")))
     scratch.drop(slim)
     whole: dict[str, int] | None = None
     current = rows
