@@ -119,18 +119,18 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.round("old_num", 4).alias("old_num"), F.round("new_num", 4).alias("new_num"), "old_txt", "new_txt", F.round("magnitude", 3).alias("magnitude"), "direction")
 
 
-@query(f"with {VERSIONS} select o_orderpriority as owner, count(*) as changed, round(sum(magnitude), 2) as total, count(*) filter (where direction = 'increase') as up, count(*) filter (where direction = 'decrease') as down from d join orders on o_orderkey = id group by 1")
+@query(f"with {VERSIONS} select o_orderpriority as owner, count(*) as changed, round(sum(magnitude), 4) as total, count(*) filter (where direction = 'increase') as up, count(*) filter (where direction = 'decrease') as down from d join orders on o_orderkey = id group by 1")
 def diff_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes by line item."""
     owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("owner"))
-    return snapshot.by_owner(snapshot.diff(*_versions(spark, sf_dir)), owner).withColumn("total", F.round("total", 2))
+    return snapshot.by_owner(snapshot.diff(*_versions(spark, sf_dir)), owner).withColumn("total", F.round("total", 4))
 
 
-@query(f"with {VERSIONS} select count(*) as changed, round(sum(case when direction = 'increase' then magnitude else 0 end), 2) as increase, round(sum(case when direction = 'decrease' then magnitude else 0 end), 2) as decrease, arg_max(id, (magnitude, -id)) as largest from d")
+@query(f"with {VERSIONS} select count(*) as changed, round(sum(case when direction = 'increase' then magnitude else 0 end), 4) as increase, round(sum(case when direction = 'decrease' then magnitude else 0 end), 4) as decrease, arg_max(id, (magnitude, -id)) as largest from d")
 def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row about a comparison."""
     out = snapshot.summary(snapshot.diff(*_versions(spark, sf_dir)))
-    return out.select("changed", F.round("increase", 2).alias("increase"), F.round("decrease", 2).alias("decrease"), "largest")
+    return out.select("changed", F.round("increase", 4).alias("increase"), F.round("decrease", 4).alias("decrease"), "largest")
 
 
 @query(f"""with {VERSIONS}, c as (select id, case when id % 7 = 0 then 'formula_changed' when new_num is null and new_txt is null and not (old_num is null and old_txt is null) then 'cache_loss' when exists (select 1 from lineitem where l_orderkey = id and l_partkey % 2 = 0) then 'propagation' else 'value_changed' end as cause from d)
@@ -144,8 +144,8 @@ def diff_root_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(touched, "id", "left").select(cause.alias("cause")).groupBy("cause").agg(F.count("*").alias("n"))
 
 
-@query(f"with {VERSIONS} select o_orderstatus as sheet, o_orderpriority as item, count(*) as n, round(sum(magnitude), 2) as total from d join orders on o_orderkey = id group by rollup (1, 2)")
+@query(f"with {VERSIONS} select o_orderstatus as sheet, o_orderpriority as item, count(*) as n, round(sum(magnitude), 4) as total from d join orders on o_orderkey = id group by rollup (1, 2)")
 def rollup_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes rolled up: line item, sheet, all."""
     owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("sheet"), F.col("o_orderpriority").alias("item"))
-    return snapshot.diff(*_versions(spark, sf_dir)).join(owner, "id").rollup("sheet", "item").agg(F.count("*").alias("n"), F.round(F.sum("magnitude"), 2).alias("total"))
+    return snapshot.diff(*_versions(spark, sf_dir)).join(owner, "id").rollup("sheet", "item").agg(F.count("*").alias("n"), F.round(F.sum("magnitude"), 4).alias("total"))
