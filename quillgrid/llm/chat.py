@@ -66,9 +66,11 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     state = nodes.select("tree", "message", "up", "score", F.lit(1).cast("long").alias("length"))
     for _ in range(LEVELS):
         above = state.select("tree", F.col("message").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("length").alias("length2"))
-        state = state.join(above, ["tree", "up"], "left").select(
-            "tree", "message", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length")
+        # only what has not reached its root jumps on
+        further = state.where("up is not null").join(above, ["tree", "up"]).select(
+            "tree", "message", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("length") + F.col("length2")).alias("length")
         )
+        state = state.where("up is null").select("tree", "message", "up", "score", "length").unionByName(further)
         state = scratch.keep(state)
         if state.where("up is not null").isEmpty():
             break
