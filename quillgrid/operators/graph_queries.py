@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from quillgrid.operators import graph, snapshot
 from quillgrid.registry import Registry, table
@@ -24,11 +25,11 @@ EDGES = """e as (select 'o' || l_orderkey as dependent, 'l' || l_orderkey || '_'
   union all select 'l' || l_orderkey || '_' || l_linenumber, 'p' || l_partkey from lineitem)"""
 
 
-@query(f"""with recursive {EDGES}, d(id, depth) as (select 'p' || p_partkey, 0 from part where p_partkey % 50 = 1 union select e.dependent, d.depth + 1 from d join e on e.precedent = d.id)
+@query(f"""with recursive {EDGES}, d(id, depth) as (select 'p' || p_partkey, 0 from part where p_brand = 'Brand#11' union select e.dependent, d.depth + 1 from d join e on e.precedent = d.id)
 select id, cast(min(depth) as int) as depth from d group by 1""")
 def graph_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything that depends on some parts, with its depth."""
-    seeds = table(spark, sf_dir, "part").where("p_partkey % 50 = 1").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    """Everything that depends on a brand's parts, with its depth."""
+    seeds = table(spark, sf_dir, "part").where("p_brand = 'Brand#11'").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
     return graph.downstream(cell_edges(spark, sf_dir), seeds)
 
 
@@ -38,26 +39,30 @@ def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(cell_edges(spark, sf_dir))[0]
 
 
-REGION = """g as (select distinct 'c' || c_nationkey as src, 's' || s_nationkey as dst from orders join customer on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey where o_orderkey % 97 = 0
+REGION = """t as (select c_nationkey, s_nationkey, row_number() over (partition by c_nationkey order by round(sum(l_extendedprice), 2) desc, s_nationkey) as place from orders join customer on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey group by 1, 2),
+g as (select 'c' || c_nationkey as src, 's' || s_nationkey as dst from t where place <= 4
   union select distinct 's' || s_nationkey, 'c' || ((s_nationkey * 7 + 3) % 25) from supplier)"""
 
 
 def nation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst) between nations as buyers and as sellers: a small cyclic graph."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select("o_orderkey", "o_custkey")
+    """(src, dst): each nation as a buyer to its four largest sellers, and sellers to buyers: a small cyclic graph."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"), "l_extendedprice")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    a = o.join(c, "o_custkey").join(li, "o_orderkey").join(s, "s_suppkey").select(F.concat(F.lit("c"), "c_nationkey").alias("src"), F.concat(F.lit("s"), "s_nationkey").alias("dst"))
+    sums = o.join(c, "o_custkey").join(li, "o_orderkey").groupBy("c_nationkey", "s_suppkey").agg(F.sum("l_extendedprice").alias("v")).join(s, "s_suppkey")
+    sums = sums.groupBy("c_nationkey", "s_nationkey").agg(F.round(F.sum("v"), 2).alias("v"))
+    best = sums.withColumn("place", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("v"), "s_nationkey"))).where("place <= 4")
+    a = best.select(F.concat(F.lit("c"), "c_nationkey").alias("src"), F.concat(F.lit("s"), "s_nationkey").alias("dst"))
     b = s.select(F.concat(F.lit("s"), "s_nationkey").alias("src"), F.concat(F.lit("c"), (F.col("s_nationkey") * 7 + 3) % 25).alias("dst"))
     return a.unionByName(b).distinct()
 
 
-@query(f"""with recursive {REGION}, p(id, depth, path) as (select 'c1', 0, ['c1'] union all select g.dst, p.depth + 1, list_append(p.path, g.dst) from p join g on g.src = p.id where not list_contains(p.path, g.dst) and p.depth < 3)
+@query(f"""with recursive {REGION}, p(id, depth, path) as (select 'c1', 0, ['c1'] union all select g.dst, p.depth + 1, list_append(p.path, g.dst) from p join g on g.src = p.id where not list_contains(p.path, g.dst) and p.depth < 6)
 select cast(depth as int) as depth, array_to_string(path, '>') as path from p where id = 'c13' order by depth, path limit 1""")
 def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One shortest path between two nations."""
-    out = graph.shortest_path(nation_links(spark, sf_dir), "c1", "c13", 3)
+    out = graph.shortest_path(nation_links(spark, sf_dir), "c1", "c13", 6)
     return out.select("depth", F.array_join("path", ">").alias("path"))
 
 

@@ -45,19 +45,20 @@ def datedif_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", unit("D"), unit("M"), unit("Y"), unit("YM"))
 
 
-@query("""with n as (select (s_suppkey + 1)::int as number from supplier) select number, case when number > 26 then chr(cast(64 + (number - 1) // 26 as int)) else '' end || chr(cast(65 + (number - 1) % 26 as int)) as letters, number as back from n where number <= 702""")
+@query("""with n as (select (s_suppkey + 1)::int as number from supplier), a as (select *, (number - 1) // 26 as q1 from n), b as (select *, case when q1 > 0 then (q1 - 1) // 26 else 0 end as q2 from a), c as (select *, case when q2 > 0 then (q2 - 1) // 26 else 0 end as q3 from b)
+select number, case when q3 > 0 then chr(cast(65 + (q3 - 1) % 26 as int)) else '' end || case when q2 > 0 then chr(cast(65 + (q2 - 1) % 26 as int)) else '' end || case when q1 > 0 then chr(cast(65 + (q1 - 1) % 26 as int)) else '' end || chr(cast(65 + (number - 1) % 26 as int)) as letters, number as back from c""")
 def column_letter_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column numbers to letters and back."""
-    n = table(spark, sf_dir, "supplier").where("s_suppkey < 702").select((F.col("s_suppkey") + 1).cast("int").alias("number"))
+    n = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1).cast("int").alias("number"))
     return n.withColumn("letters", cells.column_letters(F.col("number"))).withColumn("back", cells.column_number(F.col("letters")))
 
 
-GRID = """g as (select o_orderpriority as sheet, o_custkey as row, 1 as col, null::double as num, o_orderstatus as txt from orders where o_custkey <= 400 and o_orderkey % 3 = 0 union all select o_orderpriority, o_custkey, 2, o_totalprice, null from orders where o_custkey <= 400 and o_custkey % 5 <> 0)"""
+GRID = """g as (select o_orderpriority as sheet, o_custkey as row, 1 as col, null::double as num, o_orderstatus as txt from orders where o_orderkey % 3 = 0 union all select o_orderpriority, o_custkey, 2, o_totalprice, null from orders where o_custkey % 5 <> 0)"""
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of a sheet a priority: a row a customer, a text and a number column."""
-    o = table(spark, sf_dir, "orders").where("o_custkey <= 400")
+    o = table(spark, sf_dir, "orders")
     null = lambda kind: F.lit(None).cast(kind)
     a = o.where("o_orderkey % 3 = 0").select(F.col("o_orderpriority").alias("sheet"), F.col("o_custkey").alias("row"), F.lit(1).alias("col"), null("double").alias("num"), F.col("o_orderstatus").alias("txt"))
     b = o.where("o_custkey % 5 <> 0").select(F.col("o_orderpriority").alias("sheet"), F.col("o_custkey").alias("row"), F.lit(2).alias("col"), F.col("o_totalprice").alias("num"), null("string").alias("txt"))
@@ -71,13 +72,13 @@ def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.header_rows(_grid(spark, sf_dir), 50)
 
 
-@query("""with s as (select 'orders' as sheet, o_orderkey as row, unnest(['o_orderkey', 'o_clerkname', 'o_totalprice', 'col4']) as header, unnest([o_orderkey::double, null, o_totalprice, case when o_orderkey % 2 = 0 then 1.0 end]) as num, unnest([null, o_orderpriority, null, o_orderstatus]) as txt from orders where o_orderkey <= 50),
+@query("""with s as (select 'orders' as sheet, o_orderkey as row, unnest(['o_orderkey', 'o_clerkname', 'o_totalprice', 'col4']) as header, unnest([o_orderkey::double, null, o_totalprice, case when o_orderkey % 2 = 0 then 1.0 end]) as num, unnest([null, o_orderpriority, null, o_orderstatus]) as txt from orders),
 p as (select *, row_number() over (partition by header order by row) as place from s),
 t as (select header, avg((txt is not null and num is null)::int) as texts, avg((num is not null and num > 0 and num < 1000 and num = floor(num))::int) as seqs, avg((num is not null)::int) as numbers from p where place <= 10 group by 1)
 select 'orders' as sheet, header as col, case when header like '%key%' then 'sequence' when header like '%name%' then 'name' when texts > 0.6 then 'name' when seqs > 0.5 then 'sequence' when numbers > 0.5 then 'total' else 'notes' end as role from t""")
 def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles by header word, else by ten rows of data."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 50")
+    o = table(spark, sf_dir, "orders")
     cell = lambda name, num, txt: F.struct(F.lit(name).alias("col"), num.cast("double").alias("num"), txt.cast("string").alias("txt"))
     null = F.lit(None)
     each = F.array(cell("o_orderkey", F.col("o_orderkey"), null), cell("o_clerkname", null, F.col("o_orderpriority")), cell("o_totalprice", F.col("o_totalprice"), null), cell("col4", F.when(F.col("o_orderkey") % 2 == 0, 1.0), F.col("o_orderstatus")))
