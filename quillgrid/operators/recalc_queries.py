@@ -12,10 +12,14 @@ registry = Registry()
 query = registry.query
 
 
-def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    key = F.concat("l_orderkey", F.lit("_"), "l_linenumber", F.lit("_"), "l_partkey")
-    li = li.select("l_orderkey", key.alias("k"), "l_returnflag", "l_extendedprice", "l_discount", "l_tax").dropDuplicates(["k"])
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, l_orderkey, ...): one row a line, of repeated ones the least."""
+    names = ["l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min(F.struct(*names)).alias("m"))
+    return li.select(F.concat("l_orderkey", F.lit("_"), "l_linenumber", F.lit("_"), "l_partkey").alias("k"), "l_orderkey", "m.*")
+
+
+def order_cells(li: DataFrame) -> DataFrame:
     null = F.lit(None).cast("string")
     consts = [li.select(F.concat(F.lit(p), "k").alias("id"), F.col(c).alias("num"), null.alias("formula")) for p, c in (("p", "l_extendedprice"), ("d", "l_discount"), ("t", "l_tax"))]
     line = F.concat(F.lit("=p"), "k", F.lit("*(1-d"), "k", F.lit(")*(1+t"), "k", F.lit(")"))
@@ -29,14 +33,14 @@ def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("""with li as (select distinct on (l_orderkey, l_linenumber, l_partkey) * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_extendedprice),
+@query("""with li as (select distinct on (l_orderkey, l_linenumber, l_partkey) * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount, l_tax, l_returnflag),
 e as (select *, l_returnflag = 'R' as hit from li where l_orderkey in (select l_orderkey from li where l_returnflag = 'R')), s(scenario, f) as (values ('up', 1.1::double), ('down', 0.9::double))
 select scenario, 'o' || l_orderkey as id, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 7) as old, round(sum(l_extendedprice * case when hit then f else 1 end * (1 - l_discount) * (1 + l_tax)), 7) as new from e, s group by 1, 2""")
 def recalc_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of returned lines move by a tenth in two scenarios; orders downstream are recalculated."""
-    cells = order_cells(spark, sf_dir)
-    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("p"), "l_orderkey", F.lit("_"), "l_linenumber", F.lit("_"), "l_partkey").alias("id"))
-    hit = cells.join(returned, "id", "left_semi")
+    li = order_lines(spark, sf_dir)
+    cells = order_cells(li)
+    hit = li.where("l_returnflag = 'R'").select(F.concat(F.lit("p"), "k").alias("id"), F.col("l_extendedprice").alias("num"))
     edits = hit.select(F.explode(F.create_map(F.lit("up"), F.col("num") * 1.1, F.lit("down"), F.col("num") * 0.9)).alias("scenario", "num"), "id")
     out = recalc.recalculate(cells, edits.select("scenario", "id", "num"))
     return out.where("id like 'o%'").select("scenario", "id", F.round("old", 7).alias("old"), F.round("new", 7).alias("new"))
