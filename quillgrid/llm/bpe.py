@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm.common import table
+from quillgrid.llm.common import small_batches, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHED = 400_000  # segments, and pre-tokens, whose ids a worker remembers
+CACHED = 100_000  # segments, and pre-tokens, whose ids a worker remembers
 
 # Unicode's White_Space characters.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -145,6 +145,7 @@ def _codec(model, ranks: dict[bytes, int], pattern: str) -> Codec:
 def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, digests of ids and decoded bytes; ``with_ids`` adds the ids and the decoded text."""
     spark = docs.sparkSession
+    small_batches(spark)
     ranks = read_ranks(path)
     shared = spark.sparkContext.broadcast((sentencepiece_model(ranks), ranks))
     schema = RESULT + (", ids array<int>, decoded string" if with_ids else "")

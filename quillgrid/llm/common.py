@@ -22,6 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most 1000 rows between Spark and its Python workers from now on: rows hold whole texts, some very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 class Scratch:
     """Tables written under the shared folder.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import bounded_sample, doc_hash_mod, table
+from quillgrid.llm.common import bounded_sample, doc_hash_mod, small_batches, table
 
 WORD = re.compile(r"\w+")
 PREFIXES = (5, 7)
@@ -38,8 +38,8 @@ LIMITS = (-2.0, 6.0)  # of a token's log-odds
 SIGNIFICANT = 0.05
 THRESHOLD = 0.3
 MAX_DOCS = 12_000
-FLUSH = 400_000
-REMEMBERED = 400_000
+FLUSH = 100_000
+REMEMBERED = 100_000
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -176,6 +176,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
 
 def fit(labelled: DataFrame, max_tokens: int = 100_000) -> dict:
     """The model from rows (doc_id, text, toxic); see ``train_rows``."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select("text", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int").alias("fold"), F.col("toxic").cast("int").alias("toxic")).persist()
     sizes = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     n = {t: sum(v for (_, x), v in sizes.items() if x == t) for t in (0, 1)}
