@@ -135,9 +135,11 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     for _ in range(shards.bit_length() - 1):
         ends = [f(d).alias(f"{name}_{d}") for d in dims for name, f in (("low", F.min), ("high", F.max))]
         nodes = {r["node"]: r for r in current.groupBy("node").agg(F.sum("size").alias("bytes"), *ends).collect()}
+        if not nodes:
+            break
         spread = lambda r, d: r[f"high_{d}"] - r[f"low_{d}"]
         if whole is None:
-            whole = {d: max(1, spread(nodes[1], d)) if nodes else 1 for d in dims}
+            whole = {d: max(1, spread(nodes[1], d)) for d in dims}
         searches = {}
         for n, r in nodes.items():
             d = max(dims, key=lambda d: (spread(r, d) / whole[d], -dims.index(d)))
