@@ -7,7 +7,8 @@ sets, and the links' components are found.
 
 A star alone can miss a link between two of its leaves. So the classes of a bucket that components still keep apart
 are compared again: all of them where the bucket has at most ``SMALL`` classes, else with ``CENTRES`` further centres, each
-large bucket in one of ``ROUNDS`` rounds. A pair at the threshold shares no bucket with a chance below 1e-5.
+large bucket in one of ``ROUNDS`` rounds. The classes of large buckets that are apart even then are compared by an exact
+prefix filter on their full sets. A pair at the threshold shares no bucket with a chance below 1e-5.
 
 Words end at ASCII white space, A-Z in lower case; a set holds 64-bit hashes of the shingles.
 
@@ -243,6 +244,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         shared, total = F.size(F.array_intersect("held_a", "held_b")), F.size("held_a") + F.size("held_b")
         return both.where(100 * shared >= percent * (total - shared)).select("a", "b")
 
+    def merge(component: DataFrame, links: DataFrame) -> DataFrame:
+        edges = links.join(component.withColumnsRenamed({"doc": "a", "component": "x"}), "a").join(component.withColumnsRenamed({"doc": "b", "component": "y"}), "b")
+        merged = connected_components(scratch, edges.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        merged = merged.select(F.col("id").alias("component"), F.col("component").alias("least"))
+        return scratch.keep(component.join(merged, "component", "left").select("doc", F.coalesce("least", "component").alias("component")))
+
     component = ids.select("doc", F.col("doc").alias("component"))
     tested = None
     for turn in range(ROUNDS):
@@ -270,10 +277,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         tested = pairs if tested is None else tested.unionByName(pairs)
         if links.isEmpty():
             continue
-        edges = links.join(component.withColumnsRenamed({"doc": "a", "component": "x"}), "a").join(component.withColumnsRenamed({"doc": "b", "component": "y"}), "b")
-        merged = connected_components(scratch, edges.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        merged = merged.select(F.col("id").alias("component"), F.col("component").alias("least"))
-        component = scratch.keep(component.join(merged, "component", "left").select("doc", F.coalesce("least", "component").alias("component")))
+        component = merge(component, links)
+    # the large buckets that are still apart: every pair of their classes that could be a link
+    here = active.where(F.col("size") > SMALL).join(component, "doc")
+    apart = here.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    rest = scratch.keep(here.join(apart.select("bucket"), "bucket", "left_semi").select("doc", "component").distinct())
+    if not rest.isEmpty():
+        pairs = _prefix_pairs(scratch, sets, rest, percent)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        links = scratch.keep(confirm(scratch.keep(pairs)))
+        if not links.isEmpty():
+            component = merge(component, links)
     rows = sig.select("doc_id", *same).join(classes, same, "left").join(component, "doc", "left")
     found = F.coalesce("component", "doc", "doc_id")
     return rows.select("doc_id", "n_shingles", found.alias("component_id"), (F.col("doc_id") == found).alias("kept"))
@@ -286,6 +301,39 @@ def _pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
     return star.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b"))
 
 
+def _prefix_pairs(scratch: Scratch, sets: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: every pair of different components that can reach percent, by exact prefix filtering of the full sets.
+
+    Shingles are ordered by how many sets of the rest hold them. Two sets that are similar enough share one of their first
+    n - least + 1, least being what the pair must share: for the smaller set at least 2p / (1 + p) of its own shingles, for
+    the larger one p of its own. After the first shared one there must be room for the others. sets: doc, held.
+    """
+    each = sets.join(rest, "doc")
+    often = each.select("component", F.explode("held").alias("shingle")).groupBy("shingle")
+    often = scratch.keep(often.agg(F.count("*").alias("often")).where("often > 1"))
+    # a shingle of a single set comes first and meets no other, so that it only counts
+    each = each.select("doc", "component", F.size("held").alias("n"), F.explode("held").alias("shingle")).join(often, "shingle")
+    lists = each.groupBy("doc", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("common"))
+    reach = F.expr(f"n - (({percent} * n + 99) div 100) + 1 - (n - size(common))")
+    heads = lists.where(reach > 0).select("doc", "component", "n", (F.col("n") - F.size("common")).alias("alone"), F.posexplode(F.slice("common", F.lit(1), reach.cast("int"))).alias("i", "s"))
+    heads = heads.select("doc", "component", "n", (F.col("alone") + F.col("i")).alias("at"), F.col("s.shingle").alias("shingle"))
+    heads = scratch.keep(heads)
+    # where all belong to one component there is nothing to find
+    mixed = heads.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+    heads = scratch.keep(heads.join(mixed, "shingle", "left_semi"))
+    small = heads.where(F.expr(f"at <= n - ((2 * {percent} * n + {99 + percent}) div {100 + percent})")).alias("s")
+    room = F.least(F.col("s.n") - F.col("s.at"), F.col("l.n") - F.col("l.at"))
+    pairs = small.join(
+        heads.alias("l"),
+        (F.col("s.shingle") == F.col("l.shingle"))
+        & (F.struct("s.n", "s.doc") < F.struct("l.n", "l.doc"))
+        & (F.col("s.component") != F.col("l.component"))
+        & (100 * F.col("s.n") >= percent * F.col("l.n"))
+        & ((100 + percent) * room >= percent * (F.col("s.n") + F.col("l.n"))),
+    )
+    return pairs.select(F.least("s.doc", "l.doc").alias("a"), F.greatest("s.doc", "l.doc").alias("b")).distinct()
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity 0.85, over all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)

@@ -89,6 +89,22 @@ def test_near_duplicates_equal_brute_force(spark, odd, k, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_of_a_large_group_with_few_links(spark):
+    rng = random.Random(4)
+    base, rows = [f"v{i}" for i in range(300)], []
+    for i in range(300):  # two copies edited at the same places: linked with each other only, in buckets of hundreds
+        places = rng.sample(range(2, 298, 4), 6)
+        for half in range(2):
+            words = list(base)
+            for p in places:
+                words[p] = f"e{rng.randint(0, 10**9)}"
+            rows.append((2 * i + half, " ".join(words)))
+    want = components(rows, 3, 85)
+    assert len({c for _, c in want.values()}) > 250
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_near_duplicates_of_a_table(spark, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     want = components([tuple(r) for r in docs.collect()], 3, 85)
