@@ -209,6 +209,13 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(train.limit(0))).collect()} == {"und"}
 
 
+def test_language_model_bounds(spark):
+    rows = [(i, "hello there", "en") for i in range(15_000)] + [(20_000 + i, "hello there", f"l{i}") for i in range(30)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model["langs"]) == 31  # a sample of 20,000 leaves no row of these out
+    assert len(model["places"]) == 6 and "<hell" in model["places"][5]
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
