@@ -9,7 +9,7 @@ with its two constants taken from clean training documents; a segment whose expe
 significant passages gives the document's probability; it is fitted across two folds, each scored by the odds of the other.
 
 The fit reads a bounded sample of labelled documents (``max_docs``, by a hash of the id) and keeps ``max_tokens``
-tokens at most, so that the model has a fixed size. Scores read whole texts.
+tokens at most, so that the model has a fixed size. Scores, and the sample's own in the fit, read whole texts.
 
 Defined cases: null and empty texts have no passage and get the curve's value for that; rows with a null label take no
 part in the fit; without both labels the score is the share of toxic rows (0 with none); repeated rows give repeated
@@ -37,7 +37,8 @@ MARGIN = 0.7
 LIMITS = (-2.0, 6.0)  # of a token's log-odds
 SIGNIFICANT = 0.05
 THRESHOLD = 0.3
-MAX_DOCS = 12_000
+MAX_DOCS = 30_000
+BIN = 0.001  # of token scores, for the law's rate
 FLUSH = 100_000
 REMEMBERED = 100_000
 
@@ -149,16 +150,17 @@ def _evidence(n: int, found: list[tuple[int, int, float]], law: tuple[float, flo
     return min(20.0, max(0.0, max(beyond))), math.log1p(sum(some)), math.log1p(len(some))
 
 
-def _law(odds: dict[str, float], sample: list[tuple[int, list[float], float]]) -> tuple[float, float]:
-    """Rate and log K from clean texts (tokens, some scores, best): E(best of n) = K n exp(-rate best)."""
-    values = np.concatenate([np.asarray(s, float) for _, s, _ in sample if len(s)] or [np.array([-MARGIN])])
+def _law(values: np.ndarray, often: np.ndarray, best: list[tuple[int, float, int]]) -> tuple[float, float]:
+    """Rate and log K from clean texts: their token scores and how often each occurs, and (tokens, best, texts): E(best of n) = K n exp(-rate best)."""
+    if not often.sum():
+        values, often = np.array([-MARGIN]), np.array([1])
     low, high = 1e-3, 20.0
     for _ in range(60):  # the positive root of mean(exp(rate s)) = 1
         mid = (low + high) / 2
-        low, high = (mid, high) if np.exp(np.minimum(mid * values, 50)).mean() < 1 else (low, mid)
+        low, high = (mid, high) if np.average(np.exp(np.minimum(mid * values, 50)), weights=often) < 1 else (low, mid)
     rate = min(low, 3.0)
-    best = [rate * b - math.log(max(n, 10)) for n, _, b in sample if n and b > 0]
-    return rate, float(np.mean(best) - 0.5772) if best else 0.0
+    some = [(rate * b - math.log(max(n, 10)), k) for n, b, k in best if n and b > 0]
+    return rate, float(np.average([x for x, _ in some], weights=[k for _, k in some]) - 0.5772) if some else 0.0
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
@@ -174,7 +176,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, max_tokens: int = 100_000) -> dict:
+def fit(labelled: DataFrame, max_tokens: int = 200_000) -> dict:
     """The model from rows (doc_id, text, toxic); see ``train_rows``."""
     small_batches(labelled.sparkSession)
     rows = labelled.select("text", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int").alias("fold"), F.col("toxic").cast("int").alias("toxic")).persist()
@@ -202,32 +204,50 @@ def fit(labelled: DataFrame, max_tokens: int = 100_000) -> dict:
     cross = {0: odds((1,)), 1: odds((0,))} if both else {0: whole, 1: whole}
     shared = rows.sparkSession.sparkContext.broadcast(cross)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each clean text its tokens and best segment, and the counts of all token scores by bin."""
         tables = {f: _Tokens(o) for f, o in shared.value.items()}
+        names, bins = ["bin", "n", "best", "count"], Counter()
+
+        def rows_of(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names)
+
         for batch in batches:
             out = []
-            for text, fold, label in zip(*(batch.column(c).to_pylist() for c in ("text", "fold", "toxic")), strict=True):
+            for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
                 size, scores, found = scan(text, tables[fold])
-                some = scores[:: max(1, size // 50)][:50]  # for the law's rate only
-                out.append((size, label, some, sorted((s for *_, s in found), reverse=True)[:50]))
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.float64())), pa.array(cols[3], pa.list_(pa.float64()))],
-                ["n", "toxic", "scores", "best"],
-            )
+                kinds, times = np.unique(np.rint(np.array(scores) / BIN).astype(int), return_counts=True)
+                bins.update(dict(zip(kinds.tolist(), times.tolist(), strict=True)))
+                out.append((None, size, max((s for *_, s in found), default=0.0), 1))
+            yield rows_of(out)
+        yield rows_of([(k, 0, 0.0, v) for k, v in bins.items()])
+
+    got = rows.where("toxic = 0").mapInArrow(clean_scores, "bin int, n long, best double, count long")
+    got = got.groupBy("bin", "n", "best").agg(F.sum("count").alias("count")).toArrow().to_pylist()
+    binned = [(r["bin"], r["count"]) for r in got if r["bin"] is not None]
+    law = _law(np.array([b for b, _ in binned], float) * BIN, np.array([c for _, c in binned], float), [(r["n"], r["best"], r["count"]) for r in got if r["bin"] is None])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The evidence of each text, from all its segments."""
+        tables = {f: _Tokens(o) for f, o in shared.value.items()}
+        for batch in batches:
+            x = []
+            for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
+                size, _, found = scan(text, tables[fold])
+                x.append(_evidence(size, found, law))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    got = rows.mapInArrow(measure, "n long, toxic int, scores array<double>, best array<double>").toArrow().to_pydict()
+    got = rows.mapInArrow(measure, "toxic int, x array<double>").toArrow().to_pydict()
     rows.unpersist()
-    clean_rows = [(a, s, b[0] if b else 0.0) for a, t, s, b in zip(got["n"], got["toxic"], got["scores"], got["best"], strict=True) if t == 0]
-    law = _law(whole, clean_rows)
-    x = np.array([_evidence(a, [(0, 0, v) for v in b], law) for a, b in zip(got["n"], got["best"], strict=True)])
+    x = np.array(got["x"])
     return {"odds": whole, "law": law, "curve": _logistic(x, np.array(got["toxic"], float)).tolist()}
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
-    """A bounded sample of labelled documents; it's drawn before the join, so that only its texts move."""
+    """A bounded sample of labelled documents; it's drawn before the join and broadcast, so that no text moves."""
     picked = bounded_sample(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id", max_docs)
-    return docs.select("doc_id", "text").join(picked, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
 def passages(text: str | None, model: dict) -> list[tuple[int, int, float]]:

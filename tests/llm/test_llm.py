@@ -196,6 +196,33 @@ def test_toxicity(spark, odd, none):
     assert toxicity.fit(toxicity.train_rows(docs, labels.limit(0), 10)) == {"constant": 0.0}
 
 
+def test_toxicity_fit_reads_whole_texts(spark):
+    assert toxicity.MAX_DOCS == 30_000
+    clean = [" ".join(["calm"] * 60 + [f"odd{i % 7}"] * 39) for i in range(40)]
+    toxic = [" ".join(["calm"] * 60 + ["vile", "calm", "calm"] * k) for k in [80, 400] * 20]
+    rows = [(i, t, int(i >= 40)) for i, t in enumerate(clean + toxic)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    folds = {0: {}, 1: {}}
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    fold = {r[0]: r[1] for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int")).collect()}
+    n = {(f, t): sum(fold[i] == f and x == t for i, _, x in rows) for f in (0, 1) for t in (0, 1)}
+    for f in folds:  # each fold is scored by the other's odds
+        counts = {}
+        for i, text, t in rows:
+            if fold[i] != f:
+                for s in {x for w in set(toxicity.tokens_of(text)) for x in toxicity.steps_of(w)}:
+                    c = counts.setdefault(s, [0, 0])
+                    c[1 - t] += 1
+        folds[f] = toxicity._log_odds(counts, n[1 - f, 1], n[1 - f, 0])
+    scanned = [(t, toxicity.scan(text, toxicity._Tokens(folds[fold[i]]))) for i, text, t in rows]
+    values = np.concatenate([s for t, (_, s, _) in scanned if t == 0])
+    best = [(size, max((v for *_, v in found), default=0.0), 1) for t, (size, _, found) in scanned if t == 0]
+    law = toxicity._law(values, np.ones(len(values)), best)
+    assert model["law"] == pytest.approx(law, rel=0.01, abs=0.01)
+    x = np.array([toxicity._evidence(size, found, law) for _, (size, _, found) in scanned])
+    assert model["curve"] == pytest.approx(toxicity._logistic(x, np.array([t for t, _ in scanned], float)).tolist(), rel=0.05, abs=0.05)
+
+
 def test_language(spark, odd, none):
     en, de = "the house of the old man", "das haus von dem alten mann"
     train = spark.createDataFrame([(i, t, x) for i in range(20) for t, x in ((en, "en"), (de, "de"))] + [(99, en, None), (98, None, "en")], "doc_id long, text string, lang string")
