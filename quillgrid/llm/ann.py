@@ -8,8 +8,9 @@ pairs that are new to each other are compared. A node keeps its ``degree`` neare
 few edges. Of a hub's many reverse edges a random share takes part (the method's own sampling); nodes are never dropped.
 Vectors travel as 8-bit codes there; the result's distances are of the original vectors in double precision.
 
-Search: each query starts from the nearest of ``ENTRIES`` entry nodes (a fixed number, so their broadcast is bounded) and
-expands its best unexpanded nodes, all queries at once, a few joins a round, until its ``beam`` holds none.
+Search: each query starts from its own node's graph list and from the nearest entry nodes. ``ENTRIES`` of these are broadcast;
+where there are more than ``SPACING`` nodes to each, every ``SPACING``-th node is a second level under its nearest one, and a
+query also starts from those under its ``CELLS`` nearest (at most ``ENTRIES`` under each, by a hash). Then it expands its best unexpanded nodes, all queries at once, a few joins a round, until its ``beam`` holds none.
 
 Defined cases: null or zero vectors, and ones with null or non-finite components, take no part, nor do vectors that
 differ from the most common length (ties: the larger); ties in distance go to the smaller id; repeated rows of one id and
@@ -33,6 +34,8 @@ REVERSE = 32  # reverse edges of a node that take part in a round, about
 BEAM = 400
 EXPAND = 80
 ENTRIES = 512
+SPACING = 64  # nodes for each entry node
+CELLS = 4
 BLOCK = 64  # nodes of a first block, about
 SEED = 20240
 HEAD = 8  # bytes before a code's components: scale and squared length
@@ -180,7 +183,7 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, max_rounds: int = 12, ch
 
 
 def _start(entries):
-    """Each query's nearest entry nodes: (query, code, beam, seen)."""
+    """Each query's graph list and nearest entry nodes: (query, code, beam, seen)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, all_codes = entries.value
@@ -189,17 +192,35 @@ def _start(entries):
             d = _squared(_codes(batch.column("code")), table_codes) if batch.num_rows else np.zeros((0, 0))
             best = np.argsort(d, axis=1, kind="stable")[:, :EXPAND]
             beam = [[{"d": float(r[j]), "node": int(ids[j]), "open": True} for j in b] for r, b in zip(d, best, strict=True)]
-            seen = [[int(ids[j]) for j in b] for b in best]
+            for held, near in zip(beam, batch.column("old").to_pylist(), strict=True):
+                has = {e["node"] for e in held}
+                held += [{"d": e["d"], "node": e["other"], "open": True} for e in near or [] if e["other"] not in has]
+                held.sort(key=lambda e: (e["d"], e["node"]))
+            seen = [[e["node"] for e in held] for held in beam]
             yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("code"), pa.array(beam, BEAM_TYPE), pa.array(seen, pa.list_(pa.int64()))], ["query", "code", "beam", "seen"])
 
     return run
 
 
+def _cells(entries, most: int):
+    """(node, code, cells): the nearest of the entry nodes, nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_codes = _codes(pa.array(entries.value[1], pa.binary()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                best = np.argsort(_squared(_codes(part.column("code")), table_codes), axis=1, kind="stable")[:, :most]
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("code"), pa.array(best.tolist(), pa.list_(pa.int32()))], ["node", "code", "cells"])
+
+    return run
+
+
 BEAM_TYPE = pa.list_(pa.struct([("d", pa.float32()), ("node", pa.int64()), ("open", pa.bool_())]))
 STATE = "query long, code binary, beam array<struct<d: float, node: bigint, open: boolean>>, seen array<bigint>"
 
 
-def _advance(beam: int):
+def _advance(beam: int, expand: int = EXPAND):
     """Closes the nodes that were expanded, adds the candidates to the beam."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +231,7 @@ def _advance(beam: int):
             for i, (held, seen, cands) in enumerate(rows):
                 opened = 0
                 for e in held:
-                    if e["open"] and opened < EXPAND:
+                    if e["open"] and opened < expand:
                         e["open"] = False
                         opened += 1
                 c = cands.values
@@ -228,7 +249,7 @@ def _advance(beam: int):
 
 
 def search(queries: DataFrame, codes: DataFrame, graph: DataFrame, beam: int = BEAM, max_rounds: int = 40) -> DataFrame:
-    """(query, node): what greedy search from the entry nodes holds in its beam. queries: query, code."""
+    """(query, node): what greedy search from its graph list and the entry nodes holds in its beam. queries: query, code."""
     spark = queries.sparkSession
     scratch = Scratch(spark)
     links = graph.select("node", F.explode("old.other").alias("other"))
@@ -240,7 +261,18 @@ def search(queries: DataFrame, codes: DataFrame, graph: DataFrame, beam: int = B
     if not first:
         return spark.createDataFrame([], "query long, node long")
     entries = spark.sparkContext.broadcast(([r["node"] for r in first], [bytes(r["code"]) for r in first]))
-    state = scratch.keep(queries.select("query", "code").mapInArrow(_start(entries), STATE))
+    starts = queries.select("query", "code").join(graph.select(F.col("node").alias("query"), "old"), "query", "left")
+    state = scratch.keep(starts.mapInArrow(_start(entries), STATE))
+    if codes.count() > SPACING * ENTRIES:
+        of_cell = "node long, code binary, cells array<int>"
+        below = codes.where(F.pmod(F.xxhash64("node", F.lit("entry")), F.lit(SPACING)) == 0).mapInArrow(_cells(entries, 1), of_cell)
+        below = below.select("node", "code", F.col("cells")[0].alias("cell"))
+        place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node"), "node"))
+        below = scratch.keep(below.withColumn("place", place).where(F.col("place") <= ENTRIES))
+        cells = queries.select(F.col("query").alias("node"), "code").mapInArrow(_cells(entries, CELLS), of_cell)
+        more = cells.select(F.col("node").alias("query"), F.explode("cells").alias("cell")).join(below, "cell").join(state.select("query", "seen"), "query")
+        more = more.where(~F.array_contains("seen", F.col("node"))).groupBy("query").agg(F.collect_list(F.struct("node", "code")).alias("cands"))
+        state = scratch.keep(state.join(more, "query", "left").select("query", "code", "beam", "seen", "cands").mapInArrow(_advance(beam, 0), STATE))
     for _ in range(max_rounds):
         open_ = F.slice(F.filter("beam", lambda e: e["open"]), 1, EXPAND)
         frontier = state.select("query", F.explode(F.transform(open_, lambda e: e["node"])).alias("node"))

@@ -332,6 +332,28 @@ def test_nearest_neighbours(spark):
     assert got[1000] == want[1000]  # its copies, smallest ids first
 
 
+def test_search_finds_clusters_without_an_entry(spark):
+    rng = np.random.default_rng(3)
+    n, each = 900, 40  # more nodes than SPACING to each broadcast entry
+    x = (rng.uniform(-10, 10, (n, 1, 8)) + rng.normal(0, 0.01, (n, each, 8))).reshape(-1, 8)
+    codes = ann.encode(x)
+    near, want = [], {}
+    for c in range(n):  # the graph links each node to its 32 nearest, all inside the cluster
+        part = x[c * each : (c + 1) * each]
+        d = ((part[:, None] - part[None, :]) ** 2).sum(axis=2)
+        for i, row in enumerate(d):
+            order = [int(j) for j in np.argsort(row) if j != i]
+            near.append((c * each + i, [(float(row[j]), c * each + j) for j in order[: ann.DEGREE]]))
+            want[c * each + i] = [c * each + j for j in order[:10]]
+    asked = list(range(0, n * each, 311))
+    table = spark.createDataFrame(list(enumerate(codes)), "node long, code binary")
+    graph = spark.createDataFrame(near, "node long, old array<struct<d:float,other:bigint>>")
+    found: dict[int, set] = {}
+    for r in ann.search(table.where(F.col("node") % 311 == 0).select(F.col("node").alias("query"), "code"), table, graph).collect():
+        found.setdefault(r["query"], set()).add(r["node"])
+    assert sum(len(found[q] & set(want[q])) for q in asked) >= 0.99 * 10 * len(asked)
+
+
 def test_few_neighbours(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "id long, vec array<double>")
