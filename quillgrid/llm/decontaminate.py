@@ -4,10 +4,13 @@ Canonical form: lower-case words without punctuation, in which numbers, units af
 words inside a sentence; several in a row are one) are typed placeholders. Windows of ``WINDOW`` canonical words are
 hashed. Windows of the benchmark that hold enough literal words are joined by hash with all windows of all documents. A
 document matches an item on a diagonal (its position minus the item's) where it holds a good part of the item's windows:
-so verbatim passages and re-parameterised ones are both found. In a re-parameterised one each slot value of
+so re-parameterised passages are found. In a re-parameterised one each slot value of
 the item must stand for one value of the document wherever it occurs; a diagonal whose slots disagree is no match.
 
-The benchmark's window table is broadcast while it has at most ``BROADCAST_ROWS`` rows, else joined by shuffle. Texts are
+Verbatim: windows of the plain words, nothing replaced, are joined in the same way, so that items of numbers and names are
+found too. A document holds an item verbatim where it holds a good part of these windows, or ``RUN`` words on one diagonal.
+
+The benchmark's window tables are broadcast while they have at most ``BROADCAST_ROWS`` rows, else joined by shuffle. Texts are
 read again, for slots, only from documents whose id falls in a used slot of a bounded table of ids.
 
 Defined cases: null and empty texts match nothing; items with fewer than ``LEAST`` words take no part, other items
@@ -24,6 +27,7 @@ from quillgrid.llm.common import Scratch, table
 
 WINDOW = 8
 LEAST = 4  # words of an item, and literal words of a window
+RUN = 50  # words on a diagonal, whatever their share of the item
 COVER = 0.25  # of the item's windows
 AGREE = 0.8  # of the slot values that the item repeats
 BROADCAST_ROWS = 200_000
@@ -52,6 +56,11 @@ def canonical(text: Column) -> Column:
     return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def plain(text: Column) -> Column:
+    """The words of a text in lower case, nothing replaced."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def slot_values(text: Column) -> list[Column]:
     """The replaced values in order: numbers, units, names, as canonical() meets them."""
     text = F.coalesce(text, F.lit(""))
@@ -76,40 +85,61 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates().withColumn("item", F.monotonically_increasing_id())
-    items = items.withColumn("words", canonical(F.col("text"))).where(F.size("words") >= LEAST)
+    items = scratch.keep(items)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    verbatim, raw = None, _hits(scratch, docs, items, plain, typed=False)
+    if raw is not None:
+        whole = raw.groupBy("doc_id", "item", "item_id", "of", "least").agg(F.count_distinct("item_at").alias("windows")).where(F.col("windows") >= _enough())
+        runs = raw.groupBy("doc_id", "item", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.count_distinct("item_at").alias("windows"))
+        runs = runs.where(F.col("windows") > RUN - WINDOW)
+        verbatim = scratch.keep(whole.select("doc_id", "item", "item_id").unionByName(runs.select("doc_id", "item", "item_id")).distinct())
+    hits = _hits(scratch, docs, items, canonical, typed=True)
+    if hits is None:
+        return (verbatim if verbatim is not None else spark.createDataFrame([], "doc_id long, item_id long")).select("doc_id", "item_id").distinct()
+    lines = hits.groupBy("doc_id", "item", "item_id", "of", "least", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
+        F.count_distinct("item_at").alias("windows"), F.sum("slots").alias("slots"), F.min("item_at").alias("first"), F.max(F.col("item_at") + F.col("wide")).alias("end")
+    )
+    # a word more or less shifts the diagonal, so windows without slots count together; slots are held to one diagonal
+    fixed = hits.where("slots = 0").groupBy("doc_id", "item", "item_id", "of", "least").agg(F.count_distinct("item_at").alias("windows")).where(F.col("windows") >= _enough())
+    fixed = fixed.select("doc_id", "item", "item_id")
+    sure = fixed if verbatim is None else verbatim.unionByName(fixed).distinct()
+    slotted = scratch.keep(lines.where((F.col("windows") >= _enough()) & (F.col("slots") > 0)).join(sure, ["doc_id", "item"], "left_anti"))
+    agreed = _consistent(docs, items, slotted)
+    return scratch.keep(sure.select("doc_id", "item_id").unionByName(agreed).distinct())
+
+
+def _enough() -> Column:
+    """The windows that a match needs: a share of those that take part, and two where the item has two or more."""
+    return F.greatest(F.col("least"), F.ceil(F.col("of") * COVER))
+
+
+def _hits(scratch: Scratch, docs: DataFrame, items: DataFrame, words_of, typed: bool) -> DataFrame | None:
+    """(doc_id, item, item_id, wide, of, least, item_at, at, slots) of equal windows; typed: windows need literal words. None without items."""
+    items = items.withColumn("words", words_of(F.col("text"))).where(F.size("words") >= LEAST)
     items = scratch.keep(items.withColumn("wide", F.least(F.size("words"), F.lit(WINDOW))))
     sizes = sorted(r["wide"] for r in items.select("wide").distinct().collect())  # at most WINDOW values
     if not sizes:
-        return spark.createDataFrame([], "doc_id long, item_id long")
-    parts = []
+        return None
+    windows = None
     for size in sizes:
         own = items.where(F.col("wide") == size)
-        own = own.select("item", "item_id", "words", (F.size("words") - (size - 1)).alias("of"), F.lit(size).alias("wide"), F.posexplode(_windows(F.col("words"), size)).alias("item_at", "hash"))
-        literal = F.filter(F.slice("words", F.col("item_at") + 1, size), lambda w: ~w.isin(PLACEHOLDERS))
-        own = own.withColumn("slots", F.lit(size) - F.size(literal))
-        parts.append(own.where(F.size(literal) >= min(size, LEAST)).select("item", "item_id", "wide", "of", "item_at", "hash", "slots"))
-    windows = parts[0]
-    for p in parts[1:]:
-        windows = windows.unionByName(p)
+        own = own.select("item", "item_id", "words", F.least(F.size("words") - (size - 1), F.lit(2)).alias("least"), F.lit(size).alias("wide"), F.posexplode(_windows(F.col("words"), size)).alias("item_at", "hash"))
+        own = own.withColumn("slots", F.lit(0))
+        if typed:
+            literal = F.filter(F.slice("words", F.col("item_at") + 1, size), lambda w: ~w.isin(PLACEHOLDERS))
+            own = own.withColumn("slots", F.lit(size) - F.size(literal)).where(F.size(literal) >= min(size, LEAST))
+        own = own.drop("words")
+        windows = own if windows is None else windows.unionByName(own)
+    windows = windows.join(windows.groupBy("item").agg(F.count("*").alias("of")), "item")
     windows = scratch.keep(windows)
     small = windows.count() <= BROADCAST_ROWS
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.select("doc_id", canonical(F.col("text")).alias("words"))
+    rows = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     found = None
-    exploded = [rows.select("doc_id", F.lit(s).alias("wide"), F.posexplode(_windows(F.col("words"), s)).alias("at", "hash")) for s in sizes]
-    for e in exploded:
+    for s in sizes:
+        e = rows.select("doc_id", F.lit(s).alias("wide"), F.posexplode(_windows(F.col("words"), s)).alias("at", "hash"))
         hit = e.join(F.broadcast(windows) if small else windows, ["wide", "hash"])
         found = hit if found is None else found.unionByName(hit)
-    hits = scratch.keep(found.select("doc_id", "item", "item_id", "wide", "of", "item_at", "at", "slots"))
-    lines = hits.groupBy("doc_id", "item", "item_id", "of", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
-        F.count_distinct("item_at").alias("windows"), F.sum("slots").alias("slots"), F.min("item_at").alias("first"), F.max(F.col("item_at") + F.col("wide")).alias("end")
-    )
-    enough = F.greatest(F.least(F.col("of"), F.lit(2)), F.ceil(F.col("of") * COVER))
-    # a word more or less shifts the diagonal, so verbatim windows count together; slots are held to one diagonal
-    verbatim = hits.where("slots = 0").groupBy("doc_id", "item", "item_id", "of").agg(F.count_distinct("item_at").alias("windows")).where(F.col("windows") >= enough)
-    slotted = scratch.keep(lines.where((F.col("windows") >= enough) & (F.col("slots") > 0)).join(verbatim, ["doc_id", "item"], "left_anti"))
-    agreed = _consistent(docs, items, slotted)
-    return scratch.keep(verbatim.select("doc_id", "item_id").unionByName(agreed).distinct())
+    return scratch.keep(found.select("doc_id", "item", "item_id", "wide", "of", "least", "item_at", "at", "slots"))
 
 
 def _consistent(docs: DataFrame, items: DataFrame, lines: DataFrame) -> DataFrame:

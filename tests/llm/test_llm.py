@@ -151,6 +151,14 @@ def test_decontamination(spark, none):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6]
 
 
+def test_decontamination_of_numbers_names_and_long_items(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    items = {1: "12, 14, 18, 22, 30 what comes next?", 2: "WHAT IS THE CAPITAL OF FRANCE AND ITS LARGEST RIVER", 3: " ".join(words), 4: "Ann Lee, Bob Ray, Cy Fox, Di Orr, Ed Poe"}
+    texts = {i: f"so he asked this. {t} and went on" for i, t in items.items()} | {3: f"so {' '.join(words[100:160])} and", 5: f"so {' '.join(words[100:130])} and", 6: "12, 15, 18, 22, 31 what comes next?"}
+    docs, bench = (spark.createDataFrame(list(x.items()), f"{k} long, text string") for x, k in ((texts, "doc_id"), (items, "item_id")))
+    assert {tuple(r) for r in decontaminate.matches(docs, bench).collect()} == {(i, i) for i in (1, 2, 3, 4)}
+
+
 def test_decontamination_of_a_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
