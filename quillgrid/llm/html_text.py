@@ -2,7 +2,7 @@
 
 Each page is parsed once. Its blocks of text, its main region (the article, else the main element, else the body)
 and a hash of every block-level element's subtree go to a shared table. Spark counts the hashes by host; a subtree
-found on at least ``min_pages`` pages of a host, and on ``min_share`` of them, is template and goes with its blocks.
+found on at least ``min_pages`` pages of a host, however many the host has, is template and goes with its blocks.
 Pages with one and the same main text (mirrors of an article) count once. Inside an article only containers can be
 template, never a heading or a paragraph: a sentence that many articles share is text. Elements whose tag, class, id or
 role says menu, header, footer, sidebar, notice, advert, form, comments, script or style go in any case.
@@ -182,7 +182,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
-def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.02) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5) -> DataFrame:
     """page_id, url, text, n_chars, n_template (subtrees removed as template) for each row of pages (page_id, url, html)."""
     scratch = Scratch(pages.sparkSession)
     parsed = pages.select("page_id", "url", "html").mapInArrow(
@@ -196,9 +196,8 @@ def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.02) -> Da
     inside = inside.where(F.size("subtrees") > 0)
     of_page = inside.select("row", "host", "main", F.explode("subtrees").alias("subtree"))
     # texts of one host, counted once each
-    pages_of = parsed.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("of"))
     found = of_page.select("host", "subtree", "main").distinct().groupBy("host", "subtree").agg(F.count("*").alias("on"))
-    template = found.where(F.col("on") >= min_pages).join(pages_of, "host").where(F.col("on") >= min_share * F.col("of")).select("host", "subtree")
+    template = found.where(F.col("on") >= min_pages).select("host", "subtree")
     gone = of_page.join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("template"))
     some = inside.join(gone, "row", "left")
     kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.col("template"))))

@@ -284,6 +284,12 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_section_templates_of_a_large_host(spark):
+    rows = [(i, f"http://a.com/{i}", f"<body><div class=q><p>section {i // 8}</p><p>more here</p></div><div><p>story {i}</p></div></body>") for i in range(800)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"story {i}" for i in range(800)}
+
+
 def test_mirrors_keep_their_article(spark):
     rows = [(i, f"http://a.com/{i}", "<article><h1>Same</h1><div><p>story</p></div></article>") for i in range(40)]
     assert {r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Same story"}
