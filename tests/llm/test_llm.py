@@ -260,6 +260,11 @@ def test_held_out_accuracy(spark):
     assert good.agg(F.avg((F.col("quality") == F.col("predicted")).cast("double"))).first()[0] > 0.95
 
 
+def test_digit_share_is_of_the_whole_text():
+    for text in ("", "a1" * 1950, "a1" * 2000, "a" * 2000 + "7" * 1999, "".join("5" if i % 10 else "b" for i in range(20_000))):
+        assert quality.text_view(text)[9] == pytest.approx(sum(map(str.isdigit, text)) / max(1, len(text)) * 10)
+
+
 def test_quality_edges(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
