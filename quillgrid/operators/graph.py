@@ -1,12 +1,14 @@
 """Traversal of dependency edges (dependent, precedent): closures, levels, cycles, paths, neighbourhoods.
 
 All are frontier loops over DataFrames: a round's join costs the frontier's edges. Long loops cut their lineage with
-checkpoint(), which the cluster keeps in spark.checkpoint.dir.
+checkpoint(), which the cluster keeps in spark.checkpoint.dir. Loops end when nothing is left to do; only a caller's max_depth
+cuts a result, and a caller's max_rounds that runs out raises an error.
 """
 
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 1_000, both_ways: bool = False) -> DataFrame:
+def _rounds(most: int | None, what: str):
+    """Numbers of rounds without end; an error if the caller's bound runs out."""
+    for n in count():
+        if n == most:
+            raise RuntimeError(f"{what}: not finished after {most} rounds")
+        yield n
+
+
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, both_ways: bool = False) -> DataFrame:
     """(id, depth) of what the seeds reach along (src, dst); seeds have depth 0. seeds: id."""
     steps = edges.select("src", "dst")
     if both_ways:
@@ -28,7 +38,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 1_000, both_ways:
     steps = steps.distinct()
     seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         new = frontier.join(steps, frontier["id"] == steps["src"]).select(F.col("dst").alias("id")).distinct()
         frontier = cut(new.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -37,22 +47,24 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 1_000, both_ways:
     return seen
 
 
-def downstream(edges: DataFrame, seeds: DataFrame, max_depth: int = 1_000) -> DataFrame:
+def downstream(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """What depends on the seeds, seeds among it. edges: dependent, precedent."""
     return reach(edges.select(F.col("precedent").alias("src"), F.col("dependent").alias("dst")), seeds, max_depth)
 
 
-def levels(edges: DataFrame, max_rounds: int = 1_000) -> tuple[DataFrame, DataFrame]:
+def levels(edges: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, level) with precedents first, and (id) of what lies on or behind a cycle and so has no level."""
     edges = edges.select("dependent", "precedent").distinct()
     left = cut(edges.select(F.col("dependent").alias("id")).unionByName(edges.select(F.col("precedent").alias("id"))).distinct())
     open_edges, done = edges, None
-    for level in range(max_rounds):
+    for level in _rounds(max_rounds, "levels"):
         waiting = open_edges.select(F.col("dependent").alias("id")).distinct()
         free = cut(left.join(waiting, "id", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
+        if level % 16 == 15:
+            done = cut(done)
         left = cut(left.join(free, "id", "left_anti"))
         open_edges = cut(open_edges.join(free.select(F.col("id").alias("precedent")), "precedent", "left_anti"))
     if done is None:
@@ -60,26 +72,25 @@ def levels(edges: DataFrame, max_rounds: int = 1_000) -> tuple[DataFrame, DataFr
     return done, left
 
 
-def cyclic_core(edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def cyclic_core(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(dependent, precedent): edges between cells that are neither before nor behind every cycle: peeled from both ends."""
     left = cut(edges.select("dependent", "precedent").distinct())
-    for _ in range(max_rounds):
+    for _ in _rounds(max_rounds, "cyclic_core"):
         has_out = left.select(F.col("dependent").alias("precedent")).distinct()
         has_in = left.select(F.col("precedent").alias("dependent")).distinct()
         n = left.count()
         left = cut(left.join(has_out, "precedent", "left_semi").join(has_in, "dependent", "left_semi"))
         if left.count() == n:
             return left
-    return left
 
 
-def strongly_connected(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def strongly_connected(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, component) for cells on cycles; component is the least id of the cycle's cells.
 
     Each round colours what each smallest remaining id reaches, forwards and backwards, and takes the intersection away.
     """
     left, out = cyclic_core(edges), None
-    for _ in range(max_rounds):
+    for _ in _rounds(max_rounds, "strongly_connected"):
         if left.isEmpty():
             break
         ids = left.select(F.col("dependent").alias("id")).unionByName(left.select(F.col("precedent").alias("id"))).distinct()
@@ -100,17 +111,16 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return out.join(size, "component", "left_semi").unionByName(out.join(size, "component", "left_anti").join(loops, "id", "left_semi"), allowMissingColumns=True).select("id", "component")
 
 
-def _least_label(steps: DataFrame, ids: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def _least_label(steps: DataFrame, ids: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, label): the least id that reaches it, itself included."""
     label = cut(ids.withColumn("label", F.col("id")))
-    for _ in range(max_rounds):
+    for _ in _rounds(max_rounds, "least label"):
         got = label.join(steps, label["id"] == steps["src"]).groupBy("dst").agg(F.min("label").alias("offer"))
         new = label.join(got.withColumnRenamed("dst", "id"), "id", "left").select("id", F.least("label", F.coalesce("offer", "label")).alias("label"), F.col("label").alias("was"))
         new = cut(new)
         if new.where("label <> was").isEmpty():
             return new.select("id", "label")
         label = new.select("id", "label")
-    return label
 
 
 def shortest_path(edges: DataFrame, start, end, max_depth: int = 100) -> DataFrame:

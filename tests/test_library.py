@@ -1,3 +1,4 @@
+import inspect
 import io
 import json
 import zipfile
@@ -128,3 +129,19 @@ def test_edits_as_a_stream(spark, tmp_path):
     stream.recalculate_stream(source, cells, f"{tmp_path}/out", f"{tmp_path}/mark").awaitTermination(120)
     assert {r["id"]: r["new"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"a": 4.0, "b": 8.0}
     assert stream.edit_rates(source).isStreaming
+
+
+def test_graph_rounds_that_run_out_are_an_error(spark):
+    chain = spark.createDataFrame([(f"c{i + 1}", f"c{i}") for i in range(4)], "dependent string, precedent string")
+    for f in (graph.levels, graph.cyclic_core):
+        with pytest.raises(RuntimeError):
+            f(chain, max_rounds=2)
+    ids = spark.createDataFrame([(f"c{i}",) for i in range(5)], "id string")
+    with pytest.raises(RuntimeError):
+        graph._least_label(chain.selectExpr("precedent as src", "dependent as dst"), ids, max_rounds=2)
+    with pytest.raises(RuntimeError):
+        graph.strongly_connected(spark.createDataFrame([("a", "a"), ("b", "b"), ("b", "a")], "dependent string, precedent string"), max_rounds=1)
+    for f in (graph.reach, graph.downstream):
+        assert inspect.signature(f).parameters["max_depth"].default is None
+    seed = spark.createDataFrame([("c0",)], "id string")
+    assert graph.downstream(chain, seed).count() == 5 and graph.downstream(chain, seed, 2).count() == 3
