@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that the driver and all executors share; a temporary one only for a local master that names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -53,6 +55,29 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+ID_WORDS = 1 << 17  # of 64 bits: what only_ids broadcasts at most, 8.4 million slots
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, inside: bool = True, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is in ids (one column of that name), or is not; a null key is in no ids.
+
+    Long rows are not shuffled needlessly: a bit for each id's slot, packed into at most ``ID_WORDS`` rows however many ids
+    there are, is broadcast first, and only rows whose bit is set are joined. With far more ids than slots all rows are.
+    """
+    slot = lambda: F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(ID_WORDS * 64))
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    words = ids.select(slot().alias("s")).distinct().groupBy(F.shiftright("s", 6).alias(mark + "word"))
+    words = F.broadcast(words.agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias(mark + "bits")))
+    rows = docs.withColumn(mark + "slot", slot()).withColumn(mark + "word", F.shiftright(mark + "slot", 6)).join(words, mark + "word", "left")
+    hit = F.coalesce(F.expr(f"({mark}bits & shiftleft(1L, cast({mark}slot & 63 as int))) <> 0"), F.lit(False))
+    near = rows.where(hit).select(*docs.columns)
+    if inside:
+        return near.join(ids, key, "left_semi")
+    return rows.where(~hit).select(*docs.columns).unionByName(near.join(ids, key, "left_anti"))
+
+
 def doc_hash_mod(col: str, m: int):
     """crc32 of the id as text, modulo m: the fold rule that the contracts name."""
     return F.crc32(F.col(col).cast("string")) % m

@@ -6,15 +6,17 @@ centre of a star of candidate pairs, so a bucket of m classes gives m - 1 pairs.
 sets, and the links' components are found.
 
 A star alone can miss a link between two of its leaves. So the classes of a bucket that components still keep apart
-are compared again: all of them where the bucket has at most ``SMALL`` classes, else with ``CENTRES`` further centres, each
-large bucket in one of ``ROUNDS`` rounds. The classes of large buckets that are apart even then are compared by an exact
-prefix filter on their full sets. A pair at the threshold shares no bucket with a chance below 1e-5.
+are compared again: all of them where the bucket has at most ``SMALL`` classes, else with ``CENTRES`` further centres. The
+classes of large buckets that are apart even then are compared by an exact prefix filter on their full sets. A pair at the
+threshold shares no bucket with a chance below 1e-5.
 
 Words end at ASCII white space, A-Z in lower case; a set holds 64-bit hashes of the shingles.
 
 Defined cases: a text without words (null, empty, white space) has an empty set and is linked with nothing; one with
-fewer words than a shingle has one shingle, the whole; repeated rows, and rows with one id, are one document of that
-id; equal sets are linked and the smallest id is kept; an empty table gives an empty result; other columns are ignored.
+fewer words than a shingle has one shingle, the whole; repeated rows are one document; of rows with one id and several
+texts the one with most shingles (then with the largest digest) stands for all; a null id is linked with nothing and its
+component is null; equal sets are linked and the smallest id is kept; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Scratch, connected_components, small_batches, table
+from quillgrid.llm.common import Scratch, connected_components, only_ids, small_batches, table
 
 BINS, ROWS = 252, 6  # 42 bands
 SKETCH = 128  # bytes, one a bin
 SMALL = 24
 CENTRES = 4
-ROUNDS = 6
 CHUNK = 1_000_000  # bytes of text hashed at once
-SLOTS = 1 << 22  # of the bit map of ids, 512 KB
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -168,19 +168,19 @@ def _signature_batches(k: int):
     return run
 
 
-def _set_batches(k: int, slots):
-    """Shingle sets of the rows whose id falls into a used slot."""
+def _set_batches(k: int):
+    """Shingle sets, with the digest that _signature_batches gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = np.unpackbits(np.frombuffer(slots.value, np.uint8))
         for batch in batches:
-            batch = batch.filter(pa.array(used[batch.column("slot").to_numpy()].astype(bool)))
             for row, end, data, bounds in _chunks(batch.column("text")):
                 held, owner = shingles(*word_hashes(data, bounds), k)
                 at = np.searchsorted(owner, np.arange(end - row + 1))
+                lo = np.zeros(end - row, np.uint64)
+                np.add.at(lo, owner, mix(held, 2000))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, end - row).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(held.view(np.int64)))],
-                    ["doc", "held"],
+                    [batch.column("doc_id").slice(row, end - row).cast(pa.int64()), pa.array(lo.view(np.int64)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(held.view(np.int64)))],
+                    ["doc", "lo", "held"],
                 )
 
     return run
@@ -214,9 +214,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = scratch.keep(docs.mapInArrow(_signature_batches(k), "doc_id long, n_shingles long, lo long, hi long, bands array<long>, sketch binary"))
     same = ["lo", "hi", "n_shingles"]
-    classes = sig.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("doc"))
-    reps = sig.join(classes, same, "left_semi").join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-    reps = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["doc"])
+    digest = F.struct("n_shingles", "lo", "hi")
+    several = sig.groupBy("doc_id").agg(F.min(digest).alias("least"), F.max(digest).alias("most")).where("least <> most and doc_id is not null")
+    several = scratch.keep(several.select("doc_id", "most.*"))
+    full = sig
+    if not several.isEmpty():  # ids with several texts
+        sig = sig.join(several.select("doc_id"), "doc_id", "left_anti").unionByName(sig.join(several, ["doc_id", *same], "left_semi"))
+    # written, so that the join on a class with very many copies is a skewed join that Spark splits
+    classes = scratch.keep(sig.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("doc")).where("doc is not null"))
+    reps = sig.join(classes.select(F.col("doc").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
+    reps = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "lo", "bands", "sketch").dropDuplicates(["doc"])
     reps = scratch.keep(reps)
     keyed = reps.select("doc", F.explode("bands").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -224,13 +231,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ids = active.groupBy("doc").agg(F.sum(F.log2("size")).alias("shared"))
     ids = scratch.keep(ids)
     sketches = reps.select("doc", "n", "sketch").join(ids, "doc", "left_semi")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
-    used = np.zeros(SLOTS, np.uint8)  # at most SLOTS numbers come here, however many documents there are
-    slots = ids.select(F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()
-    used[slots.column("slot").to_numpy()] = 1
-    bitmap = spark.sparkContext.broadcast(np.packbits(used).tobytes())
-    sets = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(_set_batches(k, bitmap), "doc long, held array<long>")
-    sets = scratch.keep(sets.join(ids, "doc", "left_semi").dropDuplicates(["doc"]))
+    texts = only_ids(docs, ids.select(F.col("doc").alias("doc_id")))
+    sets = texts.mapInArrow(_set_batches(k), "doc long, lo long, held array<long>")
+    sets = sets.join(reps.select("doc", "lo").join(ids, "doc", "left_semi"), ["doc", "lo"], "left_semi").drop("lo")
+    sets = scratch.keep(sets.dropDuplicates(["doc"]))
 
     share = percent / 100
     least = int(SKETCH * max(0.0, share - 5 * (share * (1 - share) / SKETCH) ** 0.5))
@@ -252,7 +256,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     component = ids.select("doc", F.col("doc").alias("component"))
     tested = None
-    for turn in range(ROUNDS):
+    for turn in range(2):
         here = active.join(component, "doc")
         member = F.struct(F.col("doc").alias("centre"), F.col("component").alias("centre_component"))
         if turn == 0:
@@ -260,13 +264,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             pairs = _pairs(here, centres.select("bucket", "c.*"))
         else:
             # one ranking for all buckets: those that hold much the same classes take the same centres
-            picked = F.array(*(F.max_by(member, F.xxhash64("doc", F.lit(turn * CENTRES + i))) for i in range(CENTRES)))
+            picked = F.array(*(F.max_by(member, F.xxhash64("doc", F.lit(i))) for i in range(CENTRES)))
             apart = here.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), picked.alias("c")).where("least <> most")
-            mine = (F.col("size") > SMALL) & (F.pmod(F.col("bucket"), F.lit(ROUNDS - 1)) == turn - 1)  # a large bucket has one turn
-            pairs = _pairs(here.where(mine), apart.select("bucket", F.explode(F.array_distinct("c")).alias("c")).select("bucket", "c.*"))
-            if turn == 1:
-                few = here.where(F.col("size") <= SMALL).join(apart.select("bucket"), "bucket", "left_semi")
-                pairs = pairs.unionByName(_pairs(few, few.select("bucket", F.col("doc").alias("centre"), F.col("component").alias("centre_component"))))
+            apart = scratch.keep(apart)
+            pairs = _pairs(here.where(F.col("size") > SMALL), apart.select("bucket", F.explode(F.array_distinct("c")).alias("c")).select("bucket", "c.*"))
+            few = here.where(F.col("size") <= SMALL).join(apart.select("bucket"), "bucket", "left_semi")
+            pairs = pairs.unionByName(_pairs(few, few.select("bucket", F.col("doc").alias("centre"), F.col("component").alias("centre_component"))))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -289,9 +292,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         links = scratch.keep(confirm(scratch.keep(pairs)))
         if not links.isEmpty():
             component = merge(component, links)
-    rows = sig.select("doc_id", *same).join(classes, same, "left").join(component, "doc", "left")
+    rows = full.select("doc_id", *same)
+    if sig is not full:
+        whole = several.select("doc_id", *(F.col(c).alias(f"_{c}") for c in same))
+        rows = rows.join(whole, "doc_id", "left").select("doc_id", *(F.coalesce(f"_{c}", c).alias(c) for c in same))
+    rows = rows.join(classes, same, "left").withColumn("doc", F.when(F.col("doc_id").isNotNull(), F.col("doc"))).join(component, "doc", "left")
     found = F.coalesce("component", "doc", "doc_id")
-    return rows.select("doc_id", "n_shingles", found.alias("component_id"), (F.col("doc_id") == found).alias("kept"))
+    return rows.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
 
 
 def _pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
