@@ -130,12 +130,12 @@ class _Remembered(dict):
         return out
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+_codecs: dict[tuple[str, str], Codec] = {}
 
 
-def _codec(model, ranks: dict[bytes, int], pattern: str) -> Codec:
-    """One codec a worker process."""
-    key = (len(model), pattern)
+def _codec(digest: str, model: bytes, ranks: dict[bytes, int], pattern: str) -> Codec:
+    """One codec a worker process; digest: of the model."""
+    key = (digest, pattern)
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(model, ranks, pattern)
@@ -147,7 +147,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fal
     spark = docs.sparkSession
     small_batches(spark)
     ranks = read_ranks(path)
-    shared = spark.sparkContext.broadcast((sentencepiece_model(ranks), ranks))
+    model = sentencepiece_model(ranks)
+    shared = spark.sparkContext.broadcast((hashlib.sha256(model).hexdigest(), model, ranks))
     schema = RESULT + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,8 @@ A path is joined in chunks of ``CHUNK`` turns first, then over its chunks, so a
 
 Defined cases: null texts and roles are empty; a null or unknown parent makes a root, and a message that is its own
 ancestor (a cycle) is on no path; null scores are 0; ties in rank go to the smallest leaf; turns with one number are ordered
-by role, then text, and repeated rows are turns of their own; an empty table gives an empty result; other columns are ignored.
+by role, then text, and repeated rows are turns of their own; a null turn number comes first; turns without a conversation
+(null conv_id) belong to none and are left out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from quillgrid.llm.common import Scratch, table
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
 CHUNK = 128
+BLOCK = 1024  # turn numbers ordered in one group
 LEVELS = 40  # of jumps: paths of up to 2^40 messages
 
 
@@ -128,8 +130,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def as_trees(conversations: DataFrame) -> DataFrame:
     """Linear conversations (conv_id, turn, role, text) as trees: each turn replies to the one before it."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = conversations.select(F.col("conv_id").cast("long").alias("tree"), "conv_id", "turn", "role", "text").withColumn("message", F.row_number().over(order).cast("long"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("tree"), F.col("turn").cast("long").alias("turn"), "role", "text").where("conv_id is not null")
+    # turns are numbered in blocks, then the blocks are put end to end, so that a long conversation is no single group
+    rows = rows.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    first = Window.partitionBy("tree").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("tree", "block").agg(F.count("*").alias("n"))
+    blocks = blocks.select("tree", "block", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("before"))
+    order = Window.partitionBy("tree", "block").orderBy("turn", "role", "text")
+    rows = rows.withColumn("place", F.row_number().over(order)).alias("r").join(blocks.alias("b"), (F.col("r.tree") == F.col("b.tree")) & F.col("r.block").eqNullSafe(F.col("b.block")))
+    rows = rows.select("r.*", (F.col("before") + F.col("place")).cast("long").alias("message"))
     parent = F.when(F.col("message") > 1, F.col("message") - 1)
     return rows.select("tree", "message", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
@@ -149,12 +158,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op4_chat_format": op4_chat_format}
 ORACLE_SQL = {
     "op4_chat_format": """
-with c as (select cast(conv_id as bigint) as conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+with c as (select cast(conv_id as bigint) as conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
            union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
            union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
-select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
        cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
-       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
        cast(sum(length('<|im_start|>' || replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'), chr(10), chr(92) || 'n') || chr(10)
                 || replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') || '<|im_end|>' || chr(10))) as bigint) as formatted_chars
 from c group by conv_id"""

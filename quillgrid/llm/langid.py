@@ -3,9 +3,9 @@
 A word that training has seen scores by its log frequency in each language. An unseen word backs off to its longest
 known character n-grams, and to shorter ones where those are unknown. A document's language has the largest sum.
 
-The fit reads a bounded sample of the training rows (``max_docs``, by a hash of the id) and keeps at most
-``max_words`` words and ``max_grams`` n-grams of each length for a language, so the model that each task holds has a
-fixed size. Prediction reads every whole text.
+The fit reads a bounded sample of the training rows (``max_docs``, by a hash of the id), so that the model that each task
+holds is bounded by the sample. Words that the sample holds once in a language are left to their n-grams, as a single
+sight says less than these. Prediction reads every whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no training rows every text is
 ``und``; ties go to the alphabetically first language; rows without a language take no part in the fit; repeated rows
@@ -23,15 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from quillgrid.llm.common import Scratch, bounded_sample, doc_hash_mod, table
+from quillgrid.llm.common import Scratch, bounded_sample, doc_hash_mod, small_batches, table
 
 UNDETERMINED = "und"
 LONGEST = 5  # characters of the longest n-grams
 FLUSH = 300_000  # distinct features that a task counts before it hands them on
 REMEMBERED = 1_600_000  # scores of words that a worker remembers, over all languages
-LETTERS = re.compile(r"[^\W\d_]+")
+# characters that count as numeric without being digits (fractions, superscripts, Roman numerals) are no letters
+NUMERIC = "".join(c for c in map(chr, range(128, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERIC}]+")
+PIECE = 100_000  # n-grams of a word that are made at once
 
 
 def words_of(text: str | None) -> list[str]:
@@ -44,6 +46,16 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def pieces_of(word: str, n: int) -> Iterator[list[str]]:
+    """The n-grams in lists of bounded length: a single word can have millions."""
+    if len(word) < PIECE:
+        yield grams_of(word, n)
+        return
+    marked = f"<{word}>"
+    for at in range(0, len(marked) - n + 1, PIECE):
+        yield [marked[i : i + n] for i in range(at, min(at + PIECE, len(marked) - n + 1))]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n, feature, count): n is 0 for words, else the n-gram's length."""
     seen: dict[str, Counter] = defaultdict(Counter)
@@ -55,8 +67,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams: Counter = Counter()
             for w, c in counts.items():
                 for n in range(1, LONGEST + 1):
-                    for g in grams_of(w, n):
-                        grams[n, g] += c
+                    for piece in pieces_of(w, n):
+                        for g in piece:
+                            grams[n, g] += c
             rows += [(lang, n, f, c) for (n, f), c in [*all_counts.items(), *grams.items()]]
         seen.clear()
         lang, n, feature, count = zip(*rows, strict=True) if rows else ([], [], [], [])
@@ -73,20 +86,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def fit(train: DataFrame, max_docs: int = 20_000, max_words: int = 50_000, max_grams: int = 10_000) -> dict:
+def fit(train: DataFrame, max_docs: int = 20_000) -> dict:
     """The model: languages, and log frequencies of words and n-grams. train: doc_id, text, lang."""
+    small_batches(train.sparkSession)
     train = bounded_sample(train.where("lang is not null"), "doc_id", max_docs).where("text is not null")
     counts = train.select("lang", "text").mapInArrow(_count, "lang string, n int, feature string, count long")
     counts = Scratch(train.sparkSession).keep(counts.groupBy("lang", "n", "feature").agg(F.sum("count").alias("count")))
     totals = {(r["lang"], r["n"]): (r["total"], r["kinds"]) for r in counts.groupBy("lang", "n").agg(F.sum("count").alias("total"), F.count("*").alias("kinds")).collect()}
-    order = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "feature")
-    kept = (
-        counts.where("n > 0 or count > 1")
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
-        .select("lang", "n", "feature", "count")
-        .toArrow()
-    )
+    kept = counts.where("n > 0 or count > 1").select("lang", "n", "feature", "count").toArrow()
     langs = sorted({lang for lang, _ in totals})
     index = {lang: i for i, lang in enumerate(langs)}
     # an n-gram or word that a language lacks gets half a count
@@ -110,9 +117,13 @@ def word_score(model: dict, word: str) -> np.ndarray:
     if (i := places[0].get(word)) is not None:
         return tables[0][i]
     for n in range(LONGEST, 0, -1):
-        known = [i for g in grams_of(word, n) if (i := places[n].get(g)) is not None]
-        if known:
-            return tables[n][known].mean(axis=0)
+        total, found = 0, 0
+        for piece in pieces_of(word, n):
+            known = [i for g in piece if (i := places[n].get(g)) is not None]
+            if known:
+                total, found = total + tables[n][known].sum(axis=0), found + len(known)
+        if found:
+            return total / found
     return np.zeros(len(model["langs"]), np.float32)
 
 
@@ -141,6 +152,7 @@ class _Scores(dict):
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score. The model's size is bounded by the fit's parameters."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,11 +8,11 @@ with its two constants taken from clean training documents; a segment whose expe
 ``SIGNIFICANT`` is a toxic passage. A logistic curve over the best segment's normalised score and the sum over
 significant passages gives the document's probability; it is fitted across two folds, each scored by the odds of the other.
 
-The fit reads a bounded sample of labelled documents (``max_docs``, by a hash of the id) and keeps ``max_tokens``
-tokens at most, so that the model has a fixed size. Scores, and the sample's own in the fit, read whole texts.
+The fit reads a bounded sample of labelled documents (``max_docs``, by a hash of the id), so that the model, of every token
+and prefix that two of them hold, is bounded by it. Scores, and the sample's own in the fit, read whole texts.
 
 Defined cases: null and empty texts have no passage and get the curve's value for that; rows with a null label take no
-part in the fit; without both labels the score is the share of toxic rows (0 with none); repeated rows give repeated
+part in the fit; of one id's labels the largest counts; without both labels the score is the share of toxic rows (0 with none); repeated rows give repeated
 results; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -176,7 +176,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, max_tokens: int = 200_000) -> dict:
+def fit(labelled: DataFrame) -> dict:
     """The model from rows (doc_id, text, toxic); see ``train_rows``."""
     small_batches(labelled.sparkSession)
     rows = labelled.select("text", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int").alias("fold"), F.col("toxic").cast("int").alias("toxic")).persist()
@@ -189,10 +189,8 @@ def fit(labelled: DataFrame, max_tokens: int = 200_000) -> dict:
         *(F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("documents")).otherwise(0)).alias(f"c{f}{t}") for f in (0, 1) for t in (0, 1))
     )
     toxic, clean = F.col("c01") + F.col("c11"), F.col("c00") + F.col("c10")
-    ratio = n[1] / n[0]
-    # what tells most about the label; of the others the prefixes give the odds
-    gap = F.abs(F.log((toxic + PRIOR * ratio) / (clean + PRIOR) / ratio)) * F.sqrt(toxic + clean)
-    kept = counts.where(toxic + clean > 1).withColumn("gap", gap).orderBy(F.desc("gap"), "token").limit(max_tokens).select("token", "c00", "c01", "c10", "c11").toArrow().to_pydict()
+    # of a token that one document holds, the prefixes give the odds
+    kept = counts.where(toxic + clean > 1).select("token", "c00", "c01", "c10", "c11").toArrow().to_pydict()
 
     def odds(folds: tuple[int, ...]) -> dict[str, float]:
         sums = [np.sum([kept[f"c{f}{t}"] for f in folds], axis=0).tolist() for t in (1, 0)]
@@ -246,7 +244,8 @@ def fit(labelled: DataFrame, max_tokens: int = 200_000) -> dict:
 
 def train_rows(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
     """A bounded sample of labelled documents; it's drawn before the join and broadcast, so that no text moves."""
-    picked = bounded_sample(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id", max_docs)
+    labels = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked = bounded_sample(labels, "doc_id", max_docs)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
