@@ -1,5 +1,8 @@
 import hashlib
+import math
 import random
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -9,9 +12,10 @@ pytest.importorskip("quillgrid.llm")
 
 from brute import components  # noqa: E402
 
-from quillgrid.llm import ann, bpe, chat, decontaminate, html_text, langid, minhash, quality, sharding, toxicity  # noqa: E402
+from quillgrid.llm import ann, bpe, chat, common, decontaminate, html_text, langid, minhash, quality, sharding, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
+DOCS_4 = "doc_id long, text string, lang string, source string"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, node string, slot string"
 
 
@@ -105,6 +109,29 @@ def test_near_duplicates_of_a_large_group_with_few_links(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """A group in which most pairs lie just below the threshold, so that few links hold it together."""
+    rng = random.Random(4)
+    base, rows = [f"v{i}" for i in range(400)], []
+    for i in range(500):
+        words = list(base)
+        for p in rng.sample(range(400), 7):
+            words[p] = f"e{rng.randint(0, 10**9)}"
+        rows.append((i, " ".join(words)))
+    want = components(rows, 3, 85)
+    assert len({c for _, c in want.values()}) > 100
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_near_duplicates_of_ids_with_several_texts_or_none(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, b), (None, a), (None, a), (5, a), (5, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, 26, None, True)] * 2 + [(1, 36, 1, True)] * 2 + [(2, 26, 2, True), (3, 36, 1, False), (4, 36, 1, False)] + [(5, 26, 2, False)] * 2
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_near_duplicates_of_a_table(spark, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     want = components([tuple(r) for r in docs.collect()], 3, 85)
@@ -132,6 +159,30 @@ def test_shards_cut_a_hot_text(spark):
     assert len(sizes) == 8 and sizes.max() - sizes.min() <= 12
 
 
+def test_shards_of_far_ids_equal_rows_and_values_with_one_prefix(spark):
+    ids = [2**62 + i for i in range(150)] + [-(2**62) - i for i in range(100)] + [7] * 200 + [None] * 50
+    rows = [(i, "same", "common-crawl-en", f"common-crawl-{n % 4}") for n, i in enumerate(ids)]
+    got = sharding.shard(spark.createDataFrame(rows, DOCS_4), 8).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(got) == 500 and len(sizes) == 8 and sizes.max() - sizes.min() <= 10
+    docs = spark.createDataFrame([(i, f"text {100 + i}", "en", f"common-crawl-{'ab'[i % 2]}") for i in range(400)], DOCS_4)
+    half = sharding.shard(docs, 2).join(docs, "doc_id").select("shard", "source").distinct()
+    assert half.count() == 2  # whole sources, as they are the widest dimension
+
+
+def test_shard_query(spark):
+    d = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = sharding.op7_kd_shards(spark, d).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in docs.items()}
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(sizes) == list(range(16)) and max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in got)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_decontamination(spark, none):
     item = "A train travels 60 km in 2 hours before Alice boards, and Alice pays 30 dollars for the trip."
     texts = {
@@ -147,8 +198,53 @@ def test_decontamination(spark, none):
     assert {tuple(r) for r in decontaminate.matches(docs, bench).collect()} == {(1, 7), (2, 7)}
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
     assert decontaminate.matches(none.select("doc_id", "text"), bench).count() == 0
-    kept = decontaminate.only_ids(docs, decontaminate.matches(docs, bench).select("doc_id"), inside=False)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6]
+    kept = common.only_ids(docs.withColumn("_word", F.lit("y")), decontaminate.matches(docs, bench).select("doc_id"), inside=False)
+    assert sorted((r["doc_id"], r["slot"], r["_word"]) for r in kept.collect()) == [(i, "x", "y") for i in (3, 4, 5, 6)]
+    assert decontaminate.matches(docs.withColumn("doc_id", F.lit(None).cast("long")), bench).count() == 0
+
+
+PEOPLE, CITIES = "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan Judy".split(), "Rome Paris Oslo Cairo Lima Delhi Quito Bern".split()
+STORIES = (
+    "{a} has {x} apples and gives {y} of them to {b}. {a} then walks {z} km from {c} to the market with {b}.",
+    "{a} pays {x} dollars for a ticket to {c}, and {b} pays {y} dollars more than that. How much did {a} and {b} pay?",
+    "In {c} a bus with {x} seats leaves every {y} minutes. How many people can ride with {a} between noon and {z} hours later?",
+)
+
+
+def _story(rng, k):
+    a, b = rng.sample(PEOPLE, 2)
+    return STORIES[k].format(a=a, b=b, c=rng.choice(CITIES), x=rng.randint(3, 99), y=rng.randint(3, 99), z=rng.randint(3, 99))
+
+
+def test_decontamination_recall_of_reparameterised_items(spark):
+    rng = random.Random(8)
+    bench = spark.createDataFrame([(k, _story(rng, k)) for k in range(len(STORIES))], "item_id long, text string")
+    filler = lambda: " ".join(f"word{rng.randint(0, 999)}" for _ in range(40))
+    rows = [(i, f"{filler()}. {_story(rng, i % 3)} {filler()}") for i in range(90)] + [(100 + i, f"{filler()}. {filler()}") for i in range(90)]
+    got = {tuple(r) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert len({(i, i % 3) for i in range(90)} & got) >= 86
+    assert got <= {(i, i % 3) for i in range(90)}
+
+
+def test_decontamination_by_shuffle_equals_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    want = sorted(map(tuple, decontaminate.matches(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert want and sorted(map(tuple, decontaminate.matches(docs, bench).collect())) == want
+
+
+def test_decontamination_of_long_runs(spark):
+    item = "A train travels 60 km in 2 hours before the old driver stops it."
+    texts = {
+        1: " ".join(["Lima"] * 100_000) + f" {item}",
+        2: ",".join(["7"] * 100_000) + f" {item}",
+        3: " ".join(f"w{i % 977}" for i in range(700_000)) + f" {item}",  # some MB
+        4: "X" * 1_000_000,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {tuple(r) for r in decontaminate.matches(docs, bench).collect()} == {(1, 7), (2, 7), (3, 7)}
 
 
 def test_decontamination_of_numbers_names_and_long_items(spark):
@@ -244,6 +340,50 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(train.limit(0))).collect()} == {"und"}
 
 
+def test_letters():
+    assert langid.words_of("½ ² Ⅷ ٣ _ 12") == [] and langid.words_of("e² naïve日本") == ["e", "naïve日本"]
+
+
+def test_language_of_a_very_long_word(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 1000)
+    word = "ab" * 3000 + "xyz"
+    assert [g for p in langid.pieces_of(word, 4) for g in p] == langid.grams_of(word, 4)
+
+
+def test_language_equals_a_plain_version(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    train = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] is not None and r["text"] is not None]
+    counts = defaultdict(Counter)  # (lang, n)
+    for r in train:
+        for w in langid.words_of(r["text"]):
+            counts[r["lang"], 0][w] += 1
+            for n in range(1, 6):
+                counts[r["lang"], n].update(f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n))
+    langs = sorted({x for x, _ in counts})
+    totals = {k: sum(c.values()) for k, c in counts.items()}
+
+    def feature(f, n):
+        seen = [counts[x, n][f] if n or counts[x, n][f] > 1 else 0 for x in langs]
+        if not any(seen):
+            return None
+        logs = [math.log(c / totals[x, n] if c else 0.5 / (totals[x, n] + 1)) for c, x in zip(seen, langs, strict=True)]
+        return np.array(logs) - np.mean(logs)
+
+    def word(w):
+        if (s := feature(w, 0)) is not None:
+            return s
+        for n in range(5, 0, -1):
+            got = [s for i in range(len(w) + 3 - n) if (s := feature(f"<{w}>"[i : i + n], n)) is not None]
+            if got:
+                return np.mean(got, axis=0)
+        return np.zeros(len(langs))
+
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.op9_language_id(spark, "/root/testdata/sf0.01").collect()}
+    for r in rows[:300]:
+        words = langid.words_of(r["text"])
+        assert got[r["doc_id"]] == (langs[int(np.argmax(sum(map(word, words))))] if words else "und")
+
+
 def test_language_model_bounds(spark):
     rows = [(i, "hello there", "en") for i in range(15_000)] + [(20_000 + i, "hello there", f"l{i}") for i in range(30)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -260,6 +400,26 @@ def test_held_out_accuracy(spark):
     assert good.agg(F.avg((F.col("quality") == F.col("predicted")).cast("double"))).first()[0] > 0.95
 
 
+def test_held_out_toxicity(spark):
+    d = "/root/testdata/sf0.1"
+    found = toxicity.op6_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    share = {r["toxic"]: r["p"] for r in found.groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()}
+    assert share[1] > 0.8 and share[0] < 0.05
+
+
+def test_pool_is_every_unlabelled_row(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    views = quality.features(docs)
+    model = quality.fit(docs, labels, views=views)
+    counted = views.mapInArrow(quality._pool_scores(model), "view int, bin int, n long").groupBy("view").agg(F.sum("n").alias("n")).collect()
+    assert [r["n"] for r in counted] == [docs.count()] * 2
+    low, high, below, above = quality._cuts({-3000: 4, -2000: 5, -10: 9, 10: 9, 1500: 6}, 6, 3)
+    assert (low, below, high, above) == (-2000, 9, 1500, 6)
+    again = quality.fit(docs, labels.unionByName(labels.withColumn("quality", F.lit(0))), views=views)  # the larger label counts
+    assert np.allclose(again["both"], model["both"])
+
+
 def test_digit_share_is_of_the_whole_text():
     for text in ("", "a1" * 1950, "a1" * 2000, "a" * 2000 + "7" * 1999, "".join("5" if i % 10 else "b" for i in range(20_000))):
         assert quality.text_view(text)[9] == pytest.approx(sum(map(str.isdigit, text)) / max(1, len(text)) * 10)
@@ -295,6 +455,42 @@ def test_section_templates_of_a_large_host(spark):
     assert got == {i: f"story {i}" for i in range(800)}
 
 
+def test_words_in_names_and_attributes_keep_their_text():
+    main = lambda page: html_text._main(html_text.parse(page)[0], [])
+    assert main("<article><p title=it's>one two</p><p>don't stop</p></article>") == "one two don't stop"
+    kept = '<div class="share-price"><p>price</p></div><section id="notice-of-motion"><p>motion</p></section>'
+    gone = '<div class="share-buttons">a</div><div class="commentList">b</div><div id="comments-42">c</div><div class="x ad">d</div>'
+    assert main(f"<article>{kept}{gone}<p>end</p></article>") == "price motion end"
+    assert main("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+
+
+def test_template_is_counted_before_names_are_looked_at(spark, monkeypatch):
+    rows = [(i % 37, f"http://a.com/{i}", f"<body><nav><a href=/>Home</a></nav><div class=z>All rights</div><div><p>story {i}</p></div></body>") for i in range(40)]
+    rows += [(i, f"http://b.com/{i}", f"<body><nav><a href=/>Home</a></nav><div><p>story {i}</p></div></body>") for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(map(tuple, html_text.extract(pages).collect()))
+    assert {(r[2], r[4] > 0) for r in got if "a.com" in r[1]} == {(f"story {i}", True) for i in range(40)}
+    assert {(r[2], r[4]) for r in got if "b.com" in r[1]} == {(f"story {i}", 0) for i in range(3)}
+    monkeypatch.setattr(html_text, "BROADCAST_KEYS", 0)
+    assert sorted(map(tuple, html_text.extract(pages).collect())) == got
+
+
+def test_extraction_equals_a_plain_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    seen, parsed = defaultdict(set), []
+    for r in pages:
+        blocks, spans = html_text.parse(r["html"] or "")
+        parsed.append((r, blocks, spans))
+        for h, *_ in spans:
+            seen[html_text.host_of(r["url"]), h].add(html_text._main(blocks, []))
+    want = {}
+    for r, blocks, spans in parsed:
+        gone = {i for h, a, b in spans if len(seen[html_text.host_of(r["url"]), h]) >= 5 for i in range(a, b)}
+        left = [(t, region) for i, (t, region, listed) in enumerate(blocks) if i not in gone and not listed]
+        want[r["page_id"]] = " ".join(t for t, region in left if region == max(x for _, x in left))
+    assert {r["page_id"]: r["text"] for r in html_text.op8_html_extract(spark, "/root/testdata/sf0.01").collect()} == want
+
+
 def test_mirrors_keep_their_article(spark):
     rows = [(i, f"http://a.com/{i}", "<article><h1>Same</h1><div><p>story</p></div></article>") for i in range(40)]
     assert {r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Same story"}
@@ -314,6 +510,19 @@ def test_chat_round_trip(spark):
         learned = [chat.unescape(done[c]["formatted"][s["start"] : s["start"] + s["length"]]) for s in done[c]["loss"]]
         assert learned == [r[3] or "" for r in mine if r[2] == "assistant"]
     assert chat.paths(messages.limit(0)).count() == 0
+    far = spark.createDataFrame([(1, t, "user", f"{t}", "x") for t in (5000, None, -9, 1024, 3)] + [(None, 1, "user", "a", "x")], "conv_id long, turn long, role string, text string, leaf string")
+    assert [r["text"] for r in chat.as_trees(far).orderBy("message").collect()] == ["None", "-9", "3", "1024", "5000"]
+    assert chat.as_trees(far).agg(F.max("message")).first()[0] == 5
+
+
+def test_chat_query_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view conversations as select * from '/root/testdata/sf0.01/conversations.parquet'")
+    got = chat.op4_chat_format(spark, "/root/testdata/sf0.01")
+    want = con.execute(f"select {', '.join(got.columns)} from ({chat.ORACLE_SQL['op4_chat_format']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_reply_trees(spark):
