@@ -55,8 +55,11 @@ PLACEHOLDERS = [NUMBER, UNIT, NAME]
 # groups that repeat are possessive: others are matched recursively, and a long run of them overflows a task's stack
 _NUMBER = r"(?<![\p{L}\p{N}])[+-]?[$€£]?\p{Nd}++(?:[.,:/]\p{Nd}++)*+"
 _UNIT = rf"(?<= {NUMBER} )\s*(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])|(?<= {NUMBER} )\s*[%°]"
-_WORD = rf"(?!(?:{'|'.join(STARTERS)})(?![\p{{L}}'’-]))\p{{Lu}}[\p{{L}}'’-]*+"
-_NAME = rf"(?<![\p{{L}}\p{{N}}'’-]){_WORD}(?:\s{_WORD})*+"
+_BY_LETTER = {c: "|".join(w[1:] for w in STARTERS if w[0] == c) for c in {w[0] for w in STARTERS}}
+_STARTER = "|".join(f"{c}(?:{rest})" for c, rest in sorted(_BY_LETTER.items()))
+_WORD = rf"(?!(?:{_STARTER})(?![\p{{L}}'’-]))\p{{Lu}}[\p{{L}}'’-]*+"
+# the first look ahead lets most places fail at once
+_NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}'’-]){_WORD}(?:\s{_WORD})*+"
 
 
 def canonical(text: Column) -> Column:
