@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgrid.llm import bpe, decontaminate, minhash, quality, toxicity
-from quillgrid.llm.common import Scratch, doc_hash_mod, table
+from quillgrid.llm.common import Scratch, doc_hash_mod, only_ids, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +28,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal rows of the kept document's id one stays."""
+    """The rows of the document that its group keeps; rows with one id are one document and stay or go together."""
     gone = minhash.near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id")
-    return decontaminate.only_ids(docs, Scratch(spark).keep(gone), inside=False)
+    return only_ids(docs, Scratch(spark).keep(gone), inside=False)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
-    return decontaminate.only_ids(docs, found.select("doc_id"), inside=False)
+    return only_ids(docs, found.select("doc_id"), inside=False)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES = [
     ("decontaminate", decontaminate_stage),
     ("bpe", bpe_stage),
 ]
-#: SQL can express neither the classifiers nor the tokenizer; tests/llm checks the stages against brute force.
+#: SQL can express neither the classifiers nor the tokenizer; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
