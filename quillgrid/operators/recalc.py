@@ -4,8 +4,13 @@ A formula becomes a postfix array once (a small helper); Spark evaluates it with
 the dependency graph is one join and one projection for all cells and scenarios. Only what lies downstream of an edit is
 evaluated. Cells on cycles are iterated to a fixed point afterwards; what depends on them follows.
 
-Cells: id, num, formula (null for constants). References in formulas are cell ids. An unknown function, a missing
-operand beyond blank, or a division by zero gives null, which is an error value and is counted as such; a blank is 0.
+Cells: id, num, formula (null for constants). References in formulas are cell ids. Where ids are addresses (``Sheet!B2``), a
+reference without a sheet means the formula's own, dollar signs are ignored, and ranges (``A1:B9``) stand in SUM, COUNT, MIN,
+MAX, AVERAGE, COUNTIF and SUMIF. A range is a node of its own, filled by a join of its cells and one aggregation, so a formula
+over a whole column is no group in one task.
+
+An unknown function or a division by zero gives null, which is an error value: whatever reads it is an error too, except
+through IFERROR. A blank (a cell without number and formula, or none at all) is 0. Dates are day numbers.
 """
 
 from __future__ import annotations
@@ -17,16 +22,70 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.functions.cells import column_letters, column_number, datedif, serial_date
 from quillgrid.operators.graph import cut, downstream, levels
+from quillgrid.operators.structure import in_ranges
 
-TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?)|([A-Za-z_][A-Za-z0-9_.]*)(\()?|(<=|>=|<>|[-+*/^(),<>=]))")
+ADDRESS = r"\$?[A-Za-z]{1,3}\$?[1-9]\d{0,6}"
+TOKEN = re.compile(
+    rf"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?)|\"([^\"]*)\"|((?:'(?:[^']|'')+'|[^\W\d][\w.]*)!{ADDRESS}(?::{ADDRESS})?|{ADDRESS}:{ADDRESS}|\$[A-Za-z]{{1,3}}\$?[1-9]\d*|[A-Za-z]{{1,3}}\$[1-9]\d*)"
+    r"|([^\W\d][\w.]*)(\()?|(<=|>=|<>|[-+*/^(),<>=]))"
+)
+PLAIN = re.compile(r"[A-Za-z]{1,3}[1-9]\d{0,6}$")
+#: What is kept of a range; a criterion is written behind.
+OF_RANGE = {"SUM": "sum", "COUNT": "count", "MIN": "min", "MAX": "max"}
+UNITS = ["D", "M", "Y", "MD", "YM", "YD"]
+DATE_CALLS = ["YEAR", "MONTH", "DAY", "DATE", "EDATE", "DATEDIF"]
 BINDS = {"u-": 6, "^": 5, "*": 3, "/": 3, "+": 2, "-": 2, "<": 1, ">": 1, "=": 1, "<=": 1, ">=": 1, "<>": 1}
-FUNCTIONS = {"SUM", "MAX", "MIN", "AVERAGE", "ABS", "ROUND", "IF", "COUNT", "INT"}
 STEP = "array<struct<kind:string,name:string,value:double,n:int>>"
 
 
-def postfix(formula: str) -> list[tuple[str, str, float, int]]:
-    """(kind, name, value, arguments) in postfix order; kinds: number, ref, op, call. ValueError if it can't be read."""
+def _qualified(name: str, sheet: str | None) -> str:
+    """A reference without dollar signs and quotes, in capitals, with its sheet."""
+    own, _, address = name.rpartition("!")
+    own = own.strip("'").replace("''", "'") or sheet
+    address = address.replace("$", "").upper()
+    return f"{own}!{address}" if own else address
+
+
+def _range_call(call: str, args: list[list[tuple]]) -> list[tuple[str, str, float, int]] | None:
+    """A call over ranges as calls over what is kept of them; None where no argument is a range."""
+    if not any(a[-1][0] == "range" for a in args):
+        return None
+    if call in ("SUMIF", "COUNTIF") and len(args) >= 2 and len(args[0]) == 1 and args[0][0][0] == "range":
+        tested, wanted = args[0][0][1], args[1]
+        summed = args[2][0][1] if call == "SUMIF" and len(args) > 2 else tested
+        literal = wanted[0][1] if wanted[0][0] == "text" else repr(wanted[0][2]) if len(wanted) == 1 and wanted[0][0] == "number" else None
+        if literal is None:
+            raise ValueError("a criterion that is no literal")
+        return [("ref", f"{summed}#{'sum' if call == 'SUMIF' else 'count'}#{tested}#{literal}", 0.0, 0)]
+    kinds = ["SUM", "COUNT"] if call == "AVERAGE" else [call]
+    out: list[tuple[str, str, float, int]] = []
+    for kind in kinds:
+        if kind not in OF_RANGE:
+            raise ValueError(f"{call} of a range")
+        for a in args:
+            single = [("call", "COUNT", 0.0, 1)] if kind == "COUNT" else []
+            out += [("ref", f"{a[0][1]}#{OF_RANGE[kind]}", 0.0, 0)] if a[0][0] == "range" else [*a, *single]
+        out.append(("call", "SUM" if kind == "COUNT" else kind, 0.0, len(args)))
+    return [*out, ("op", "/", 0.0, 2)] if call == "AVERAGE" else out
+
+
+def _arguments(steps: list[tuple], n: int) -> list[list[tuple]]:
+    """The postfix steps of the last n arguments, taken off the end of steps."""
+    out: list[list[tuple]] = []
+    for _ in range(n):
+        need, at = 1, len(steps)
+        while need:
+            at -= 1
+            need += steps[at][3] - 1
+        out.append(steps[at:])
+        del steps[at:]
+    return out[::-1]
+
+
+def postfix(formula: str, sheet: str | None = None) -> list[tuple[str, str, float, int]]:
+    """(kind, name, value, arguments) in postfix order; kinds: number, text, ref, op, call. ValueError if it can't be read."""
     out: list[tuple[str, str, float, int]] = []
     ops: list[list] = []  # [operator or "(" or function, arguments so far]
     at, text, value_before = 0, formula.removeprefix("=").rstrip(), False
@@ -35,13 +94,17 @@ def postfix(formula: str) -> list[tuple[str, str, float, int]]:
         if not m:
             raise ValueError(f"cannot read {formula!r} at {at}")
         at = m.end()
-        number, name, call, sign = m.groups()
+        number, quoted, address, name, call, sign = m.groups()
         if number:
             out.append(("number", "", float(number), 0))
+        elif quoted is not None:
+            out.append(("text", quoted, 0.0, 0))
+        elif address:
+            out.append(("range" if ":" in address else "ref", _qualified(address, sheet), 0.0, 0))
         elif name and call:
             ops.append([name.upper(), 1])
         elif name:
-            out.append(("ref", name, 0.0, 0))
+            out.append(("ref", _qualified(name, sheet) if sheet and PLAIN.match(name) else name, 0.0, 0))
         elif sign == "(":
             ops.append(["(", 1])
         elif sign in ",)":
@@ -55,7 +118,9 @@ def postfix(formula: str) -> list[tuple[str, str, float, int]]:
             else:
                 opened, n = ops.pop()
                 if opened != "(":
-                    out.append(("call", opened, 0.0, n))
+                    n = n if value_before else 0
+                    args = _arguments(out, n)
+                    out += _range_call(opened, args) or [s for a in args for s in a] + [("call", opened, 0.0, n)]
         else:
             op = "u-" if sign == "-" and not value_before else sign
             if not (sign == "+" and not value_before):
@@ -63,12 +128,14 @@ def postfix(formula: str) -> list[tuple[str, str, float, int]]:
                     last = ops.pop()[0]
                     out.append(("op", last, 0.0, 1 if last == "u-" else 2))
                 ops.append([op, 0])
-        value_before = bool(number or (name and not call) or sign == ")")
+        value_before = bool(number or quoted is not None or address or (name and not call) or sign == ")")
     while ops:
         op = ops.pop()[0]
         if op not in BINDS:
             raise ValueError(f"unbalanced {formula!r}")
         out.append(("op", op, 0.0, 1 if op == "u-" else 2))
+    if any(s[0] == "range" for s in out):
+        raise ValueError(f"a range outside of a function in {formula!r}")
     return out
 
 
@@ -76,10 +143,10 @@ def _compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("value", pa.float64()), ("n", pa.int32())]))
     for batch in batches:
         steps = []
-        for f in batch.column("formula").to_pylist():
+        for own, f in zip(batch.column("id").to_pylist(), batch.column("formula").to_pylist(), strict=True):
             try:
-                steps.append([dict(zip(("kind", "name", "value", "n"), s, strict=True)) for s in postfix(f)])
-            except ValueError:
+                steps.append([dict(zip(("kind", "name", "value", "n"), s, strict=True)) for s in postfix(f, (own or "").rpartition("!")[0] or None)])
+            except (ValueError, IndexError):
                 steps.append([{"kind": "call", "name": "?", "value": 0.0, "n": 0}])
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(steps, kind)], ["id", "steps"])
 
@@ -89,14 +156,27 @@ def compile_formulas(cells: DataFrame) -> DataFrame:
     return cells.where("formula is not null").select("id", "formula").mapInArrow(_compiled, f"id string, steps {STEP}")
 
 
-def evaluate(steps: Column, values: Column) -> Column:
-    """The value of postfix steps; values: map of references. One fold with a stack of doubles."""
+def uses_dates(compiled: DataFrame) -> bool:
+    return not compiled.where(F.exists("steps", lambda s: s["name"].isin(DATE_CALLS))).isEmpty()
+
+
+def evaluate(steps: Column, values: Column, dates: bool = True) -> Column:
+    """The value of postfix steps; values: map of references. One fold with a stack of doubles.
+
+    dates: whether date functions can occur; without them the expression is a third as long.
+    """
     zero = F.lit(0.0)
 
     def step(stack: Column, s: Column) -> Column:
         n, size = s["n"], F.size(stack)
-        args = F.slice(stack, F.greatest(F.lit(1), size - n + 1), n)
+        taken = F.array(F.slice(stack, F.greatest(F.lit(1), size - n + 1), n))
         rest = F.when(size > n, F.slice(stack, F.lit(1), F.greatest(F.lit(0), size - n))).otherwise(F.array().cast("array<double>"))
+        # the arguments are bound once; every use of them is then short
+        new = F.transform(taken, lambda args: result(s, args))[0]
+        return F.array_append(F.when(s["kind"].isin("number", "text", "ref"), stack).otherwise(rest), new)
+
+    def result(s: Column, args: Column) -> Column:
+        n = s["n"]
         a, b, c = (F.get(args, F.lit(i)) for i in range(3))
         truth = lambda x: F.when(x, 1.0).otherwise(0.0)
         total = F.aggregate(args, zero, lambda t, x: t + x)
@@ -105,13 +185,28 @@ def evaluate(steps: Column, values: Column) -> Column:
             F.when(name == "+", a + b).when(name == "-", a - b).when(name == "*", a * b).when(name == "/", F.try_divide(a, b)).when(name == "^", F.pow(a, b)).when(name == "u-", -a)
             .when(name == "<", truth(a < b)).when(name == ">", truth(a > b)).when(name == "=", truth(a == b)).when(name == "<=", truth(a <= b)).when(name == ">=", truth(a >= b)).when(name == "<>", truth(a != b))
         )
+        scale = F.pow(F.lit(10.0), F.coalesce(b, zero))
+        date_a, date_b = serial_date(a), serial_date(b)
+        day = lambda d: F.datediff(d, F.lit("1899-12-30").cast("date")).cast("double")
         call = (
             F.when(name == "SUM", total).when(name == "AVERAGE", total / n).when(name == "COUNT", n.cast("double")).when(name == "MAX", F.array_max(args)).when(name == "MIN", F.array_min(args))
-            .when(name == "ABS", F.abs(a)).when(name == "INT", F.floor(a).cast("double")).when(name == "ROUND", F.signum(a) * F.floor(F.abs(a) * F.pow(F.lit(10.0), b) + 0.5) / F.pow(F.lit(10.0), b))
-            .when(name == "IF", F.when(a != 0, b).otherwise(F.coalesce(c, zero)))
+            .when(name == "ABS", F.abs(a)).when(name == "INT", F.floor(a).cast("double")).when(name == "ROUND", F.signum(a) * F.floor(F.abs(a) * scale + 0.5) / scale)
+            .when(name == "ROUNDUP", F.signum(a) * F.ceil(F.abs(a) * scale) / scale).when(name == "ROUNDDOWN", F.signum(a) * F.floor(F.abs(a) * scale) / scale)
+            .when(name == "MOD", a - b * F.floor(F.try_divide(a, b))).when(name == "POWER", F.pow(a, b)).when(name == "SQRT", F.when(a >= 0, F.sqrt(a)))
+            .when(name == "AND", truth(F.forall(args, lambda x: x != 0))).when(name == "OR", truth(F.exists(args, lambda x: x != 0))).when(name == "NOT", truth(a == 0))
         )
-        new = F.when(s["kind"] == "number", s["value"]).when(s["kind"] == "ref", F.coalesce(F.try_element_at(values, name), zero)).when(s["kind"] == "op", op).otherwise(call)
-        return F.when(s["kind"].isin("number", "ref"), F.array_append(stack, new)).otherwise(F.array_append(rest, new))
+        if dates:
+            call = call.when(name == "YEAR", F.year(date_a).cast("double")).when(name == "MONTH", F.month(date_a).cast("double")).when(name == "DAY", F.dayofmonth(date_a).cast("double"))
+            call = call.when(name == "DATE", day(F.add_months(F.make_date(a.cast("int"), F.lit(1), F.lit(1)), (b - 1).cast("int"))) + c - 1).when(name == "EDATE", day(F.add_months(date_a, b.cast("int"))))
+        for code, unit in enumerate(UNITS if dates else []):
+            call = call.when((name == "DATEDIF") & (c == code), datedif(date_a, date_b, unit).cast("double"))
+        # an error in any argument is the result; IF reads only the branch that it takes
+        call = F.when(F.exists(args, lambda x: x.isNull()), F.lit(None).cast("double")).otherwise(call)
+        call = F.when(name == "IFERROR", F.coalesce(a, b)).when(name == "IF", F.when(a != 0, b).when((a == 0) & (n > 2), c).when(a == 0, zero)).otherwise(call)
+        text = F.lit(None).cast("double")
+        for code, unit in enumerate(UNITS if dates else []):
+            text = F.when(F.upper(name) == unit, float(code)).otherwise(text)
+        return F.when(s["kind"] == "number", s["value"]).when(s["kind"] == "text", text).when(s["kind"] == "ref", F.try_element_at(values, name)).when(s["kind"] == "op", op).otherwise(call)
 
     return F.element_at(F.aggregate(steps, F.array().cast("array<double>"), step), -1)
 
@@ -122,46 +217,118 @@ def edges_of(compiled: DataFrame) -> DataFrame:
     return compiled.select(F.col("id").alias("dependent"), F.explode(F.array_distinct(F.transform(refs, lambda s: s["name"]))).alias("precedent"))
 
 
-def _apply(values: DataFrame, compiled: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """(scenario, id, num) of the given cells, from present values (scenario, id, num)."""
+def _place(c: Column, prefix: str) -> list[Column]:
+    """sheet, row and column of an address ``Sheet!B2``."""
+    at = F.regexp_extract(c, r"([A-Z]+)([0-9]+)$", 1)
+    return [F.regexp_extract(c, r"^(.*)![^!]*$", 1).alias(f"{prefix}sheet"), F.regexp_extract(c, r"([0-9]+)$", 1).cast("int").alias(f"{prefix}row"), column_number(at).alias(f"{prefix}col")]
+
+
+def range_edges(names: DataFrame, cells: DataFrame) -> DataFrame:
+    """(dependent, precedent, tested, wanted) of range nodes: their cells, and for a criterion the cell that is tested.
+
+    names: name, as postfix() writes it; cells: id. The join is by blocks of rows, whatever the range's length.
+    """
+    part = lambda i: F.get(F.split("name", "#"), F.lit(i))
+    ends = names.select("name", part(0).alias("range"), part(2).alias("other"), part(3).alias("wanted"))
+    ends = ends.withColumn("sheet", F.regexp_extract("range", r"^(.*)![^!]*$", 1))
+    corner = lambda c, i, g: F.regexp_extract(c, r"([A-Z]+)([0-9]+):([A-Z]+)([0-9]+)$", g)
+    num = lambda c, g: corner(c, 0, g).cast("int") if g in (2, 4) else column_number(corner(c, 0, g))
+    box = ends.select("name", "sheet", "other", "wanted", F.least(num("range", 2), num("range", 4)).alias("r1"), F.greatest(num("range", 2), num("range", 4)).alias("r2"), F.least(num("range", 1), num("range", 3)).alias("c1"), F.greatest(num("range", 1), num("range", 3)).alias("c2"))
+    placed = cells.where(F.col("id").rlike(r"![A-Z]+[0-9]+$")).select("id", *_place(F.col("id"), ""))
+    held = in_ranges(placed, box)
+    first = lambda g: F.try_element_at(F.array(num("other", g)), F.lit(1))
+    letters = F.when(F.col("other").isNotNull(), column_letters(F.col("col") - F.col("c1") + first(1)))
+    tested = F.when(F.col("other").isNotNull(), F.concat(F.regexp_extract("other", r"^(.*)![^!]*$", 1), F.lit("!"), letters, (F.col("row") - F.col("r1") + first(2)).cast("string")))
+    return held.select(F.col("name").alias("dependent"), F.col("id").alias("precedent"), tested.alias("tested"), "wanted")
+
+
+def _apply(values: DataFrame, compiled: DataFrame, edges: DataFrame, ids: DataFrame, scenarios: DataFrame, value: Column, ranges: DataFrame | None = None) -> DataFrame:
+    """(scenario, id, num, error) of the given cells, from present values (scenario, id, num, error, txt). value: evaluate(), made once."""
     need = edges.join(ids.select(F.col("id").alias("dependent")), "dependent", "left_semi")
-    got = need.join(values.withColumnRenamed("id", "precedent"), "precedent", "left").groupBy("scenario", "dependent")
-    maps = got.agg(F.map_from_entries(F.collect_list(F.struct("precedent", F.coalesce("num", F.lit(0.0)).alias("num")))).alias("values"))
-    return maps.where("scenario is not null").join(compiled.withColumnRenamed("id", "dependent"), "dependent").select("scenario", F.col("dependent").alias("id"), evaluate(F.col("steps"), F.col("values")).alias("num"))
+    now = values.select("scenario", F.col("id").alias("precedent"), F.when(~F.col("error"), F.coalesce("num", F.lit(0.0))).alias("num"), "error")
+    single = need.join(compiled.select(F.col("id").alias("dependent")), "dependent", "left_semi")
+    pairs = single.join(F.broadcast(scenarios)).join(now, ["scenario", "precedent"], "left")
+    entry = F.struct("precedent", F.when(F.coalesce("error", F.lit(False)), None).otherwise(F.coalesce("num", F.lit(0.0))).alias("num"))
+    maps = pairs.groupBy("scenario", "dependent").agg(F.map_from_entries(F.collect_list(entry)).alias("values"))
+    out = maps.join(compiled.withColumnRenamed("id", "dependent"), "dependent").select("scenario", F.col("dependent").alias("id"), value.alias("num"))
+    if ranges is None:
+        return out.withColumn("error", F.col("num").isNull())
+    own = ranges.join(ids.select(F.col("id").alias("dependent")), "dependent", "left_semi").where("role <> 'test'")
+    read = values.select("scenario", F.col("id").alias("precedent"), "num", "error", "txt")
+    held = own.join(read, "precedent")
+    test = values.select("scenario", F.col("id").alias("tested"), F.col("num").alias("test_num"), F.col("txt").alias("test_txt"))
+    held = held.join(test, ["scenario", "tested"], "left")
+    fits = F.col("wanted").isNull() | (F.col("test_txt") == F.col("wanted")) | (F.col("test_num") == F.col("wanted").try_cast("double"))
+    held = held.where(fits)
+    kind = F.get(F.split("dependent", "#"), F.lit(1))
+    some = F.when(kind == "count", F.count(F.when(F.col("wanted").isNotNull(), 1).otherwise(F.col("num"))).cast("double"))
+    some = some.when(kind == "min", F.coalesce(F.min("num"), F.lit(0.0))).when(kind == "max", F.coalesce(F.max("num"), F.lit(0.0))).otherwise(F.coalesce(F.sum("num"), F.lit(0.0)))
+    got = held.groupBy("scenario", "dependent").agg(some.alias("num"), F.max("error").alias("error"))
+    nodes = ids.where(F.col("id").contains("#")).join(F.broadcast(scenarios)).select("scenario", F.col("id").alias("dependent"))
+    got = nodes.join(got, ["scenario", "dependent"], "left")  # a range or criterion without cells is 0
+    error = F.coalesce("error", F.lit(False)) & (kind != "count")
+    got = got.select("scenario", F.col("dependent").alias("id"), F.when(~error, F.coalesce("num", F.lit(0.0))).alias("num"), error.alias("error"))
+    return out.withColumn("error", F.col("num").isNull()).unionByName(got)
 
 
 def recalculate(cells: DataFrame, edits: DataFrame, max_rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
     """(scenario, id, old, new): every cell that an edit reaches, edits among it, recorded once with its final value.
 
-    cells: id, num, formula; edits: scenario, id, num.
+    cells: id, num, formula, and txt where criteria look at texts; edits: scenario, id, num. Cells on cycles that have not
+    settled after ``max_rounds`` are errors: their new value is null.
     """
+    if "txt" not in cells.columns:
+        cells = cells.withColumn("txt", F.lit(None).cast("string"))
     compiled = cut(compile_formulas(cells))
     edges = cut(edges_of(compiled))
+    names = cut(edges.where(F.col("precedent").contains("#")).select(F.col("precedent").alias("name")).distinct())
+    ranges, value = None, evaluate(F.col("steps"), F.col("values"), uses_dates(compiled))
+    if not names.isEmpty():
+        ranges = range_edges(names, cells)
+        tests = ranges.where("tested is not null").select("dependent", F.col("tested").alias("precedent"))
+        ranges = cut(ranges.withColumn("role", F.lit("value")).unionByName(tests.withColumn("role", F.lit("test")), allowMissingColumns=True))
+        edges = cut(edges.unionByName(ranges.select("dependent", "precedent").distinct()))
     reached = cut(downstream(edges, edits.select("id")))
-    affected = reached.join(compiled.select("id"), "id", "left_semi").join(edits.select("id").distinct(), "id", "left_anti").select("id")
+    computed = compiled.select("id").unionByName(names.select(F.col("name").alias("id")))
+    affected = reached.join(computed, "id", "left_semi").join(edits.select("id").distinct(), "id", "left_anti").select("id")
     inner = edges.join(affected.select(F.col("id").alias("dependent")), "dependent", "left_semi").join(affected.select(F.col("id").alias("precedent")), "precedent", "left_semi")
     order, cyclic = levels(inner)
     alone = affected.join(inner.select(F.col("dependent").alias("id")).unionByName(inner.select(F.col("precedent").alias("id"))).distinct(), "id", "left_anti")
     order = cut(order.unionByName(alone.withColumn("level", F.lit(0))))
-    scenarios = edits.select("scenario").distinct()
+    scenarios = cut(edits.select("scenario").distinct())
     # values that formulas may read: edits, else what the cell has now
     read = edges.join(affected.select(F.col("id").alias("dependent")), "dependent", "left_semi").select(F.col("precedent").alias("id")).distinct()
-    base = cells.join(read, "id", "left_semi").select("id", "num").join(F.broadcast(scenarios), how="cross")
-    values = base.join(edits.select("scenario", "id"), ["scenario", "id"], "left_anti").select("scenario", "id", "num").unionByName(edits.select("scenario", "id", "num"))
+    error = (F.col("formula").isNotNull() & F.col("num").isNull()).alias("error")
+    base = cells.join(read, "id", "left_semi").select("id", "num", error, "txt")
+    if ranges is not None:  # ranges that no edit reaches
+        still = names.select(F.col("name").alias("id")).join(read, "id", "left_semi").join(affected, "id", "left_anti")
+        member = ranges.join(still.select(F.col("id").alias("dependent")), "dependent", "left_semi").select("precedent", "tested")
+        member = member.select(F.explode(F.array("precedent", "tested")).alias("id")).where("id is not null").distinct()
+        there = cells.join(member, "id", "left_semi").select(F.lit("").alias("scenario"), "id", "num", error, "txt")
+        there = cut(there)
+        fixed = _apply(there, compiled, edges.where("false"), still, there.select("scenario").distinct(), value, ranges)
+        base = base.unionByName(fixed.select("id", "num", "error", F.lit(None).cast("string").alias("txt")))
+    base = base.join(F.broadcast(scenarios), how="cross")
+    values = base.join(edits.select("scenario", "id"), ["scenario", "id"], "left_anti").select("scenario", "id", "num", "error", "txt")
+    values = values.unionByName(edits.select("scenario", "id", "num", F.lit(False).alias("error"), F.lit(None).cast("string").alias("txt")))
     values = cut(values.join(order.select("id"), "id", "left_anti"))
+    result = ["scenario", "id", "num", "error", F.lit(None).cast("string").alias("txt")]
     top = order.agg(F.max("level")).first()[0]
     for level in range((top if top is not None else -1) + 1):
-        new = _apply(values, compiled, edges, order.where(F.col("level") == level).select("id"))
-        values = cut(values.unionByName(new.select("scenario", "id", "num")))
+        new = _apply(values, compiled, edges, order.where(F.col("level") == level).select("id"), scenarios, value, ranges)
+        values = cut(values.unionByName(new.select(*result)))
     if not cyclic.isEmpty():
         loop = cyclic.join(affected, "id", "left_semi")
         for _ in range(max_rounds):
-            new = _apply(values, compiled, edges, loop)
-            both = new.join(values.withColumnRenamed("num", "was"), ["scenario", "id"], "left")
+            new = _apply(values, compiled, edges, loop, scenarios, value, ranges).select(*result)
+            both = new.join(values.select("scenario", "id", F.col("num").alias("was")), ["scenario", "id"], "left")
             moved = both.where(F.abs(F.coalesce("num", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))) > tolerance)
             settled = moved.isEmpty()
-            values = cut(values.join(new.select("scenario", "id"), ["scenario", "id"], "left_anti").unionByName(new.select("scenario", "id", "num")))
+            values = cut(values.join(new.select("scenario", "id"), ["scenario", "id"], "left_anti").unionByName(new))
             if settled:
                 break
-    changed = values.join(reached.select("id"), "id", "left_semi")
+        else:
+            unsettled = cut(moved.select("scenario", "id").withColumn("open", F.lit(True)))
+            values = values.join(unsettled, ["scenario", "id"], "left").withColumn("num", F.when(F.col("open").isNull(), F.col("num"))).drop("open")
+    changed = values.join(reached.select("id"), "id", "left_semi").where(~F.col("id").contains("#"))
     return changed.join(cells.select("id", F.col("num").alias("old")), "id", "left").select("scenario", "id", "old", F.col("num").alias("new"))

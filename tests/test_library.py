@@ -145,3 +145,22 @@ def test_graph_rounds_that_run_out_are_an_error(spark):
         assert inspect.signature(f).parameters["max_depth"].default is None
     seed = spark.createDataFrame([("c0",)], "id string")
     assert graph.downstream(chain, seed).count() == 5 and graph.downstream(chain, seed, 2).count() == 3
+
+
+def test_errors_reach_what_depends_on_them(spark):
+    cells = spark.createDataFrame([("a", 1.0, None), ("e", 1.0, "=1/a"), ("f", 2.0, "=e+1"), ("g", 0.0, "=IFERROR(f,7)"), ("h", 0.0, "=IF(a=0,5,e)"), ("m", 0.0, "=MAX(e,3)")], "id string, num double, formula string")
+    got = {r["id"]: r["new"] for r in recalc.recalculate(cells, spark.createDataFrame([("s", "a", 0.0)], "scenario string, id string, num double")).collect()}
+    assert got == {"a": 0.0, "e": None, "f": None, "g": 7.0, "h": 5.0, "m": None}
+
+
+def test_ranges_sheets_and_date_functions(spark):
+    rows = [(f"S!A{i}", float(i), None, None) for i in range(1, 6)] + [(f"S!B{i}", None, None, "xy"[i % 2]) for i in range(1, 6)]
+    formulas = {
+        "S!C1": "=SUM(A1:$A$5)", "S!C2": "=AVERAGE(A1:A5)*2", "S!C3": "=MAX(A1:A5,9)-MIN(A1:A3)", "S!C4": '=SUMIF(B1:B5,"x",A1:A5)', "S!C5": '=COUNTIF(B1:B5,"y")',
+        "My Sheet!A1": "=S!C1+'S'!$A$2", "My Sheet!A2": "=SUM(S!C1:C3)", "My Sheet!B1": '=DATEDIF(45258,47483,"d")+A1*0', "My Sheet!B2": "=YEAR(EDATE(DATE(2024,1,31),1))+S!A1*0",
+        "My Sheet!B3": "=ROUNDUP(S!A1/3,1)", "My Sheet!B4": "=VLOOKUP(S!A1)",
+    }
+    cells = spark.createDataFrame([*rows, *((k, 0.0, v, None) for k, v in formulas.items())], "id string, num double, formula string, txt string")
+    got = {r["id"]: r["new"] for r in recalc.recalculate(cells, spark.createDataFrame([("s", "S!A1", 11.0)], "scenario string, id string, num double")).collect()}
+    want = {"S!A1": 11.0, "S!C1": 25.0, "S!C2": 10.0, "S!C3": 9.0, "S!C4": 6.0, "My Sheet!A1": 27.0, "My Sheet!A2": 44.0, "My Sheet!B1": 2225.0, "My Sheet!B2": 2024.0, "My Sheet!B3": 3.7, "My Sheet!B4": None}
+    assert {k: v if v is None else round(v, 9) for k, v in got.items()} == want
