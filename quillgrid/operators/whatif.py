@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 M = 2147483647
-# Keyword classes of parameters, first match wins; the default is revenue.
-CLASSES = [("investment", "STEEL|BRASS|NICKEL|INVEST|CAPEX"), ("cost", "COPPER|TIN|COST|EXPENSE"), ("revenue", "")]
+# Keyword classes of parameters, first match wins; the last one is the default.
+CLASSES = [
+    ("revenue", "电价|收入|售电|发电量|收益|营业|REVENUE|PRICE|SALES"),
+    ("cost", "成本|费用|运营|维护|人工|材料|COST|EXPENSE|OPEX"),
+    ("investment", "投资|建设|资本|CAPEX|INVESTMENT|CAPITAL"),
+    ("revenue", ""),
+]
 # Signed elasticity of the return for each class.
 ELASTICITY = {"revenue": 0.35, "cost": -0.20, "investment": -0.45}
 DEFAULT_ELASTICITY = 0.05
@@ -33,9 +38,10 @@ def matrix(rows: DataFrame, perturbations: list[float], value: str = "metric") -
     return rows.groupBy("param").agg(*(F.sum(F.when(F.abs(F.col("perturbation") - p) < 1e-9, F.col(value))).alias(n) for p, n in names.items()))
 
 
-def classify(name: Column) -> Column:
-    out = F.lit(CLASSES[-1][0])
-    for kind, pattern in reversed(CLASSES[:-1]):
+def classify(name: Column, classes: list[tuple[str, str]] = CLASSES) -> Column:
+    """The class of a parameter by the words in its name."""
+    out = F.lit(classes[-1][0])
+    for kind, pattern in reversed(classes[:-1]):
         out = F.when(F.upper(name).rlike(pattern), F.lit(kind)).otherwise(out)
     return out
 

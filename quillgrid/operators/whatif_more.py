@@ -11,6 +11,9 @@ from pyspark.sql import Window
 from quillgrid.operators import whatif
 from quillgrid.registry import Registry, table
 
+#: The words of this table's types stand in for the domain's.
+PART_CLASSES = [("investment", "STEEL|BRASS|NICKEL"), ("cost", "COPPER|TIN"), ("revenue", "")]
+
 registry = Registry()
 query = registry.query
 STEPS = [-0.10, -0.05, 0.05, 0.10]
@@ -74,7 +77,7 @@ def scenario_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select p_partkey, case when regexp_matches(upper(p_type), 'STEEL|BRASS|NICKEL|INVEST|CAPEX') then 'investment' when regexp_matches(upper(p_type), 'COPPER|TIN|COST|EXPENSE') then 'cost' else 'revenue' end as kind from part""")
 def classify_param(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword class of each parameter; revenue by default."""
-    return table(spark, sf_dir, "part").select("p_partkey", whatif.classify(F.col("p_type")).alias("kind"))
+    return table(spark, sf_dir, "part").select("p_partkey", whatif.classify(F.col("p_type"), PART_CLASSES).alias("kind"))
 
 
 N = 2000

@@ -1,7 +1,7 @@
 """Every query of the library (the training-data subpackage apart) and its SQL."""
 
-from quillgrid.operators import finance_queries, graph_queries, model_queries, recalc_queries, structure_queries, whatif_more, whatif_queries
+from quillgrid.operators import finance_queries, graph_queries, model_queries, recalc_queries, structure_queries, whatif_more, whatif_queries, workspace_queries
 
-MODULES = [finance_queries, graph_queries, model_queries, recalc_queries, structure_queries, whatif_more, whatif_queries]
+MODULES = [finance_queries, graph_queries, model_queries, recalc_queries, structure_queries, whatif_more, whatif_queries, workspace_queries]
 QUERIES = {k: v for m in MODULES for k, v in m.registry.queries.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.registry.sql.items()}

@@ -15,6 +15,18 @@ def edit_rates(edits: DataFrame, width: str = "10 minutes", late: str = "30 minu
     return counts.select(F.col("w.start").alias("start"), "scenario", "n")
 
 
+def sliding_rates(edits: DataFrame, width: str = "10 minutes", slide: str = "5 minutes", late: str = "30 minutes") -> DataFrame:
+    """(start, scenario, n) by windows that overlap."""
+    counts = edits.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), "scenario").agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("start"), "scenario", "n")
+
+
+def sessions(edits: DataFrame, gap: str = "15 minutes", late: str = "30 minutes") -> DataFrame:
+    """(start, end, scenario, n): runs of edits of a scenario that no pause longer than ``gap`` divides."""
+    counts = edits.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "scenario").agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "scenario", "n")
+
+
 def recalculate_stream(edits: DataFrame, cells: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Each micro-batch of edits (scenario, id, num, ts) is recalculated; its changes are written under its batch number.
 

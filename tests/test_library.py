@@ -164,3 +164,33 @@ def test_ranges_sheets_and_date_functions(spark):
     got = {r["id"]: r["new"] for r in recalc.recalculate(cells, spark.createDataFrame([("s", "S!A1", 11.0)], "scenario string, id string, num double")).collect()}
     want = {"S!A1": 11.0, "S!C1": 25.0, "S!C2": 10.0, "S!C3": 9.0, "S!C4": 6.0, "My Sheet!A1": 27.0, "My Sheet!A2": 44.0, "My Sheet!B1": 2225.0, "My Sheet!B2": 2024.0, "My Sheet!B3": 3.7, "My Sheet!B4": None}
     assert {k: v if v is None else round(v, 9) for k, v in got.items()} == want
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    rows = [("s", 0), ("s", 400), ("s", 3000), ("t", 100)]
+    spark.createDataFrame(rows, "scenario string, t int").select("scenario", F.timestamp_seconds("t").alias("ts")).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("scenario string, ts timestamp").parquet(f"{tmp_path}/in")
+    got = {}
+    for name, df in (("sessions", stream.sessions(source)), ("sliding", stream.sliding_rates(source))):
+        df.writeStream.format("memory").queryName(f"w_{name}").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+        got[name] = sorted((r["scenario"], int(r["start"].timestamp()), r["n"]) for r in spark.table(f"w_{name}").collect())
+    assert got["sessions"] == [("s", 0, 2), ("s", 3000, 1), ("t", 100, 1)]
+    assert ("s", 0, 2) in got["sliding"] and ("s", -300, 1) in got["sliding"]
+
+
+def test_workspace_and_repairs(spark):
+    from quillgrid.operators import checks, workspace
+
+    cells = spark.createDataFrame([("S", 1, 1, 1.0, "=A2+$B$1"), ("S", 1, 2, 5.0, None), ("S", 1, 3, 1.0, "=C2+$B$1"), ("S", 1, 4, 2.0, None)], "sheet string, row int, col int, num double, formula string")
+    assert [tuple(r) for r in checks.repairs(cells).collect()] == [("S", 1, 2, "=B2+$B$1")]
+    items = spark.createDataFrame([(2, "Net Price", 2), (1, "price of power", 1), (3, "other", 3)], "item_id int, name string, place int")
+    assert [tuple(r) for r in workspace.by_keywords(items, ["PRICE", "none"]).collect()] == [("PRICE", 1)]
+    text = spark.createDataFrame([("1,200.5",), ("true",), ("x",)], "t string")
+    assert [r[0] for r in text.select(workspace.safe_number(F.col("t"))).collect()] == [1200.5, None, None]
+    roles = spark.createDataFrame([("S", 1, "total", None), ("S", 2, "time_series", "2024"), ("S", 3, "time_series", "2025")], "sheet string, col int, role string, period string")
+    got = workspace.synced(spark.createDataFrame([(7, "S", 1)], "item_id int, sheet string, row int"), cells.drop("formula"), roles).first()
+    assert got["series"] == {"2024": 5.0, "2025": 1.0} and got["summary"] == 1.0
+    blocks = spark.createDataFrame([("S", 9, "=SUMIF($C$1:$F$1,A9,$C$2:$F$2)", "H"), ("S", 8, "=SUMIF($C$1:$F$1,A9,$C$2:$F$2)", "F")], "sheet string, row int, formula string, data_end string")
+    assert [r["row"] for r in checks.short_ranges(blocks).collect()] == [9]
+    defects = spark.createDataFrame([("warning", "S", 1), ("critical", "S", 2)], "severity string, sheet string, row int")
+    assert [r["row"] for r in checks.by_severity(defects).collect()] == [2, 1]
