@@ -30,14 +30,16 @@ UNDETERMINED = "und"
 LONGEST = 5  # characters of the longest n-grams
 FLUSH = 300_000  # distinct features that a task counts before it hands them on
 REMEMBERED = 1_600_000  # scores of words that a worker remembers, over all languages
-# characters that count as numeric without being digits (fractions, superscripts, Roman numerals) are no letters
-NUMERIC = "".join(c for c in map(chr, range(128, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERIC}]+")
+RUNS = re.compile(r"[^\W\d_]+")
 PIECE = 100_000  # n-grams of a word that are made at once
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters in lower case. What counts as numeric without being a digit (fractions, superscripts) is no letter."""
+    words = RUNS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -60,30 +62,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n, feature, count): n is 0 for words, else the n-gram's length."""
     seen: dict[str, Counter] = defaultdict(Counter)
 
-    def out() -> pa.RecordBatch:
-        rows = []
-        for lang, counts in seen.items():
-            all_counts = {(0, w): c for w, c in counts.items()}
-            grams: Counter = Counter()
-            for w, c in counts.items():
-                for n in range(1, LONGEST + 1):
+    def rows(lang: str, n: int, counts: dict[str, int]) -> pa.RecordBatch:
+        lengths = pa.array(np.full(len(counts), n, np.int32))
+        columns = [pa.array([lang] * len(counts), pa.string()), lengths, pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "n", "feature", "count"])
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, words in seen.items():
+            yield rows(lang, 0, words)
+            for n in range(1, LONGEST + 1):
+                grams: dict[str, int] = {}
+                for w, c in words.items():
                     for piece in pieces_of(w, n):
                         for g in piece:
-                            grams[n, g] += c
-            rows += [(lang, n, f, c) for (n, f), c in [*all_counts.items(), *grams.items()]]
+                            grams[g] = grams.get(g, 0) + c
+                yield rows(lang, n, grams)
         seen.clear()
-        lang, n, feature, count = zip(*rows, strict=True) if rows else ([], [], [], [])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(feature, pa.string()), pa.array(count, pa.int64())],
-            ["lang", "n", "feature", "count"],
-        )
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             seen[lang].update(words_of(text))
             if sum(map(len, seen.values())) > FLUSH:
-                yield out()
-    yield out()
+                yield from out()
+    yield from out()
 
 
 def fit(train: DataFrame, max_docs: int = 20_000) -> dict:
@@ -111,20 +112,44 @@ def fit(train: DataFrame, max_docs: int = 20_000) -> dict:
     return {"langs": langs, "places": places, "tables": tables}
 
 
-def word_score(model: dict, word: str) -> np.ndarray:
-    """Log frequencies by language; n-grams of an unseen word share one vote, from the longest length that is known."""
+def word_scores(model: dict, words: list[str]) -> np.ndarray:
+    """A row of log frequencies by language for each word; n-grams of an unseen word share one vote, from the longest
+    length that is known."""
     places, tables = model["places"], model["tables"]
-    if (i := places[0].get(word)) is not None:
-        return tables[0][i]
+    out = np.zeros((len(words), len(model["langs"])), np.float32)
+    seen = [(at, i) for at, w in enumerate(words) if (i := places[0].get(w)) is not None]
+    if seen:
+        at, i = zip(*seen, strict=True)
+        out[list(at)] = tables[0][list(i)]
+    left = [at for at, w in enumerate(words) if w not in places[0]]
     for n in range(LONGEST, 0, -1):
-        total, found = 0, 0
-        for piece in pieces_of(word, n):
-            known = [i for g in piece if (i := places[n].get(g)) is not None]
+        known: list[int] = []  # places of n-grams, word by word
+        owners: list[int] = []  # words that have any
+        starts: list[int] = []  # where their n-grams begin
+        votes: dict[int, int] = defaultdict(int)
+
+        def add(n=n, known=known, owners=owners, starts=starts):
             if known:
-                total, found = total + tables[n][known].sum(axis=0), found + len(known)
-        if found:
-            return total / found
-    return np.zeros(len(model["langs"]), np.float32)
+                np.add.at(out, owners, np.add.reduceat(tables[n][known], starts))
+            for used in (known, owners, starts):
+                used.clear()
+
+        get = places[n].get
+        for at in left:
+            for piece in pieces_of(words[at], n):
+                found = [i for g in piece if (i := get(g)) is not None]
+                if found:
+                    owners.append(at)
+                    starts.append(len(known))
+                    known += found
+                    votes[at] += len(found)
+                if len(known) > PIECE:
+                    add()
+        add()
+        if votes:
+            out[list(votes)] /= np.array(list(votes.values()), np.float32)[:, None]
+            left = [at for at in left if at not in votes]
+    return out
 
 
 class _Scores(dict):
@@ -135,10 +160,11 @@ class _Scores(dict):
         self.model = model
         self.rows = np.zeros((max(20_000, REMEMBERED // max(1, len(model["langs"]))), len(model["langs"])), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        self.rows[len(self)] = word_score(self.model, word)
-        self[word] = place = len(self)
-        return place
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if new:
+            self.rows[len(self) : len(self) + len(new)] = word_scores(self.model, new)
+            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
 
     def total(self, words: list[str]) -> np.ndarray:
         out = np.zeros(self.rows.shape[1])
@@ -146,6 +172,7 @@ class _Scores(dict):
             part = words[at : at + 10_000]
             if len(self) + len(part) > len(self.rows):
                 self.clear()
+            self.learn(part)
             out += self.rows[list(map(self.__getitem__, part))].sum(axis=0, dtype=float)
         return out
 
