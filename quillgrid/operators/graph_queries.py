@@ -59,10 +59,13 @@ def nation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with recursive {REGION}, p(id, depth, path) as (select 'c1', 0, ['c1'] union all select g.dst, p.depth + 1, list_append(p.path, g.dst) from p join g on g.src = p.id where not list_contains(p.path, g.dst) and p.depth < 6)
-select cast(depth as int) as depth, array_to_string(path, '>') as path from p where id = 'c13' order by depth, path limit 1""")
+select cast(depth as int) as depth, array_to_string(path, '>') as path from p where id = (select id from p group by id order by min(depth) desc, id limit 1) order by depth, path limit 1""")
 def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One shortest path between two nations."""
-    out = graph.shortest_path(nation_links(spark, sf_dir), "c1", "c13", 6)
+    """The first shortest path from a nation to the one farthest from it."""
+    links = nation_links(spark, sf_dir)
+    steps = graph.reach(links, spark.createDataFrame([("c1",)], "id string"), 6)
+    far = steps.orderBy(F.desc("depth"), "id").first()["id"]
+    out = graph.shortest_path(links, "c1", far, 6)
     return out.select("depth", F.array_join("path", ">").alias("path"))
 
 
