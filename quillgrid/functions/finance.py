@@ -127,3 +127,14 @@ def capped_running_sum(amounts: Column, cap: Column | float) -> Column:
 def in_order(order: str, value: str) -> Column:
     """The values of a group as an array in the order of another column; an aggregate expression."""
     return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda s: s["v"])
+
+
+def debt_ratio(liabilities: Column, assets: Column) -> Column:
+    """Liabilities over assets; null without assets."""
+    return F.when(assets > 0, liabilities / assets)
+
+
+def return_on_equity(profit: Column, equity: Column) -> Column:
+    """An aggregate over years: total profit over mean equity, by the number of years with a profit or loss."""
+    years, mean = F.count(F.when(profit != 0, 1)), F.avg(equity)
+    return F.when((mean > 0) & (years > 0), F.sum(profit) / mean / years)

@@ -201,3 +201,30 @@ def subsidy_prorata(spark: SparkSession, sf_dir: str) -> DataFrame:
     yearly = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("item"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("x"))
     share = F.col("x") / F.sum("x").over(Window.partitionBy("item"))
     return yearly.select("item", "year", F.round(share, 8).alias("progress"), F.round(F.col("x") - 1000000 * share, 2).alias("net"))
+
+
+STATEMENTS = """st as (select o_custkey, year(o_orderdate) as year, sum(o_totalprice) as assets, sum(case when o_orderstatus = 'O' then o_totalprice else 0 end) as liabilities,
+  sum(case when o_orderstatus = 'F' then 0.1::double * o_totalprice else 0 end) as profit from orders group by 1, 2)"""
+
+
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's yearly statement: all orders are assets, open ones are owed, finished ones earn a tenth."""
+    price, status = F.col("o_totalprice"), F.col("o_orderstatus")
+    owed = F.sum(F.when(status == "O", price).otherwise(0.0))
+    earned = F.sum(F.when(status == "F", 0.1 * price).otherwise(0.0))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year"))
+    return rows.agg(F.sum(price).alias("assets"), owed.alias("liabilities"), earned.alias("profit"))
+
+
+@query(f"with {STATEMENTS} select o_custkey, year, round(liabilities / assets, 8) as debt_ratio from st where assets > 0")
+def debt_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Liabilities over assets by year."""
+    return _statements(spark, sf_dir).where("assets > 0").select("o_custkey", "year", F.round(finance.debt_ratio(F.col("liabilities"), F.col("assets")), 8).alias("debt_ratio"))
+
+
+@query(f"with {STATEMENTS} select o_custkey, round(sum(profit) / avg(assets - liabilities) / count(case when profit <> 0 then 1 end), 8) as roe from st group by 1 having avg(assets - liabilities) > 0 and count(case when profit <> 0 then 1 end) > 0")
+def return_on_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean yearly return on mean equity."""
+    rows = _statements(spark, sf_dir)
+    out = rows.groupBy("o_custkey").agg(F.round(finance.return_on_equity(F.col("profit"), F.col("assets") - F.col("liabilities")), 8).alias("roe"))
+    return out.where("roe is not null")
