@@ -154,3 +154,25 @@ def ghosts(edges: DataFrame, inside: DataFrame) -> DataFrame:
     ends = edges.join(inside.withColumnRenamed("id", "dependent"), "dependent", "left_semi").select(F.col("precedent").alias("id"))
     ends = ends.unionByName(edges.join(inside.withColumnRenamed("id", "precedent"), "precedent", "left_semi").select(F.col("dependent").alias("id")))
     return ends.distinct().join(inside, "id", "left_anti")
+
+
+def connected(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, label): the least id of its component, along (src, dst) both ways; ids without edges label themselves.
+
+    Each round hands the label of a neighbour's label to a node and to the node's label, so that rounds grow with the logarithm
+    of the longest path and not with the path.
+    """
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
+    now = cut(ids.select("id").distinct().withColumn("label", F.col("id")))
+    for _ in _rounds(None, "connected"):
+        above = now.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        seen = cut(now.join(above, "label"))
+        near = both.join(seen.select(F.col("id").alias("dst"), "far"), "dst").groupBy("src").agg(F.min("far").alias("offer"))
+        offers = near.join(seen.select(F.col("id").alias("src"), "label"), "src")
+        every = offers.select(F.col("src").alias("id"), "offer").unionByName(offers.select(F.col("label").alias("id"), "offer")).unionByName(seen.select("id", F.col("far").alias("offer")))
+        least = every.groupBy("id").agg(F.min("offer").alias("offer"))
+        new = cut(now.join(least, "id").select("id", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("moved")))
+        done = new.where("moved").isEmpty()
+        now = new.select("id", "label")
+        if done:
+            return now
