@@ -96,3 +96,38 @@ def model_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda d: F.lit(d).cast("date")
     params = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("project"), F.date_add(day("2023-02-01"), (F.col("s_suppkey") % 28).cast("int")).alias("start"), day("2030-07-31").alias("end"), day("2030-08-01").alias("op_start"), day("2050-07-31").alias("op_end"), F.lit(None).cast("array<date>").alias("milestones"))
     return model.timeline(params)
+
+
+@query(f"with recursive {FULL} select project, cast(2024 + i as int) as year, round(revenue - running - tax_equity, 4) as cf_operating, round(ends - invested - (invested + built) * 0.25 - started, 4) as cf_investing, round((invested + built) * 0.75 - principal - interest, 4) as cf_financing from h")
+def model_plan_cash_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operating, investing and financing cash flows by year."""
+    columns = ["cf_operating", "cf_investing", "cf_financing"]
+    out = model.by_year(model.run(projects(spark, sf_dir)), columns)
+    return out.select("project", "year", *(F.round(c, 4).alias(c) for c in columns))
+
+
+@query(f"""with recursive {FULL}, dis as (select project, i, cf_total / power(1.08::double, i) as v from h), cum as (select *, sum(v) over (partition by project order by i) as total from dis),
+pay as (select project, min(case when i = 0 and total >= 0 then 0.0 when total >= 0 and v > 0 then i - 1 + abs(total - v) / v end) as turn from cum group by 1),
+r as (select project, avg(case when principal + interest > 0 then (profit_equity + interest + dep) / (principal + interest) end) as a, sum(profit_equity - tax_equity) as net, max(revenue) as most from h group by 1)
+select project, round(turn, 2) as payback_dynamic, round(a, 4) as dscr_avg from r join pay using (project)""")
+def model_debt_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounted payback and mean debt cover of every project."""
+    return model.metrics(model.run(projects(spark, sf_dir))).select("project", "payback_dynamic", "dscr_avg")
+
+
+@query(f"""with recursive {FULL},
+z(project, k, reserve, retained) as (
+  select project, -1::bigint, 0.0::double, 0.0::double from c
+  union all select z.project, z.k + 1, z.reserve + case when n.net > 0 then n.legal else 0 end, z.retained + case when n.net > 0 then n.net - n.legal else n.net end
+  from z join (select h.project, h.k, profit_equity - tax_equity as net, z.reserve as had, case when z.reserve + (profit_equity - tax_equity) * 0.1 > 5000 then greatest(0.0, 5000 - z.reserve) else (profit_equity - tax_equity) * 0.1 end as legal from h join z on z.project = h.project and h.k = z.k + 1) n on n.project = z.project and n.k = z.k + 1),
+u as (select h.*, sum((invested + built) * 0.25) over (partition by h.project order by h.i) as equity_sum, sum((invested + built) * 0.75) over (partition by h.project order by h.i) as debt_sum from h),
+j as (select u.project, u.i, case when u.k < 0 then equity_sum + debt_sum else greatest(mw * 550 - mw * 550 * 0.95::double / 29 * (u.k + 1), mw * 550 * 0.05::double) + greatest(mw * 50 - mw * 50 / 18 * (u.k + 1), 0.0) + greatest(0.0, (floor(u.k / 5.0) + 1) * 500 - 100 * (u.k + 1)) + 700 end as non_cash,
+  case when u.k < 0 then debt_sum when u.k = 0 then p + 490 when u.k > 15 then 490.0 else p * power(1.043::double, u.k) - pay * (power(1.043::double, u.k) - 1) / 0.043::double + 490 end as liabilities,
+  case when u.k < 0 then equity_sum else equity_sum + 210 end as paid_in, case when u.k < 0 then 0.0 else z.reserve end as reserve, case when u.k < 0 then 0.0 else z.retained end as retained
+  from u left join z on z.project = u.project and z.k = u.k)
+select project, cast(2024 + i as int) as year, round(non_cash, 3) as non_cash, round(liabilities, 3) as liabilities, round(paid_in, 3) as paid_in, round(reserve, 3) as reserve, round(retained, 3) as retained,
+  round(liabilities + paid_in + reserve + retained, 3) as total_assets, round(liabilities + paid_in + reserve + retained - non_cash, 3) as cash from j""")
+def model_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balance sheets by year; cash balances them."""
+    out = model.balance(model.run(projects(spark, sf_dir)))
+    return out.select("project", "year", *(F.round(c, 3).alias(c) for c in ("non_cash", "liabilities", "paid_in", "reserve", "retained", "total_assets", "cash")))
