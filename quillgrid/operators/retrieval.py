@@ -55,3 +55,29 @@ def what_if(question: Column) -> Column:
         found = F.struct(F.lit(kind).alias("kind"), F.regexp_extract(question, pattern, 1).alias("param"), F.regexp_extract(question, pattern, 2).try_cast("double").alias("amount"))
         out = F.when(question.rlike(pattern), found).otherwise(out)
     return out
+
+
+def neighbours(contexts: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
+    """(question_id, item_id, side, neighbour): what each item depends on (up) and what depends on it (down), the first by id.
+
+    contexts: question_id, item_id; edges: dependent, precedent. The first few are taken before the shuffle, so an item with
+    many dependents costs no more than another.
+    """
+    known = contexts.select("question_id", "item_id").distinct()
+    turned = lambda side, own, other: edges.select(F.col(own).alias("item_id"), F.lit(side).alias("side"), F.col(other).alias("neighbour")).distinct()
+    found = known.join(turned("up", "dependent", "precedent"), "item_id").unionByName(known.join(turned("down", "precedent", "dependent"), "item_id"))
+    order = Window.partitionBy("question_id", "item_id", "side").orderBy("neighbour")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("question_id", "item_id", "side", "neighbour")
+
+
+def expand(contexts: DataFrame, edges: DataFrame, k: int = 8, most: int = 3) -> DataFrame:
+    """(question_id, item_id, score, reason): contexts and up to ``most`` neighbours on each side at half their score; the best 2k.
+
+    For questions about ratios and trends, which need several items. One step; an item found more than once keeps its best score.
+    """
+    near = neighbours(contexts, edges, most).join(contexts.select("question_id", "item_id", "score"), ["question_id", "item_id"])
+    more = near.groupBy("question_id", F.col("neighbour").alias("item_id")).agg((F.max("score") * 0.5).alias("score"))
+    more = more.join(contexts.select("question_id", "item_id"), ["question_id", "item_id"], "left_anti")
+    every = contexts.select("question_id", "item_id", "score", F.lit("match").alias("reason")).unionByName(more.withColumn("reason", F.lit("dependency")))
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "item_id")
+    return every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * k).drop("place")

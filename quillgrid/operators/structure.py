@@ -84,3 +84,13 @@ def quality_score(total: Column, linked: Column, formulas: Column, in_tables: Co
     band = F.when((share >= 0.2) & (share <= 0.8), 1.0).when(share < 0.2, share / 0.2).otherwise((1 - share) / 0.2)
     parts = [0.30 * F.try_divide(linked, total), 0.25 * band, 0.25 * F.try_divide(in_tables, total), 0.20 * (1 - F.try_divide(cyclic, total))]
     return F.coalesce(100 * (parts[0] + parts[1] + parts[2] + parts[3]), F.lit(0.0))
+
+
+def header_confidence(headers: DataFrame, edges: DataFrame, last_row: int = 5) -> DataFrame:
+    """(confidence): the share of header cells that are texts in the first rows and have dependents; 0 without headers.
+
+    headers: id, row, type; edges: dependent, precedent.
+    """
+    used = edges.select(F.col("precedent").alias("id")).distinct().withColumn("used", F.lit(True))
+    good = (F.col("type") == "string") & (F.col("row") <= last_row) & F.col("used").isNotNull()
+    return headers.join(used, "id", "left").agg(F.coalesce(F.avg(F.coalesce(good, F.lit(False)).cast("double")), F.lit(0.0)).alias("confidence"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillgrid.operators import tables
+from quillgrid.operators import retrieval, structure, tables
 from quillgrid.registry import Registry, table
 
 registry = Registry()
@@ -111,3 +111,42 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = d.select("table").distinct().select("table", F.explode(kinds).alias("k")).select("table", "k.*")
     out = tables.line_items(cells, roles)
     return out.select("item_id", "sheet", "row", "name", "category", "unit", F.round("total", 5).alias("total"), F.size("series").alias("periods"), F.round(F.aggregate(F.map_values("series"), F.lit(0.0), lambda a, v: a + v), 5).alias("series_sum"), F.size("cells").alias("cells"))
+
+
+_FOUND = """s as (select o_orderpriority as question_id, o_custkey as item_id, max(o_totalprice) as score from orders group by 1, 2),
+best as (select * from (select *, row_number() over (partition by question_id order by score desc, item_id) as place from s) where place <= 8),
+edges as (select distinct * from (select c_custkey as dependent, unnest([c_custkey // 2, c_custkey - 1, c_custkey - 3, c_custkey - 7]) as precedent from customer) where precedent > 0),
+side as (select question_id, item_id, score, 'up' as side, precedent as neighbour from best join edges on dependent = item_id union all select question_id, item_id, score, 'down', dependent from best join edges on precedent = item_id),
+near as (select *, row_number() over (partition by question_id, item_id, side order by neighbour) as n from side)"""
+
+
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The eight best customers of each priority, and customers that depend on others."""
+    scored = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("question_id"), F.col("o_custkey").alias("item_id")).agg(F.max("o_totalprice").alias("score"))
+    c = F.col("c_custkey")
+    edges = table(spark, sf_dir, "customer").select(c.alias("dependent"), F.explode(F.array(F.floor(c / 2), c - 1, c - 3, c - 7)).alias("precedent")).where("precedent > 0").distinct()
+    return retrieval.best(scored), edges
+
+
+@query(f"with {_FOUND} select question_id, item_id, side, neighbour from near where n <= 5")
+def retrieval_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five neighbours on each side of every item found."""
+    return retrieval.neighbours(*_found(spark, sf_dir))
+
+
+@query(f"""with {_FOUND}, more as (select question_id, neighbour as item_id, max(score) * 0.5 as score, 'dependency' as reason from near where n <= 3 group by 1, 2),
+every as (select question_id, item_id, score, 'match' as reason from best union all select m.* from more m anti join best b on b.question_id = m.question_id and b.item_id = m.item_id)
+select question_id, item_id, round(score, 4) as score, reason from (select *, row_number() over (partition by question_id order by score desc, item_id) as place from every) where place <= 16""")
+def retrieval_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items found and their neighbours at half the score."""
+    out = retrieval.expand(*_found(spark, sf_dir))
+    return out.select("question_id", "item_id", F.round("score", 4).alias("score"), "reason")
+
+
+@query("""select round(coalesce(avg(case when o_orderkey % 3 > 0 and o_orderkey % 10 <= 5 and o_orderkey in (select l_orderkey from lineitem where l_quantity > 45) then 1.0 else 0 end), 0), 8) as confidence from orders where o_custkey % 5 = 0""")
+def header_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of some customers as headers; large lines as what depends on them."""
+    key = F.col("o_orderkey")
+    headers = table(spark, sf_dir, "orders").where("o_custkey % 5 = 0").select(key.alias("id"), (key % 10).alias("row"), F.when(key % 3 > 0, "string").otherwise("number").alias("type"))
+    edges = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_linenumber").alias("dependent"), F.col("l_orderkey").alias("precedent"))
+    return structure.header_confidence(headers, edges).select(F.round("confidence", 8).alias("confidence"))
