@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 # Header words of column roles in their order of priority.
 ROLES = [
-    ("category", "类别|分类|category|segment"),
-    ("sequence", "序号|编号|no\\.|key"),
-    ("name", "名称|项目|科目|name|item"),
-    ("total", "合计|总计|小计|total|sum"),
-    ("unit", "单位|unit"),
-    ("notes", "备注|说明|note|comment"),
+    ("category", "类别|分类|大类"),
+    ("sequence", "序号|编号|序"),
+    ("name", "项目|名称|参数|指标|科目"),
+    ("total", "合计|小计|汇总|总计|总额"),
+    ("unit", "单位|万元|元|亿元|%|MW|kW|h|年|月|个"),
+    ("notes", "备注|说明|注|取值说明|参数释义"),
 ]
 
 
@@ -67,11 +67,11 @@ def year_label(label: Column) -> Column:
     )
 
 
-def role_of(label: Column) -> Column:
-    """Role of a column by its header; null if no word fits."""
+def role_of(label: Column, roles: list[tuple[str, str]] = ROLES) -> Column:
+    """Role of a column by its header; null if no word fits. Units are held as they are written."""
     out = F.lit(None).cast("string")
-    for role, pattern in reversed(ROLES):
-        out = F.when(F.lower(label).rlike(pattern), F.lit(role)).otherwise(out)
+    for role, pattern in reversed(roles):
+        out = F.when(label.rlike(pattern), F.lit(role)).otherwise(out)
     return out
 
 

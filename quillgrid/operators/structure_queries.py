@@ -72,16 +72,16 @@ def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.header_rows(_grid(spark, sf_dir), 50)
 
 
-@query("""with s as (select 'orders' as sheet, o_orderkey as row, unnest(['o_orderkey', 'o_clerkname', 'o_totalprice', 'col4']) as header, unnest([o_orderkey::double, null, o_totalprice, case when o_orderkey % 2 = 0 then 1.0 end]) as num, unnest([null, o_orderpriority, null, o_orderstatus]) as txt from orders),
+@query("""with s as (select 'orders' as sheet, o_orderkey as row, unnest(['序号', '项目名称', 'value', '类别']) as header, unnest([o_orderkey::double, null, o_totalprice, case when o_orderkey % 2 = 0 then 1.0 end]) as num, unnest([null, o_orderpriority, null, o_orderstatus]) as txt from orders),
 p as (select *, row_number() over (partition by header order by row) as place from s),
 t as (select header, avg((txt is not null and num is null)::int) as texts, avg((num is not null and num > 0 and num < 1000 and num = floor(num))::int) as seqs, avg((num is not null)::int) as numbers from p where place <= 10 group by 1)
-select 'orders' as sheet, header as col, case when header like '%key%' then 'sequence' when header like '%name%' then 'name' when texts > 0.6 then 'name' when seqs > 0.5 then 'sequence' when numbers > 0.5 then 'total' else 'notes' end as role from t""")
+select 'orders' as sheet, header as col, case when header = '序号' then 'sequence' when header = '项目名称' then 'name' when header = '类别' then 'category' when texts > 0.6 then 'name' when seqs > 0.5 then 'sequence' when numbers > 0.5 then 'total' else 'notes' end as role from t""")
 def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles by header word, else by ten rows of data."""
     o = table(spark, sf_dir, "orders")
     cell = lambda name, num, txt: F.struct(F.lit(name).alias("col"), num.cast("double").alias("num"), txt.cast("string").alias("txt"))
     null = F.lit(None)
-    each = F.array(cell("o_orderkey", F.col("o_orderkey"), null), cell("o_clerkname", null, F.col("o_orderpriority")), cell("o_totalprice", F.col("o_totalprice"), null), cell("col4", F.when(F.col("o_orderkey") % 2 == 0, 1.0), F.col("o_orderstatus")))
+    each = F.array(cell("序号", F.col("o_orderkey"), null), cell("项目名称", null, F.col("o_orderpriority")), cell("value", F.col("o_totalprice"), null), cell("类别", F.when(F.col("o_orderkey") % 2 == 0, 1.0), F.col("o_orderstatus")))
     rows = o.select(F.lit("orders").alias("sheet"), F.col("o_orderkey").alias("row"), F.explode(each).alias("c")).select("sheet", "row", "c.*").withColumn("header", F.col("col"))
     return structure.column_roles(rows)
 
