@@ -23,9 +23,11 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,24 +36,29 @@ from quillgrid.llm.common import Scratch, small_batches, table
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PAIRS = 1_000_000  # pairs that are broadcast
-REMEMBERED = 150_000  # stretches that a worker remembers
+REMEMBERED = 300_000  # stretches that a worker remembers
 LONG = 64
+TOGETHER = 1000  # stretches that are read at once
 PART_PAIRS = 1_000_000  # pairs whose partial counts a task holds
 PART_CHARS = 4_000_000  # characters that are looked at together
 ID = 1 << 20  # a pair is a * ID + b
 CUT = re.compile(r"(?<=\S)(?= )")
 
-OVERLAPS = """
-select a.g, a.id * 1048576 + b.id as pair from a asof join b on a.s >= b.s
-union all
-select a.g, a.id * 1048576 + b.id as pair from b join a on b.s > a.s and b.s < a.e"""
-GROUPS = """
-with ga as (select a.g, a.s, a.id, sum(case when a.s = b.s then 1 else 0 end) over (order by a.s rows unbounded preceding) as n from a asof join b on a.s >= b.s),
-gb as (select b.g, b.s, b.id, sum(case when a.s = b.s then 1 else 0 end) over (order by b.s rows unbounded preceding) as n from b asof join a on b.s >= a.s),
-sa as (select n, min(g) as g, count(*) as c, string_agg(id::varchar, ',' order by s) as ids from ga group by n),
-sb as (select n, count(*) as c, string_agg(id::varchar, ',' order by s) as ids from gb group by n)
-select sa.g, sum(sa.c)::bigint as n_a, sum(sb.c)::bigint as n_b, count(*) as n_groups, string_agg(sa.ids || '|' || sb.ids, ';' order by n) as said
-from sa join sb using (n) group by sa.g order by sa.g"""
+#: n: the group's number, a window sum over the starts that both sides share; q: where the token of B starts.
+FIRST = """
+create or replace temp table x as
+select g, s, e, a, b, q, cast(sum(case when s = q then 1 else 0 end) over (order by s rows unbounded preceding) as bigint) as n
+from (select a.g, a.s, a.e, a.id as a, b.id as b, b.s as q from a asof join b on a.s >= b.s)"""
+INSIDE = """
+create or replace temp table y as
+select x.g, x.a, b.id as b, b.s as q, x.n
+from (select * from b anti join a on b.s = a.s) b join (select * from x where e - s > 1) x on b.s > x.s and b.s < x.e"""
+LINKS = "select g, a * 1048576 + b as pair from x union all select g, a * 1048576 + b from y"
+TOKENS = """
+select g, n, side, id from (
+  select g, n, 0 as side, s, a as id from x
+  union all select g, n, 1, q, b from x where s = q
+  union all select g, n, 1, q, b from y) order by n, side, s"""
 
 
 class Tokenizers:
@@ -80,24 +87,41 @@ class Tokenizers:
             self.b_bytes[i] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
         self.space = self.b.piece_to_id("▁")
 
-    def __call__(self, stretches: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Both ids of texts that start with a space; None where bytes differ."""
-        out = []
-        for text, b in zip(stretches, self.b.encode([s[1:] for s in stretches], num_threads=1), strict=True):
-            a, b = self.a.encode_ordinary(text), b or [self.space]
-            raw = text.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            out.append((a, b) if same else None)
-        return out
+        self.sizes = [np.array([len(t.get(i, b"")) for i in range(max(t) + 1)]) for t in (self.a_bytes, self.b_bytes)]
+
+    def __call__(self, stretches: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Ids of A and B of texts that start with a space, end to end; how many each text has; which texts read back by both."""
+        size = np.fromiter((len(s.encode()) for s in stretches), np.int64, len(stretches))
+        flat, count, good = [], [], np.ones(len(stretches), bool)
+        for encode, token, length in ((self._a, self.a_bytes, self.sizes[0]), (self._b, self.b_bytes, self.sizes[1])):
+            # no token reaches over the end of a stretch, so many are read at once and cut by their bytes
+            some = [encode("".join(stretches[at : at + TOGETHER])) for at in range(0, len(stretches), TOGETHER)]
+            ids = np.concatenate(some) if some else np.zeros(0, np.int64)
+            at = np.searchsorted(np.cumsum(length[ids]), np.cumsum(size), "right")
+            n = np.diff(at, prepend=0)
+            if b"".join(map(token.__getitem__, ids.tolist())) != "".join(stretches).encode() or not np.array_equal(_sums(length[ids], n), size):
+                each = list(map(encode, stretches))
+                ids, n = np.concatenate(each), np.array(list(map(len, each)))
+                good &= np.array([b"".join(map(token.__getitem__, x.tolist())) == s.encode() for x, s in zip(each, stretches, strict=True)])
+            flat.append(ids)
+            count.append(n)
+        return flat, count, good
+
+    def _a(self, text: str) -> np.ndarray:
+        return self.a.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+
+    def _b(self, text: str) -> np.ndarray:
+        return np.array(self.b.encode(text[1:]) or [self.space], np.int64)
 
 
 class Stretches:
     """Aligned stretches of one worker: sizes, said groups and pairs by number."""
 
-    def __init__(self, tokenizers: Tokenizers):
+    def __init__(self, tokenizers: Tokenizers, say: bool = True):
+        """say: whether groups are written out."""
         import duckdb
 
-        self.tokenizers = tokenizers
+        self.tokenizers, self.say = tokenizers, say
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
         self.clear()
 
@@ -111,28 +135,25 @@ class Stretches:
 
     def _add(self, new: list[str]) -> None:
         """Aligns texts that start with a space and numbers them on."""
-        ids = self.tokenizers(new)
+        flat, count, good = self.tokenizers(new)
         first = len(self.said)
-        self.bad |= {first + i for i, x in enumerate(ids) if x is None}
-        good = [(i, x) for i, x in enumerate(ids) if x is not None]
+        self.bad |= set((first + np.flatnonzero(~good)).tolist())
         sizes, said, counts, pairs = np.zeros((len(new), 3), np.int64), [""] * len(new), np.zeros(len(new), np.int64), np.zeros(0, np.int64)
-        if good:
-            tables = []
-            for side, length in ((0, self.tokenizers.a_bytes), (1, self.tokenizers.b_bytes)):
-                flat = [t for _, x in good for t in x[side]]
-                end = np.cumsum(np.fromiter((len(length[t]) for t in flat), np.int64, len(flat)))
-                of = np.repeat([i for i, _ in good], [len(x[side]) for _, x in good])
-                tables.append(pa.table({"g": of, "id": np.array(flat, np.int64), "s": np.r_[0, end[:-1]], "e": end}))
-            for name, rows in zip("ab", tables, strict=True):
-                self.db.register(name, rows)
-            links = self.db.execute(OVERLAPS).to_arrow_table()
-            groups = self.db.execute(GROUPS).to_arrow_table()
+        if good.any():
+            for name, ids, n, length in zip("ab", flat, count, self.tokenizers.sizes, strict=True):
+                of = np.repeat(np.arange(len(new)), n)
+                of, ids = of[good[of]], ids[good[of]]
+                end = np.cumsum(length[ids])
+                self.db.register("rows", pa.table({"g": of, "id": ids, "s": np.r_[0, end[:-1]], "e": end}))
+                self.db.execute(f"create or replace temp table {name} as select * from rows")
+            self.db.execute(FIRST)
+            self.db.execute(INSIDE)
+            links = self.db.sql(LINKS).to_arrow_table()
             of = np.array(links["g"])
             by = np.argsort(of, kind="stable")
             pairs, counts = np.array(links["pair"])[by], np.bincount(of, minlength=len(new))
-            for i, text in zip(groups["g"].to_pylist(), groups["said"].to_pylist(), strict=True):
-                said[i] = text
-            sizes[np.array(groups["g"])] = np.column_stack([np.array(groups[c]) for c in ("n_a", "n_b", "n_groups")])
+            if self.say:
+                said, sizes = _said(self.db.sql(TOKENS).to_arrow_table(), len(new))
         self.sizes = np.concatenate([self.sizes, sizes])
         self.said += said
         self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(counts)]
@@ -170,6 +191,19 @@ class Stretches:
         return self.pairs[at], size
 
 
+def _said(tokens: pa.Table, n: int) -> tuple[list[str], np.ndarray]:
+    """The groups of each of n stretches as text, and its sizes; tokens: g, n, side, id in order."""
+    of, group, side = (np.array(tokens[c]).astype(np.int64) for c in ("g", "n", "side"))
+    new = np.r_[True, group[1:] != group[:-1]]
+    start = np.r_[True, of[1:] != of[:-1]]
+    mark = np.where(start, 0, np.where(new, 1, np.where(np.r_[False, side[1:] != side[:-1]], 2, 3)))
+    marks = pa.DictionaryArray.from_arrays(pa.array(mark, pa.int8()), pa.array(["", ";", "|", ","])).cast(pa.string())
+    each = pc.binary_join_element_wise(marks, pc.cast(tokens["id"].combine_chunks(), pa.string()), "")
+    size = np.bincount(of, minlength=n)
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), each), "")
+    return whole.to_pylist(), np.column_stack([np.bincount(of[side == 0], minlength=n), np.bincount(of[side == 1], minlength=n), np.bincount(of[new], minlength=n)])
+
+
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of runs of values; sizes: of the runs, zeros allowed."""
     total = np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0)])
@@ -180,13 +214,14 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 _held: dict[str, Stretches] = {}
 
 
-def _stretches(shared) -> Stretches:
+def _stretches(shared, say: bool) -> Stretches:
     """One for a worker process."""
     digest, *files = shared.value
-    if digest not in _held:
+    key = f"{digest} {say}"
+    if key not in _held:
         _held.clear()
-        _held[digest] = Stretches(Tokenizers(*files))
-    return _held[digest]
+        _held[key] = Stretches(Tokenizers(*files), say)
+    return _held[key]
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -215,7 +250,7 @@ def _count(shared):
     """Partial counts of pairs: (pair, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = _stretches(shared)
+        store = _stretches(shared, False)
         pairs, counts, held = [], [], 0
         for _, texts in _parts(batches):
             numbers, _ = store.numbers(texts)
@@ -244,7 +279,7 @@ def _align(shared, known):
     """A row for each text, with the links whose pairs aren't known here and how often it has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = _stretches(shared)
+        store = _stretches(shared, True)
         pair, n, best = (np.frombuffer(x, t) for x, t in zip(known.value, ("<i8", "<i8", "?"), strict=True))
         row = TaskContext.get().partitionId() << 40
         for ids, texts in _parts(batches):
