@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, kept where all executors find them."""
     sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # tests; a cluster sets spark.checkpoint.dir
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgrid-"))
+    if sc.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillgrid-"))  # a local master: tests
     return df.checkpoint()
 
 

@@ -1,334 +1,424 @@
 """Incremental recalculation of formula cells, level by level, every scenario at once.
 
-A formula becomes a postfix array once (a small helper); Spark evaluates it with one fold over that array, so a level of
-the dependency graph is one join and one projection for all cells and scenarios. Only what lies downstream of an edit is
-evaluated. Cells on cycles are iterated to a fixed point afterwards; what depends on them follows.
-
-Cells: id, num, formula (null for constants). References in formulas are cell ids. Where ids are addresses (``Sheet!B2``), a
-reference without a sheet means the formula's own, dollar signs are ignored, and ranges (``A1:B9``) stand in SUM, COUNT, MIN,
-MAX, AVERAGE, COUNTIF and SUMIF. A range is a node of its own, filled by a join of its cells and one aggregation, so a formula
-over a whole column is no group in one task.
-
-An unknown function or a division by zero gives null, which is an error value: whatever reads it is an error too, except
-through IFERROR. A blank (a cell without number and formula, or none at all) is 0. Dates are day numbers.
+Cells: id, num, formula (null for constants), txt where cells hold texts. References in formulas are cell ids. Where ids are
+addresses (``Sheet!B2``), a reference without a sheet means the formula's own, dollar signs are ignored, and ranges (``A1:B9``,
+``A:A``) stand in SUM, COUNT, MIN, MAX, AVERAGE and in SUMIF, COUNTIF, AVERAGEIF, VLOOKUP, MATCH. Ids don't start with U+0001.
+
+Values are typed: numbers, truths, texts, blanks, errors. An error is the value of whatever reads it, except through IFERROR and
+ISERROR; a formula that can't be read is ``#NAME?``, and it is reached by its references like any other. A comparison is a
+truth; texts compare without case; a blank is 0 or an empty text; ``&`` joins texts; ``%`` is a hundredth.
+
+Plan: references are found by one expression over all formulas; what the edits reach is closed over, and only that is compiled.
+Values move along edges once: what a level computes is written to the folder of the level of each cell that reads it, so a level
+reads its own folder and nothing else, and the base values that it needs were joined to it before the first level. Scenarios
+hold only what differs from the base, so a cell is evaluated in the scenarios that reach it.
+
+Ranges: a range is a node of its own, cut into aligned blocks of 16, 256, ... rows of a column; a block is the sum of its 16
+parts. So n overlapping ranges over n rows have n log n edges, and a changed cell touches a block of each size. A lookup or a
+conditional total is a node too: equal keys meet by an equi-join on (range, key), approximate ones by one sort of keys and rows
+with the last row carried on; other criteria (``>5``) test each row of their range. Blank cells fit no criterion.
+
+Cells on cycles are iterated to a fixed point after the levels, with what depends on them; ones that have not settled after
+``max_rounds`` are errors.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from quillgrid.functions.cells import column_letters, column_number, datedif, serial_date
+from quillgrid.functions import formulas
+from quillgrid.functions.cells import column_letters, column_number
 from quillgrid.operators.graph import cut, downstream, levels
 from quillgrid.operators.structure import in_ranges
 
-ADDRESS = r"\$?[A-Za-z]{1,3}\$?[1-9]\d{0,6}"
-TOKEN = re.compile(
-    rf"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?)|\"([^\"]*)\"|((?:'(?:[^']|'')+'|[^\W\d][\w.]*)!{ADDRESS}(?::{ADDRESS})?|{ADDRESS}:{ADDRESS}|\$[A-Za-z]{{1,3}}\$?[1-9]\d*|[A-Za-z]{{1,3}}\$[1-9]\d*)"
-    r"|([^\W\d][\w.]*)(\()?|(<=|>=|<>|[-+*/^(),<>=]))"
-)
-PLAIN = re.compile(r"[A-Za-z]{1,3}[1-9]\d{0,6}$")
-#: What is kept of a range; a criterion is written behind.
-OF_RANGE = {"SUM": "sum", "COUNT": "count", "MIN": "min", "MAX": "max"}
-UNITS = ["D", "M", "Y", "MD", "YM", "YD"]
-DATE_CALLS = ["YEAR", "MONTH", "DAY", "DATE", "EDATE", "DATEDIF"]
-BINDS = {"u-": 6, "^": 5, "*": 3, "/": 3, "+": 2, "-": 2, "<": 1, ">": 1, "=": 1, "<=": 1, ">=": 1, "<>": 1}
+RANGE, BLOCK, CHOICE, KEY = "\x01r", "\x01b", "\x01c", "\x01k"
+RADIX_BITS, TOP = 4, 6  # blocks of 16^1 .. 16^6 rows
+ROWS = 1 << (RADIX_BITS * TOP)  # more than a sheet has
 STEP = "array<struct<kind:string,name:string,value:double,n:int>>"
+#: k: n number, b truth, t text, z blank, e error. cnt, lo, hi: of the numbers of a range.
+VALUE = ["k", "n", "s", "cnt", "lo", "hi"]
+LETTERS = r"\p{L}\p{N}_."
+REFERENCE = (
+    rf"(?<![{LETTERS}$!'])((?:'(?:[^']|'')+'!|[\p{{L}}_][{LETTERS}]*!)?(?:\$?[A-Za-z]{{1,3}}\$?[1-9]\d{{0,6}}(?::\$?[A-Za-z]{{1,3}}\$?[1-9]\d{{0,6}})?"
+    rf"|\$?[A-Za-z]{{1,3}}:\$?[A-Za-z]{{1,3}})|[\p{{L}}_][{LETTERS}]*)(?![{LETTERS}(!':])"
+)
+
+
+def references_of(cells: DataFrame) -> DataFrame:
+    """(dependent, precedent) of all formulas, whether they can be read or not; ranges are nodes."""
+    bare = F.regexp_replace("formula", r'"(?:[^"]|"")*"', " ")
+    found = cells.where("formula is not null").select("id", F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(REFERENCE), F.lit(1)))).alias("ref"))
+    sheet = F.regexp_replace(F.regexp_extract("ref", r"^(.*)!", 1), "^'|'$", "")
+    found = found.select("id", "ref", F.replace(sheet, F.lit("''"), F.lit("'")).alias("sheet"), F.regexp_extract("id", r"^(.*)![^!]*$", 1).alias("own"), F.upper(F.replace(F.regexp_extract("ref", r"([^!]+)$", 1), F.lit("$"), F.lit(""))).alias("address"))
+    is_range, is_cell = F.col("address").contains(":"), F.col("address").rlike(r"^[A-Z]{1,3}[1-9][0-9]{0,6}$")
+    sheet = F.when(F.col("sheet") != "", F.col("sheet")).when((is_range | is_cell) & (F.col("own") != ""), F.col("own"))
+    plain = F.when(is_range | F.col("ref").contains("$"), F.col("address")).otherwise(F.col("ref"))
+    name = F.when(sheet.isNotNull(), F.concat(sheet, F.lit("!"), "address")).otherwise(plain)
+    return found.select(F.col("id").alias("dependent"), F.when(is_range, F.concat(F.lit(RANGE), name)).otherwise(name).alias("precedent")).distinct()
+
+
+def boxes_of(names: DataFrame) -> DataFrame:
+    """(name, sheet, r1, r2, c1, c2) of range nodes; whole columns hold every row. names: name."""
+    part = lambda g: F.regexp_extract("name", r"^\x01r(.*?)!?([A-Z]+)([0-9]*):([A-Z]+)([0-9]*)$", g)
+    row = lambda g, default: F.coalesce(part(g).try_cast("int"), F.lit(default))
+    a, b, c, d = row(3, 1), row(5, ROWS), column_number(part(2)), column_number(part(4))
+    return names.select("name", part(1).alias("sheet"), F.least(a, b).alias("r1"), F.greatest(a, b).alias("r2"), F.least(c, d).alias("c1"), F.greatest(c, d).alias("c2"))
+
+
+def placed(ids: DataFrame) -> DataFrame:
+    """(id, sheet, row, col) of ids that are addresses."""
+    at = lambda g: F.regexp_extract("id", r"^(?:(.*)!)?([A-Z]{1,3})([1-9][0-9]{0,6})$", g)
+    return ids.where(at(3) != "").select("id", at(1).alias("sheet"), at(3).try_cast("int").alias("row"), column_number(at(2)).alias("col"))
+
+
+def _named(sheet: Column, col: Column, k: Column, i: Column) -> Column:
+    """The node of block i (from 0) of 16^k rows; of one row it is the cell."""
+    cell = F.concat(F.when(sheet != "", F.concat(sheet, F.lit("!"))).otherwise(""), column_letters(col), (i + 1).cast("string"))
+    return F.when(k == 0, cell).otherwise(F.concat_ws("@", F.concat(F.lit(BLOCK), sheet), col.cast("string"), k.cast("string"), i.cast("string")))
+
+
+def range_parts(boxes: DataFrame) -> DataFrame:
+    """(name, sheet, col, k, i): the fewest aligned blocks that make up each column of each range."""
+    low = lambda k: F.expr(f"cast(ceil((r1 - 1) / shiftleft(1L, {RADIX_BITS} * ({k}))) as int)")
+    high = lambda k: F.expr(f"cast(floor(r2 / shiftleft(1L, {RADIX_BITS} * ({k}))) as int)")
+    each = boxes.withColumn("col", F.explode(F.sequence("c1", "c2"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(TOP))))
+    each = each.withColumns({"lo": low("k"), "hi": high("k"), "lo2": low("k + 1") * 16, "hi2": high("k + 1") * 16})
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+    inner = (F.col("lo2") < F.col("hi2")) & (F.col("k") < TOP)
+    parts = F.when(inner, F.concat(run(F.col("lo"), F.col("lo2")), run(F.col("hi2"), F.col("hi")))).otherwise(run(F.col("lo"), F.col("hi")))
+    return each.select("name", "sheet", "col", "k", F.explode(parts).alias("i"))
 
 
-def _qualified(name: str, sheet: str | None) -> str:
-    """A reference without dollar signs and quotes, in capitals, with its sheet."""
-    own, _, address = name.rpartition("!")
-    own = own.strip("'").replace("''", "'") or sheet
-    address = address.replace("$", "").upper()
-    return f"{own}!{address}" if own else address
-
-
-def _range_call(call: str, args: list[list[tuple]]) -> list[tuple[str, str, float, int]] | None:
-    """A call over ranges as calls over what is kept of them; None where no argument is a range."""
-    if not any(a[-1][0] == "range" for a in args):
-        return None
-    if call in ("SUMIF", "COUNTIF") and len(args) >= 2 and len(args[0]) == 1 and args[0][0][0] == "range":
-        tested, wanted = args[0][0][1], args[1]
-        summed = args[2][0][1] if call == "SUMIF" and len(args) > 2 else tested
-        literal = wanted[0][1] if wanted[0][0] == "text" else repr(wanted[0][2]) if len(wanted) == 1 and wanted[0][0] == "number" else None
-        if literal is None:
-            raise ValueError("a criterion that is no literal")
-        return [("ref", f"{summed}#{'sum' if call == 'SUMIF' else 'count'}#{tested}#{literal}", 0.0, 0)]
-    kinds = ["SUM", "COUNT"] if call == "AVERAGE" else [call]
-    out: list[tuple[str, str, float, int]] = []
-    for kind in kinds:
-        if kind not in OF_RANGE:
-            raise ValueError(f"{call} of a range")
-        for a in args:
-            single = [("call", "COUNT", 0.0, 1)] if kind == "COUNT" else []
-            out += [("ref", f"{a[0][1]}#{OF_RANGE[kind]}", 0.0, 0)] if a[0][0] == "range" else [*a, *single]
-        out.append(("call", "SUM" if kind == "COUNT" else kind, 0.0, len(args)))
-    return [*out, ("op", "/", 0.0, 2)] if call == "AVERAGE" else out
-
-
-def _arguments(steps: list[tuple], n: int) -> list[list[tuple]]:
-    """The postfix steps of the last n arguments, taken off the end of steps."""
-    out: list[list[tuple]] = []
-    for _ in range(n):
-        need, at = 1, len(steps)
-        while need:
-            at -= 1
-            need += steps[at][3] - 1
-        out.append(steps[at:])
-        del steps[at:]
-    return out[::-1]
-
-
-def postfix(formula: str, sheet: str | None = None) -> list[tuple[str, str, float, int]]:
-    """(kind, name, value, arguments) in postfix order; kinds: number, text, ref, op, call. ValueError if it can't be read."""
-    out: list[tuple[str, str, float, int]] = []
-    ops: list[list] = []  # [operator or "(" or function, arguments so far]
-    at, text, value_before = 0, formula.removeprefix("=").rstrip(), False
-    while at < len(text):
-        m = TOKEN.match(text, at)
-        if not m:
-            raise ValueError(f"cannot read {formula!r} at {at}")
-        at = m.end()
-        number, quoted, address, name, call, sign = m.groups()
-        if number:
-            out.append(("number", "", float(number), 0))
-        elif quoted is not None:
-            out.append(("text", quoted, 0.0, 0))
-        elif address:
-            out.append(("range" if ":" in address else "ref", _qualified(address, sheet), 0.0, 0))
-        elif name and call:
-            ops.append([name.upper(), 1])
-        elif name:
-            out.append(("ref", _qualified(name, sheet) if sheet and PLAIN.match(name) else name, 0.0, 0))
-        elif sign == "(":
-            ops.append(["(", 1])
-        elif sign in ",)":
-            while ops and ops[-1][0] in BINDS:
-                op = ops.pop()[0]
-                out.append(("op", op, 0.0, 1 if op == "u-" else 2))
-            if not ops:
-                raise ValueError(f"unbalanced {formula!r}")
-            if sign == ",":
-                ops[-1][1] += 1
-            else:
-                opened, n = ops.pop()
-                if opened != "(":
-                    n = n if value_before else 0
-                    args = _arguments(out, n)
-                    out += _range_call(opened, args) or [s for a in args for s in a] + [("call", opened, 0.0, n)]
-        else:
-            op = "u-" if sign == "-" and not value_before else sign
-            if not (sign == "+" and not value_before):
-                while ops and ops[-1][0] in BINDS and op != "u-" and BINDS[ops[-1][0]] >= BINDS[op]:
-                    last = ops.pop()[0]
-                    out.append(("op", last, 0.0, 1 if last == "u-" else 2))
-                ops.append([op, 0])
-        value_before = bool(number or quoted is not None or address or (name and not call) or sign == ")")
-    while ops:
-        op = ops.pop()[0]
-        if op not in BINDS:
-            raise ValueError(f"unbalanced {formula!r}")
-        out.append(("op", op, 0.0, 1 if op == "u-" else 2))
-    if any(s[0] == "range" for s in out):
-        raise ValueError(f"a range outside of a function in {formula!r}")
-    return out
+def range_edges(boxes: DataFrame, cells: DataFrame) -> DataFrame:
+    """(dependent, precedent): ranges to blocks, blocks to blocks and cells. cells: id, sheet, row, col."""
+    parts = range_parts(boxes)
+    top = parts.where("k > 0").groupBy("sheet", "col").agg(F.max("k").alias("most"))
+    up = cells.join(top, ["sheet", "col"]).withColumn("k", F.explode(F.sequence(F.lit(1), "most")))
+    up = up.select("sheet", "col", "k", F.expr(f"shiftright(row - 1, {RADIX_BITS} * k)").alias("i"), (F.col("k") - 1).alias("k2"), F.expr(f"shiftright(row - 1, {RADIX_BITS} * (k - 1))").alias("i2")).distinct()
+    blocks = up.select(_named(F.col("sheet"), F.col("col"), F.col("k"), F.col("i")).alias("dependent"), _named(F.col("sheet"), F.col("col"), F.col("k2"), F.col("i2")).alias("precedent"))
+    return parts.select(F.col("name").alias("dependent"), _named(F.col("sheet"), F.col("col"), F.col("k"), F.col("i")).alias("precedent")).unionByName(blocks)
+
+
+CHOSEN = ["tested", "read", "column", "how", "what"]
+COMPILED = f"id string, kind string, steps {STEP}, tested string, read string, column int, how string, what string"
 
 
 def _compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("value", pa.float64()), ("n", pa.int32())]))
+    step = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("value", pa.float64()), ("n", pa.int32())]))
+    types = {"id": pa.string(), "kind": pa.string(), "steps": step, "tested": pa.string(), "read": pa.string(), "column": pa.int32(), "how": pa.string(), "what": pa.string()}
     for batch in batches:
-        steps = []
-        for own, f in zip(batch.column("id").to_pylist(), batch.column("formula").to_pylist(), strict=True):
+        rows = []
+        for own, formula in zip(batch.column("id").to_pylist(), batch.column("formula").to_pylist(), strict=True):
             try:
-                steps.append([dict(zip(("kind", "name", "value", "n"), s, strict=True)) for s in postfix(f, (own or "").rpartition("!")[0] or None)])
+                steps, choices = formulas.postfix(formula, own.rpartition("!")[0] or None)
             except (ValueError, IndexError):
-                steps.append([{"kind": "call", "name": "?", "value": 0.0, "n": 0}])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(steps, kind)], ["id", "steps"])
+                steps, choices = [("error", "#NAME?", 0.0, 0)], []
+            node = lambda name, own=own: f"{CHOICE}{own}#{name[7:]}" if name.startswith("#choice") else name
+            whole = lambda steps, node=node: [{"kind": k, "name": RANGE + n if k.startswith("total ") else node(n) if k == "ref" else n, "value": v, "n": a} for k, n, v, a in steps]
+            rows.append((own, "formula", whole(steps), *[None] * 5))
+            for i, c in enumerate(choices):
+                rows.append((f"{CHOICE}{own}#{i}", "choice", None, RANGE + c["tested"], RANGE + c["read"], c["column"], c["how"], c["what"]))
+                rows.append((f"{KEY}{own}#{i}", "formula", whole(c["steps"]), *[None] * 5))
+        cols = list(zip(*rows, strict=True)) or [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values(), strict=True)], list(types))
 
 
 def compile_formulas(cells: DataFrame) -> DataFrame:
-    """(id, steps) of formula cells."""
-    return cells.where("formula is not null").select("id", "formula").mapInArrow(_compiled, f"id string, steps {STEP}")
+    """(id, kind, steps, ...) of formula cells; lookups and conditional totals are nodes with a key that is a formula."""
+    return cells.where("formula is not null and id is not null").select("id", "formula").mapInArrow(_compiled, COMPILED)
 
 
-def uses_dates(compiled: DataFrame) -> bool:
-    return not compiled.where(F.exists("steps", lambda s: s["name"].isin(DATE_CALLS))).isEmpty()
+def _edges_of(compiled: DataFrame) -> DataFrame:
+    """(dependent, precedent) of compiled nodes."""
+    names = F.transform(F.filter("steps", lambda s: (s["kind"] == "ref") | s["kind"].startswith("total ")), lambda s: s["name"])
+    of = compiled.where("kind = 'formula'").select(F.col("id").alias("dependent"), F.explode(F.array_distinct(names)).alias("precedent"))
+    key = F.concat(F.lit(KEY), F.substring("id", len(CHOICE) + 1, 1 << 20))
+    return of.unionByName(compiled.where("kind = 'choice'").select(F.col("id").alias("dependent"), F.explode(F.array_distinct(F.array("tested", "read", key))).alias("precedent")))
 
 
-def evaluate(steps: Column, values: Column, dates: bool = True) -> Column:
-    """The value of postfix steps; values: map of references. One fold with a stack of doubles.
+def _typed(num: Column, txt: Column, formula: Column) -> list[Column]:
+    """VALUE of a cell: a text that names an error is one, as is a formula without a value."""
+    error = F.when(txt.rlike(r"^#(DIV/0!|VALUE!|NAME\?|N/A|NUM!|REF!)$"), txt).when(formula.isNotNull() & num.isNull() & txt.isNull(), F.lit("#VALUE!"))
+    k = F.when(error.isNotNull(), "e").when(num.isNotNull(), "n").when(txt.isNotNull(), "t").otherwise("z")
+    is_num = k == "n"
+    return [k.alias("k"), F.when(is_num, num).otherwise(0.0).alias("n"), F.coalesce(error, F.when(~is_num, txt)).alias("s"), is_num.cast("long").alias("cnt"), F.when(is_num, num).alias("lo"), F.when(is_num, num).alias("hi")]
 
-    dates: whether date functions can occur; without them the expression is a third as long.
-    """
-    zero = F.lit(0.0)
-
-    def step(stack: Column, s: Column) -> Column:
-        n, size = s["n"], F.size(stack)
-        taken = F.array(F.slice(stack, F.greatest(F.lit(1), size - n + 1), n))
-        rest = F.when(size > n, F.slice(stack, F.lit(1), F.greatest(F.lit(0), size - n))).otherwise(F.array().cast("array<double>"))
-        # the arguments are bound once; every use of them is then short
-        new = F.transform(taken, lambda args: result(s, args))[0]
-        return F.array_append(F.when(s["kind"].isin("number", "text", "ref"), stack).otherwise(rest), new)
-
-    def result(s: Column, args: Column) -> Column:
-        n = s["n"]
-        a, b, c = (F.get(args, F.lit(i)) for i in range(3))
-        truth = lambda x: F.when(x, 1.0).otherwise(0.0)
-        total = F.aggregate(args, zero, lambda t, x: t + x)
-        name = s["name"]
-        op = (
-            F.when(name == "+", a + b).when(name == "-", a - b).when(name == "*", a * b).when(name == "/", F.try_divide(a, b)).when(name == "^", F.pow(a, b)).when(name == "u-", -a)
-            .when(name == "<", truth(a < b)).when(name == ">", truth(a > b)).when(name == "=", truth(a == b)).when(name == "<=", truth(a <= b)).when(name == ">=", truth(a >= b)).when(name == "<>", truth(a != b))
-        )
-        scale = F.pow(F.lit(10.0), F.coalesce(b, zero))
-        date_a, date_b = serial_date(a), serial_date(b)
-        day = lambda d: F.datediff(d, F.lit("1899-12-30").cast("date")).cast("double")
-        call = (
-            F.when(name == "SUM", total).when(name == "AVERAGE", total / n).when(name == "COUNT", n.cast("double")).when(name == "MAX", F.array_max(args)).when(name == "MIN", F.array_min(args))
-            .when(name == "ABS", F.abs(a)).when(name == "INT", F.floor(a).cast("double")).when(name == "ROUND", F.signum(a) * F.floor(F.abs(a) * scale + 0.5) / scale)
-            .when(name == "ROUNDUP", F.signum(a) * F.ceil(F.abs(a) * scale) / scale).when(name == "ROUNDDOWN", F.signum(a) * F.floor(F.abs(a) * scale) / scale)
-            .when(name == "MOD", a - b * F.floor(F.try_divide(a, b))).when(name == "POWER", F.pow(a, b)).when(name == "SQRT", F.when(a >= 0, F.sqrt(a)))
-            .when(name == "AND", truth(F.forall(args, lambda x: x != 0))).when(name == "OR", truth(F.exists(args, lambda x: x != 0))).when(name == "NOT", truth(a == 0))
-        )
-        if dates:
-            call = call.when(name == "YEAR", F.year(date_a).cast("double")).when(name == "MONTH", F.month(date_a).cast("double")).when(name == "DAY", F.dayofmonth(date_a).cast("double"))
-            call = call.when(name == "DATE", day(F.add_months(F.make_date(a.cast("int"), F.lit(1), F.lit(1)), (b - 1).cast("int"))) + c - 1).when(name == "EDATE", day(F.add_months(date_a, b.cast("int"))))
-        for code, unit in enumerate(UNITS if dates else []):
-            call = call.when((name == "DATEDIF") & (c == code), datedif(date_a, date_b, unit).cast("double"))
-        # an error in any argument is the result; IF reads only the branch that it takes
-        call = F.when(F.exists(args, lambda x: x.isNull()), F.lit(None).cast("double")).otherwise(call)
-        call = F.when(name == "IFERROR", F.coalesce(a, b)).when(name == "IF", F.when(a != 0, b).when((a == 0) & (n > 2), c).when(a == 0, zero)).otherwise(call)
-        text = F.lit(None).cast("double")
-        for code, unit in enumerate(UNITS if dates else []):
-            text = F.when(F.upper(name) == unit, float(code)).otherwise(text)
-        return F.when(s["kind"] == "number", s["value"]).when(s["kind"] == "text", text).when(s["kind"] == "ref", F.try_element_at(values, name)).when(s["kind"] == "op", op).otherwise(call)
-
-    return F.element_at(F.aggregate(steps, F.array().cast("array<double>"), step), -1)
-
-
-def edges_of(compiled: DataFrame) -> DataFrame:
-    """(dependent, precedent) of compiled formulas; no cap on how many."""
-    refs = F.filter("steps", lambda s: s["kind"] == "ref")
-    return compiled.select(F.col("id").alias("dependent"), F.explode(F.array_distinct(F.transform(refs, lambda s: s["name"]))).alias("precedent"))
-
-
-def _place(c: Column, prefix: str) -> list[Column]:
-    """sheet, row and column of an address ``Sheet!B2``."""
-    at = F.regexp_extract(c, r"([A-Z]+)([0-9]+)$", 1)
-    return [F.regexp_extract(c, r"^(.*)![^!]*$", 1).alias(f"{prefix}sheet"), F.regexp_extract(c, r"([0-9]+)$", 1).cast("int").alias(f"{prefix}row"), column_number(at).alias(f"{prefix}col")]
-
-
-def range_edges(names: DataFrame, cells: DataFrame) -> DataFrame:
-    """(dependent, precedent, tested, wanted) of range nodes: their cells, and for a criterion the cell that is tested.
-
-    names: name, as postfix() writes it; cells: id. The join is by blocks of rows, whatever the range's length.
+
+def _total(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """VALUE of ranges and blocks from their parts; the error that counts is the least by name."""
+    error = F.min(F.when(F.col("k") == "e", F.col("s")))
+    return rows.groupBy(*keys).agg(error.alias("s"), F.sum(F.when(F.col("k") == "n", F.col("n")).otherwise(0.0)).alias("n"), F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("k", F.when(F.col("s").isNotNull(), "e").otherwise("n")).select(*keys, *VALUE)
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        steps, base, new = (batch.column(c).to_pylist() for c in ("steps", "base", "new"))
+        for s, held, over in zip(steps, base, new, strict=True):
+            known = {x["precedent"]: tuple(x[c] for c in VALUE) for x in held or []}
+            known |= {x["precedent"]: tuple(x[c] for c in VALUE) for x in over or []}
+            k, n, t = formulas.value([(x["kind"], x["name"], x["value"], x["n"]) for x in s], known)
+            out.append((k, n, t, int(k == "n"), *([n, n] if k == "n" else [None, None])))
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        types = (pa.string(), pa.float64(), pa.string(), pa.int64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([batch.column("scenario"), batch.column("id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["scenario", "id", *VALUE])
+
+
+VALUES = "scenario string, id string, k string, n double, s string, cnt long, lo double, hi double"
+NOT_FOUND = "#N/A"
+
+
+def _chosen(pairs: DataFrame, specs: DataFrame, members: DataFrame, now) -> DataFrame:
+    """(scenario, id, VALUE) of lookups and conditional totals.
+
+    pairs: scenario, id, k, n, s (the key's value); members: name, dr, dc, id (cells of ranges by offset); now(rows): rows of
+    (scenario, id) with their present VALUE.
     """
-    part = lambda i: F.get(F.split("name", "#"), F.lit(i))
-    ends = names.select("name", part(0).alias("range"), part(2).alias("other"), part(3).alias("wanted"))
-    ends = ends.withColumn("sheet", F.regexp_extract("range", r"^(.*)![^!]*$", 1))
-    corner = lambda c, i, g: F.regexp_extract(c, r"([A-Z]+)([0-9]+):([A-Z]+)([0-9]+)$", g)
-    num = lambda c, g: corner(c, 0, g).cast("int") if g in (2, 4) else column_number(corner(c, 0, g))
-    box = ends.select("name", "sheet", "other", "wanted", F.least(num("range", 2), num("range", 4)).alias("r1"), F.greatest(num("range", 2), num("range", 4)).alias("r2"), F.least(num("range", 1), num("range", 3)).alias("c1"), F.greatest(num("range", 1), num("range", 3)).alias("c2"))
-    placed = cells.where(F.col("id").rlike(r"![A-Z]+[0-9]+$")).select("id", *_place(F.col("id"), ""))
-    held = in_ranges(placed, box)
-    first = lambda g: F.try_element_at(F.array(num("other", g)), F.lit(1))
-    letters = F.when(F.col("other").isNotNull(), column_letters(F.col("col") - F.col("c1") + first(1)))
-    tested = F.when(F.col("other").isNotNull(), F.concat(F.regexp_extract("other", r"^(.*)![^!]*$", 1), F.lit("!"), letters, (F.col("row") - F.col("r1") + first(2)).cast("string")))
-    return held.select(F.col("name").alias("dependent"), F.col("id").alias("precedent"), tested.alias("tested"), "wanted")
-
-
-def _apply(values: DataFrame, compiled: DataFrame, edges: DataFrame, ids: DataFrame, scenarios: DataFrame, value: Column, ranges: DataFrame | None = None) -> DataFrame:
-    """(scenario, id, num, error) of the given cells, from present values (scenario, id, num, error, txt). value: evaluate(), made once."""
-    need = edges.join(ids.select(F.col("id").alias("dependent")), "dependent", "left_semi")
-    now = values.select("scenario", F.col("id").alias("precedent"), F.when(~F.col("error"), F.coalesce("num", F.lit(0.0))).alias("num"), "error")
-    single = need.join(compiled.select(F.col("id").alias("dependent")), "dependent", "left_semi")
-    pairs = single.join(F.broadcast(scenarios)).join(now, ["scenario", "precedent"], "left")
-    entry = F.struct("precedent", F.when(F.coalesce("error", F.lit(False)), None).otherwise(F.coalesce("num", F.lit(0.0))).alias("num"))
-    maps = pairs.groupBy("scenario", "dependent").agg(F.map_from_entries(F.collect_list(entry)).alias("values"))
-    out = maps.join(compiled.withColumnRenamed("id", "dependent"), "dependent").select("scenario", F.col("dependent").alias("id"), value.alias("num"))
-    if ranges is None:
-        return out.withColumn("error", F.col("num").isNull())
-    own = ranges.join(ids.select(F.col("id").alias("dependent")), "dependent", "left_semi").where("role <> 'test'")
-    read = values.select("scenario", F.col("id").alias("precedent"), "num", "error", "txt")
-    held = own.join(read, "precedent")
-    test = values.select("scenario", F.col("id").alias("tested"), F.col("num").alias("test_num"), F.col("txt").alias("test_txt"))
-    held = held.join(test, ["scenario", "tested"], "left")
-    fits = F.col("wanted").isNull() | (F.col("test_txt") == F.col("wanted")) | (F.col("test_num") == F.col("wanted").try_cast("double"))
-    held = held.where(fits)
-    kind = F.get(F.split("dependent", "#"), F.lit(1))
-    some = F.when(kind == "count", F.count(F.when(F.col("wanted").isNotNull(), 1).otherwise(F.col("num"))).cast("double"))
-    some = some.when(kind == "min", F.coalesce(F.min("num"), F.lit(0.0))).when(kind == "max", F.coalesce(F.max("num"), F.lit(0.0))).otherwise(F.coalesce(F.sum("num"), F.lit(0.0)))
-    got = held.groupBy("scenario", "dependent").agg(some.alias("num"), F.max("error").alias("error"))
-    nodes = ids.where(F.col("id").contains("#")).join(F.broadcast(scenarios)).select("scenario", F.col("id").alias("dependent"))
-    got = nodes.join(got, ["scenario", "dependent"], "left")  # a range or criterion without cells is 0
-    error = F.coalesce("error", F.lit(False)) & (kind != "count")
-    got = got.select("scenario", F.col("dependent").alias("id"), F.when(~error, F.coalesce("num", F.lit(0.0))).alias("num"), error.alias("error"))
-    return out.withColumn("error", F.col("num").isNull()).unionByName(got)
+    asked = pairs.join(specs, "id")
+    asked = cut(asked.withColumns({
+        "sign": F.when((F.col("how") == "criterion") & (F.col("k") == "t"), F.regexp_extract("s", r"^(<=|>=|<>|<|>|=)?", 1)).otherwise(""),
+    }).withColumn("word", F.when(F.col("k") == "t", F.lower(F.expr("substring(s, length(sign) + 1)"))))
+      .withColumn("wanted", F.when(F.col("k") == "t", F.when(F.col("how") == "criterion", F.col("word").try_cast("double"))).otherwise(F.col("n")))
+      .withColumn("sign", F.when(F.col("sign").isin("", "="), "=").otherwise(F.col("sign"))))
+    asked = asked.withColumn("word", F.when(F.col("wanted").isNull(), F.col("word")))
+    need = asked.select("scenario", F.col("tested").alias("name")).distinct().join(members, "name")
+    tested = now(need).where("k <> 'e'").select("scenario", "name", "dr", "dc", F.when(F.col("k").isin("n", "b"), F.col("n")).alias("number"), F.when(F.col("k") == "t", F.lower("s")).alias("said"))
+    tested = cut(tested.where("number is not null or said is not null"))
+    fine = asked.where("k <> 'e'")
+    row = ["scenario", "id", "read", "column", "what", "dr", "dc"]
+    rows = tested.withColumnRenamed("name", "tested")
+    first = (F.col("how") == "criterion") | (F.col("dc") == 0)
+    equal = fine.where("sign = '=' and how <> 'near'")
+    by_number = equal.where("wanted is not null").join(rows.withColumnRenamed("number", "wanted").drop("said"), ["scenario", "tested", "wanted"])
+    by_word = equal.where("word is not null").join(rows.withColumnRenamed("said", "word").drop("number"), ["scenario", "tested", "word"])
+    met = by_number.where(first).select(*row).unionByName(by_word.where(first).select(*row))
+    other = fine.where("sign <> '='").join(rows, ["scenario", "tested"])
+    number, wanted, said, word = (F.col(c) for c in ("number", "wanted", "said", "word"))
+    sign = F.col("sign")
+    in_order = lambda a, b: F.when(sign == "<", a < b).when(sign == ">", a > b).when(sign == "<=", a <= b).when(sign == ">=", a >= b)
+    fits = F.when(sign == "<>", ~F.coalesce(F.when(wanted.isNotNull(), number == wanted).otherwise(said == word), F.lit(False))).when(wanted.isNotNull(), in_order(number, wanted)).otherwise(in_order(said, word))
+    met = met.unionByName(other.where(fits).select(*row))
+    # approximate: keys and rows in one order; each key gets the last row before it
+    keys = fine.where("how = 'near'").select("scenario", "id", "tested", "read", "column", "what", wanted.alias("number"), word.alias("said"), F.lit(1).alias("asks"), F.lit(-1).alias("dr"))
+    near = rows.where("dc = 0").join(keys.select("scenario", "tested").distinct(), ["scenario", "tested"], "left_semi").select("scenario", "tested", "number", "said", F.lit(0).alias("asks"), "dr")
+    order = Window.partitionBy("scenario", "tested", F.col("number").isNull()).orderBy("number", "said", "asks", "dr").rowsBetween(Window.unboundedPreceding, 0)
+    carried = keys.unionByName(near, allowMissingColumns=True).withColumn("at", F.last(F.when(F.col("asks") == 0, F.col("dr")), ignorenulls=True).over(order))
+    met = met.unionByName(carried.where("asks = 1 and at is not null").select("scenario", "id", "read", "column", "what", F.col("at").alias("dr"), F.lit(0).alias("dc")))
+    # a lookup takes its first row; totals take all
+    single = F.col("what").isin("value", "row")
+    one = met.where(single).groupBy("scenario", "id", "read", "column", "what").agg(F.min("dr").alias("dr")).withColumn("dc", F.lit(0))
+    met = cut(one.unionByName(met.where(~single)))
+    places = members.select(F.col("name").alias("read"), "dr", F.col("dc").alias("at"), F.col("id").alias("cell"))
+    read = met.where(~F.col("what").isin("row", "rows")).withColumn("at", F.col("dc") + F.col("column")).join(places, ["read", "dr", "at"])
+    read = now(read.select("scenario", F.col("cell").alias("id"), F.col("id").alias("node"), "what"))
+    value = _total(read.where("what in ('sum', 'count')"), ["scenario", "node", "what"])
+    count = F.col("what") == "count"
+    value = value.select("scenario", F.col("node").alias("id"), F.when(count, "n").otherwise(F.col("k")).alias("k"), F.when(count, F.col("cnt").cast("double")).otherwise(F.col("n")).alias("n"), F.when(~count, F.col("s")).alias("s"))
+    value = value.unionByName(read.where("what = 'value'").select("scenario", F.col("node").alias("id"), "k", "n", "s"))
+    counted = met.where("what = 'rows'").groupBy("scenario", "id").agg(F.count("*").cast("double").alias("n")).unionByName(met.where("what = 'row'").select("scenario", "id", (F.col("dr") + 1).cast("double").alias("n")))
+    value = value.unionByName(counted.select("scenario", "id", F.lit("n").alias("k"), "n", F.lit(None).cast("string").alias("s")))
+    found = met.where("what = 'value'").select("scenario", "id", F.lit(True).alias("found"))
+    got = asked.select("scenario", "id", "what", F.col("k").alias("key"), F.col("s").alias("fault")).join(value, ["scenario", "id"], "left").join(found, ["scenario", "id"], "left")
+    missing = F.col("k").isNull()
+    lost = missing & (F.col("what") == "row") | F.col("found").isNull() & (F.col("what") == "value")
+    k = F.when(F.col("key") == "e", "e").when(lost, "e").when(missing, F.when(F.col("what") == "value", "z").otherwise("n")).otherwise(F.col("k"))
+    s = F.when(F.col("key") == "e", F.col("fault")).when(lost, F.lit(NOT_FOUND)).otherwise(F.col("s"))
+    n = F.when(k == "e", 0.0).otherwise(F.coalesce("n", F.lit(0.0)))
+    return got.select("scenario", "id", k.alias("k"), n.alias("n"), s.alias("s"), (k == "n").cast("long").alias("cnt"), F.when(k == "n", n).alias("lo"), F.when(k == "n", n).alias("hi"))
+
+
+class _Folders:
+    """Tables by level under the folder of checkpoints, which all executors share."""
+
+    def __init__(self, spark):
+        cut(spark.range(0))  # so that there is a folder
+        self.spark = spark
+        self.root = f"{spark.sparkContext.getCheckpointDir()}/recalc-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame, name: str) -> None:
+        df.write.mode("append").partitionBy("level").parquet(f"{self.root}/{name}")
+
+    def get(self, name: str, schema: str, level: int | None = None) -> DataFrame:
+        path = f"{self.root}/{name}" + ("" if level is None else f"/level={level}")
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
+
+INBOX = "scenario string, dependent string, precedent string, k string, n double, s string, cnt long, lo double, hi double"
+CYCLIC = -1
+
+
+class _Run:
+    """One recalculation: the tables that its levels read."""
+
+    def __init__(self, cells: DataFrame, edits: DataFrame):
+        self.spark = spark = cells.sparkSession
+        self.cells, self.edits = cells, edits
+        self.base = cells.select("id", *_typed(F.col("num"), F.col("txt"), F.col("formula")))
+        graph = references_of(cells)
+        names = cut(graph.where(F.col("precedent").startswith(RANGE)).select(F.col("precedent").alias("name")).distinct())
+        self.has_ranges = not names.isEmpty()
+        self.ids = placed(cells.select("id").unionByName(edits.select("id")).distinct())
+        if self.has_ranges:
+            graph = graph.unionByName(range_edges(boxes_of(names), self.ids))
+        graph = cut(graph)
+        self.reached = cut(downstream(graph, edits.select("id")).select("id"))
+        hit = self.reached.withColumnRenamed("id", "dependent")
+        edges = graph.join(hit, "dependent", "left_semi")
+        self.compiled = cut(compile_formulas(cells.join(self.reached, "id", "left_semi")))
+        self.has_choices = not self.compiled.where("kind = 'choice'").isEmpty()
+        self.edges = edges = cut(edges.unionByName(_edges_of(self.compiled)).distinct())
+        inner = edges.join(edges.select(F.col("dependent").alias("precedent")).distinct(), "precedent", "left_semi")
+        order, cyclic = levels(inner)
+        alone = edges.select(F.col("dependent").alias("id")).distinct().join(order.select("id").unionByName(cyclic.select("id")), "id", "left_anti")
+        order = order.unionByName(alone.withColumn("level", F.lit(0))).unionByName(cyclic.select("id", F.lit(CYCLIC).alias("level")))
+        self.order = cut(order)
+        self.top = self.order.agg(F.max("level")).first()[0]
+        self.kinds = {tuple(r) for r in self.order.select("level", F.when(F.col("id").startswith(CHOICE), "choice").when(F.col("id").startswith(RANGE) | F.col("id").startswith(BLOCK), "range").otherwise("formula")).distinct().collect()}
+        self.folders = _Folders(spark)
+        self.targets = cut(edges.join(self.order.withColumnRenamed("id", "dependent"), "dependent").select("precedent", "dependent", "level"))
+        self._prepare()
+
+    def _prepare(self) -> None:
+        """Base values of what each level reads, and the formulas with them, in folders by level."""
+        need = self.targets.select("precedent").distinct()
+        known = self.base.withColumnRenamed("id", "precedent").join(need, "precedent", "left_semi")
+        if self.has_ranges:
+            known = cut(known.unionByName(self._base_ranges(need)))
+        if self.has_choices:
+            specs = self.compiled.where("kind = 'choice'").select("id", *CHOSEN)
+            names = specs.select(F.explode(F.array("tested", "read")).alias("name")).distinct()
+            box = boxes_of(names)
+            held = in_ranges(self.ids, box)
+            self.members = cut(held.select("name", (F.col("row") - F.col("r1")).alias("dr"), (F.col("col") - F.col("c1")).alias("dc"), "id"))
+            self.specs = cut(specs)
+            keys = self.compiled.where(F.col("id").startswith(KEY)).select("id", "steps")
+            reads = self.targets.where(F.col("dependent").startswith(KEY)).join(known, "precedent", "left").groupBy(F.col("dependent").alias("id")).agg(F.collect_list(F.struct("precedent", *VALUE)).alias("base"))
+            first = keys.join(reads, "id", "left").select(F.lit("").alias("scenario"), "id", "steps", "base", F.lit(None).cast("array<struct<precedent:string,k:string,n:double,s:string,cnt:bigint,lo:double,hi:double>>").alias("new"))
+            self.base_keys = cut(first.mapInArrow(_values, VALUES).drop("scenario"))
+            choice = F.concat(F.lit(CHOICE), F.substring("id", len(KEY) + 1, 1 << 20))
+            asked = self.base_keys.select(F.lit("").alias("scenario"), choice.alias("id"), "k", "n", "s")
+            now = lambda rows: rows.join(self.base, "id", "left").withColumn("k", F.coalesce("k", F.lit("z")))
+            chosen = _chosen(asked, self.specs, self.members, now).drop("scenario")
+            known = known.unionByName(chosen.unionByName(self.base_keys).withColumnRenamed("id", "precedent"))
+        static = cut(self.targets.join(known, "precedent", "left"))
+        if any(kind == "range" for _, kind in self.kinds):
+            self.folders.add(static.where(F.col("dependent").startswith(RANGE) | F.col("dependent").startswith(BLOCK)).select("level", "dependent", "precedent", *VALUE), "parts")
+        reads = static.where("k is not null").groupBy(F.col("dependent").alias("id")).agg(F.collect_list(F.struct("precedent", *VALUE)).alias("base"))
+        ready = self.compiled.where("kind = 'formula'").select("id", "steps").join(self.order, "id").join(reads, "id", "left")
+        self.folders.add(ready.select("level", "id", "steps", "base"), "formulas")
+
+    def _base_ranges(self, need: DataFrame) -> DataFrame:
+        """(precedent, VALUE) of ranges and blocks that are read."""
+        name = F.col("precedent").alias("name")
+        parts = range_parts(boxes_of(need.where(F.col("precedent").startswith(RANGE)).select(name)))
+        parts = parts.select("name", _named(F.col("sheet"), F.col("col"), F.col("k"), F.col("i")).alias("part"), "sheet", "col", "k")
+        top = cut(self.edges.where(F.col("dependent").startswith(RANGE) | F.col("dependent").startswith(BLOCK)).select(F.explode(F.array("dependent", "precedent")).alias("part")).unionByName(parts.select("part")).where(F.col("part").startswith(BLOCK)).distinct())
+        at = self.ids.join(top.select(F.regexp_extract("part", r"^\x01b(.*)@([0-9]+)@[0-9]+@[0-9]+$", 1).alias("sheet"), F.regexp_extract("part", r"@([0-9]+)@[0-9]+@[0-9]+$", 1).try_cast("int").alias("col"), F.regexp_extract("part", r"@([0-9]+)@[0-9]+$", 1).try_cast("int").alias("k")).distinct(), ["sheet", "col"])
+        up = at.select("id", _named(F.col("sheet"), F.col("col"), F.col("k"), F.expr(f"shiftright(row - 1, {RADIX_BITS} * k)")).alias("part")).join(top, "part", "left_semi")
+        blocks = cut(_total(up.join(self.base, "id"), ["part"]))
+        every = blocks.unionByName(self.base.withColumnRenamed("id", "part"))
+        ranges = _total(parts.select("name", "part").join(every, "part"), ["name"])
+        return ranges.withColumnRenamed("name", "precedent").unionByName(blocks.withColumnRenamed("part", "precedent").join(need, "precedent", "left_semi"))
+
+    def push(self, values: DataFrame) -> None:
+        """Sends values (scenario, id, VALUE) to the levels of the cells that read them."""
+        sent = values.withColumnRenamed("id", "precedent").join(self.targets, "precedent")
+        self.folders.add(sent.select("level", "scenario", "dependent", "precedent", *VALUE), "inbox")
+
+    def values(self, inbox: DataFrame, level: int) -> DataFrame:
+        """(scenario, id, VALUE) of the nodes of a level, in the scenarios that reach them."""
+        out = None
+        if (level, "formula") in self.kinds:
+            ready = self.folders.get("formulas", f"id string, steps {STEP}, base array<struct<precedent:string,k:string,n:double,s:string,cnt:bigint,lo:double,hi:double>>", level)
+            new = inbox.groupBy("scenario", F.col("dependent").alias("id")).agg(F.collect_list(F.struct("precedent", *VALUE)).alias("new"))
+            out = new.join(ready, "id").select("scenario", "id", "steps", "base", "new").mapInArrow(_values, VALUES)
+        if (level, "range") in self.kinds:
+            parts = self.folders.get("parts", INBOX.replace("scenario string, ", ""), level)
+            pairs = inbox.where(F.col("dependent").startswith(RANGE) | F.col("dependent").startswith(BLOCK)).select("scenario", "dependent").distinct()
+            over = inbox.select("scenario", "dependent", "precedent", F.struct(*VALUE).alias("over"))
+            rows = pairs.join(parts, "dependent").join(over, ["scenario", "dependent", "precedent"], "left")
+            rows = rows.select("scenario", F.col("dependent").alias("id"), *(F.when(F.col("over").isNotNull(), F.col(f"over.{c}")).otherwise(F.col(c)).alias(c) for c in VALUE))
+            total = _total(rows.withColumns({"k": F.coalesce("k", F.lit("z")), "cnt": F.coalesce("cnt", F.lit(0))}), ["scenario", "id"])
+            out = total if out is None else out.unionByName(total)
+        if (level, "choice") in self.kinds:
+            asked = inbox.where(F.col("dependent").startswith(CHOICE))
+            key = F.concat(F.lit(KEY), F.substring("dependent", len(CHOICE) + 1, 1 << 20))
+            over = asked.where(F.col("precedent") == key).select("scenario", F.col("dependent").alias("id"), F.struct("k", "n", "s").alias("over"))
+            base = self.base_keys.select(F.concat(F.lit(CHOICE), F.substring("id", len(KEY) + 1, 1 << 20)).alias("id"), "k", "n", "s")
+            pairs = asked.select("scenario", F.col("dependent").alias("id")).distinct().join(base, "id").join(over, ["scenario", "id"], "left")
+            pairs = pairs.select("scenario", "id", *(F.when(F.col("over").isNotNull(), F.col(f"over.{c}")).otherwise(F.col(c)).alias(c) for c in ("k", "n", "s")))
+            got = _chosen(pairs, self.specs, self.members, self.now)
+            out = got if out is None else out.unionByName(got)
+        return out if self.fixed is None else out.join(self.fixed, ["scenario", "id"], "left_anti")
+
+    def now(self, rows: DataFrame) -> DataFrame:
+        """Rows of (scenario, id, ...) with the present VALUE of the cell in the scenario."""
+        done = self.folders.get("done", VALUES).where(~F.col("id").startswith("\x01")).select("scenario", "id", F.struct(*VALUE).alias("over"))
+        both = rows.join(self.base, "id", "left").join(done, ["scenario", "id"], "left")
+        both = both.select(*rows.columns, *(F.when(F.col("over").isNotNull(), F.col(f"over.{c}")).otherwise(F.col(c)).alias(c) for c in VALUE))
+        return both.withColumns({"k": F.coalesce("k", F.lit("z")), "cnt": F.coalesce("cnt", F.lit(0))})
+
+    def solve(self, max_rounds: int, tolerance: float) -> DataFrame:
+        """(scenario, id, VALUE) of everything that the edits reach."""
+        none = F.lit(None).cast("string")
+        edited = cut(self.edits.select("scenario", "id", *_typed(F.col("num"), F.col("txt"), none)))
+        computed = edited.join(self.order.select("id"), "id", "left_semi").select("scenario", "id")
+        self.fixed = None if computed.isEmpty() else cut(computed)
+        self.folders.add(edited.withColumn("level", F.lit(-2)), "done")
+        self.push(edited)
+        for level in range((-1 if self.top is None else self.top) + 1):
+            out = self.values(self.folders.get("inbox", INBOX, level), level)
+            self.folders.add(out.withColumn("level", F.lit(level)), "done")
+            self.push(self.folders.get("done", VALUES, level))
+        if any(level == CYCLIC for level, _ in self.kinds):
+            self._settle(max_rounds, tolerance)
+        return self.folders.get("done", VALUES)
+
+    def _settle(self, max_rounds: int, tolerance: float) -> None:
+        """Rounds over cells on cycles, and what depends on them, until no value moves."""
+        given = cut(self.folders.get("inbox", INBOX, CYCLIC))
+        links = cut(self.targets.where(F.col("level") == CYCLIC).drop("level"))
+        now, moved = None, None
+        for _ in range(max_rounds):
+            inbox = given
+            if now is not None:
+                inbox = inbox.unionByName(now.withColumnRenamed("id", "precedent").join(links, "precedent").select("scenario", "dependent", "precedent", *VALUE))
+            new = cut(self.values(inbox, CYCLIC))
+            if now is not None:
+                was = now.select("scenario", "id", F.col("k").alias("k0"), F.col("n").alias("n0"), F.col("s").alias("s0"))
+                both = new.join(was, ["scenario", "id"], "left")
+                same = F.col("k").eqNullSafe(F.col("k0")) & F.col("s").eqNullSafe(F.col("s0")) & (F.abs(F.col("n") - F.col("n0")) <= tolerance)
+                moved = cut(both.where(~F.coalesce(same, F.lit(False))).select("scenario", "id"))
+                if moved.isEmpty():
+                    self.folders.add(new.withColumn("level", F.lit(CYCLIC)), "done")
+                    return
+            now = new
+        open_ = (moved if moved is not None else now.select("scenario", "id")).withColumn("open", F.lit(True))
+        ended = now.join(open_, ["scenario", "id"], "left")
+        ended = ended.withColumns({"k": F.when(F.col("open"), "e").otherwise(F.col("k")), "s": F.when(F.col("open"), "#NUM!").otherwise(F.col("s"))}).drop("open")
+        self.folders.add(ended.withColumn("level", F.lit(CYCLIC)), "done")
 
 
 def recalculate(cells: DataFrame, edits: DataFrame, max_rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
-    """(scenario, id, old, new): every cell that an edit reaches, edits among it, recorded once with its final value.
+    """(scenario, id, old, new, kind, text): every cell that a scenario's edits reach, the edits among it, once with its final value.
 
-    cells: id, num, formula, and txt where criteria look at texts; edits: scenario, id, num. Cells on cycles that have not
-    settled after ``max_rounds`` are errors: their new value is null.
+    cells: id, num, formula, and txt for texts; edits: scenario, id, num, and txt to put in a text. new is null for what is no
+    number or truth (1 or 0); kind: n number, b truth, t text, z blank, e error; text: of a text, the name of an error.
     """
-    if "txt" not in cells.columns:
-        cells = cells.withColumn("txt", F.lit(None).cast("string"))
-    compiled = cut(compile_formulas(cells))
-    edges = cut(edges_of(compiled))
-    names = cut(edges.where(F.col("precedent").contains("#")).select(F.col("precedent").alias("name")).distinct())
-    ranges, value = None, evaluate(F.col("steps"), F.col("values"), uses_dates(compiled))
-    if not names.isEmpty():
-        ranges = range_edges(names, cells)
-        tests = ranges.where("tested is not null").select("dependent", F.col("tested").alias("precedent"))
-        ranges = cut(ranges.withColumn("role", F.lit("value")).unionByName(tests.withColumn("role", F.lit("test")), allowMissingColumns=True))
-        edges = cut(edges.unionByName(ranges.select("dependent", "precedent").distinct()))
-    reached = cut(downstream(edges, edits.select("id")))
-    computed = compiled.select("id").unionByName(names.select(F.col("name").alias("id")))
-    affected = reached.join(computed, "id", "left_semi").join(edits.select("id").distinct(), "id", "left_anti").select("id")
-    inner = edges.join(affected.select(F.col("id").alias("dependent")), "dependent", "left_semi").join(affected.select(F.col("id").alias("precedent")), "precedent", "left_semi")
-    order, cyclic = levels(inner)
-    alone = affected.join(inner.select(F.col("dependent").alias("id")).unionByName(inner.select(F.col("precedent").alias("id"))).distinct(), "id", "left_anti")
-    order = cut(order.unionByName(alone.withColumn("level", F.lit(0))))
-    scenarios = cut(edits.select("scenario").distinct())
-    # values that formulas may read: edits, else what the cell has now
-    read = edges.join(affected.select(F.col("id").alias("dependent")), "dependent", "left_semi").select(F.col("precedent").alias("id")).distinct()
-    error = (F.col("formula").isNotNull() & F.col("num").isNull()).alias("error")
-    base = cells.join(read, "id", "left_semi").select("id", "num", error, "txt")
-    if ranges is not None:  # ranges that no edit reaches
-        still = names.select(F.col("name").alias("id")).join(read, "id", "left_semi").join(affected, "id", "left_anti")
-        member = ranges.join(still.select(F.col("id").alias("dependent")), "dependent", "left_semi").select("precedent", "tested")
-        member = member.select(F.explode(F.array("precedent", "tested")).alias("id")).where("id is not null").distinct()
-        there = cells.join(member, "id", "left_semi").select(F.lit("").alias("scenario"), "id", "num", error, "txt")
-        there = cut(there)
-        fixed = _apply(there, compiled, edges.where("false"), still, there.select("scenario").distinct(), value, ranges)
-        base = base.unionByName(fixed.select("id", "num", "error", F.lit(None).cast("string").alias("txt")))
-    base = base.join(F.broadcast(scenarios), how="cross")
-    values = base.join(edits.select("scenario", "id"), ["scenario", "id"], "left_anti").select("scenario", "id", "num", "error", "txt")
-    values = values.unionByName(edits.select("scenario", "id", "num", F.lit(False).alias("error"), F.lit(None).cast("string").alias("txt")))
-    values = cut(values.join(order.select("id"), "id", "left_anti"))
-    result = ["scenario", "id", "num", "error", F.lit(None).cast("string").alias("txt")]
-    top = order.agg(F.max("level")).first()[0]
-    for level in range((top if top is not None else -1) + 1):
-        new = _apply(values, compiled, edges, order.where(F.col("level") == level).select("id"), scenarios, value, ranges)
-        values = cut(values.unionByName(new.select(*result)))
-    if not cyclic.isEmpty():
-        loop = cyclic.join(affected, "id", "left_semi")
-        for _ in range(max_rounds):
-            new = _apply(values, compiled, edges, loop, scenarios, value, ranges).select(*result)
-            both = new.join(values.select("scenario", "id", F.col("num").alias("was")), ["scenario", "id"], "left")
-            moved = both.where(F.abs(F.coalesce("num", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))) > tolerance)
-            settled = moved.isEmpty()
-            values = cut(values.join(new.select("scenario", "id"), ["scenario", "id"], "left_anti").unionByName(new))
-            if settled:
-                break
-        else:
-            unsettled = cut(moved.select("scenario", "id").withColumn("open", F.lit(True)))
-            values = values.join(unsettled, ["scenario", "id"], "left").withColumn("num", F.when(F.col("open").isNull(), F.col("num"))).drop("open")
-    changed = values.join(reached.select("id"), "id", "left_semi").where(~F.col("id").contains("#"))
-    return changed.join(cells.select("id", F.col("num").alias("old")), "id", "left").select("scenario", "id", "old", F.col("num").alias("new"))
+    string = F.lit(None).cast("string")
+    cells, edits = (df if "txt" in df.columns else df.withColumn("txt", string) for df in (cells, edits))
+    cells = cells.select("id", F.col("num").cast("double").alias("num"), "formula", "txt")
+    edits = cut(edits.select("scenario", "id", F.col("num").cast("double").alias("num"), "txt"))
+    done = _Run(cells, edits).solve(max_rounds, tolerance).where(~F.col("id").startswith("\x01"))
+    new = F.when(F.col("k").isin("n", "b"), F.col("n")).alias("new")
+    return done.join(cells.select("id", F.col("num").alias("old")), "id", "left").select("scenario", "id", "old", new, F.col("k").alias("kind"), F.col("s").alias("text"))
