@@ -41,18 +41,3 @@ def by_severity(defects: DataFrame) -> DataFrame:
     """Defects, the most severe first. defects: severity, sheet, row."""
     rank = F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), F.col("severity"))
     return defects.withColumn("rank", F.when(rank == 0, len(SEVERITIES) + 1).otherwise(rank)).orderBy("rank", "sheet", "row")
-
-
-def repairs(cells: DataFrame) -> DataFrame:
-    """(sheet, row, col, formula): for a constant right of a formula, that formula moved by the columns between them.
-
-    Only references to column letters without a dollar sign move; one letter is enough for what the checks find.
-    """
-    order = Window.partitionBy("sheet", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.last(F.when(F.col("formula").isNotNull(), F.struct("col", "formula")), ignorenulls=True).over(order)
-    last = F.max(F.when(F.col("formula").isNotNull(), F.col("col"))).over(Window.partitionBy("sheet", "row"))
-    some = cells.withColumns({"near": seen, "last": last}).where(F.col("formula").isNull() & F.col("num").isNotNull() & F.col("near").isNotNull() & (F.col("col") < F.col("last")))
-    parts = F.regexp_extract_all("near.formula", F.lit(r"(\$?[A-Z]+\$?[0-9]+|.)"), F.lit(1))
-    shift = F.col("col") - F.col("near.col")
-    moved = F.transform(parts, lambda p: F.when(p.rlike(r"^[A-Z]\$?[0-9]+$"), F.concat(F.char(F.ascii(p) + shift), F.regexp_replace(p, "^[A-Z]", ""))).otherwise(p))
-    return some.select("sheet", "row", "col", F.array_join(moved, "").alias("formula"))

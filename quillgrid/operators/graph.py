@@ -38,7 +38,6 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, both
     steps = edges.select("src", "dst")
     if both_ways:
         steps = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    steps = steps.distinct()
     seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):

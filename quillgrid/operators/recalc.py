@@ -54,13 +54,16 @@ def references_of(cells: DataFrame) -> DataFrame:
     """(dependent, precedent) of all formulas, whether they can be read or not; ranges are nodes."""
     bare = F.regexp_replace("formula", r'"(?:[^"]|"")*"', " ")
     found = cells.where("formula is not null").select("id", F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(REFERENCE), F.lit(1)))).alias("ref"))
-    sheet = F.regexp_replace(F.regexp_extract("ref", r"^(.*)!", 1), "^'|'$", "")
-    found = found.select("id", "ref", F.replace(sheet, F.lit("''"), F.lit("'")).alias("sheet"), F.regexp_extract("id", r"^(.*)![^!]*$", 1).alias("own"), F.upper(F.replace(F.regexp_extract("ref", r"([^!]+)$", 1), F.lit("$"), F.lit(""))).alias("address"))
+    far = F.col("ref").contains("!")  # most references have no sheet; what only sheets need isn't evaluated for them
+    sheet = F.when(far, F.replace(F.regexp_replace(F.regexp_extract("ref", r"^(.*)!", 1), "^'|'$", ""), F.lit("''"), F.lit("'"))).otherwise("")
+    own = F.when(F.col("id").contains("!"), F.regexp_extract("id", r"^(.*)![^!]*$", 1)).otherwise("")
+    address = F.upper(F.replace(F.when(far, F.regexp_extract("ref", r"([^!]+)$", 1)).otherwise(F.col("ref")), F.lit("$"), F.lit("")))
+    found = found.select("id", "ref", sheet.alias("sheet"), own.alias("own"), address.alias("address"))
     is_range, is_cell = F.col("address").contains(":"), F.col("address").rlike(r"^[A-Z]{1,3}[1-9][0-9]{0,6}$")
-    sheet = F.when(F.col("sheet") != "", F.col("sheet")).when((is_range | is_cell) & (F.col("own") != ""), F.col("own"))
+    sheet = F.when(F.col("sheet") != "", F.col("sheet")).when((F.col("own") != "") & (is_range | is_cell), F.col("own"))
     plain = F.when(is_range | F.col("ref").contains("$"), F.col("address")).otherwise(F.col("ref"))
     name = F.when(sheet.isNotNull(), F.concat(sheet, F.lit("!"), "address")).otherwise(plain)
-    return found.select(F.col("id").alias("dependent"), F.when(is_range, F.concat(F.lit(RANGE), name)).otherwise(name).alias("precedent")).distinct()
+    return found.select(F.col("id").alias("dependent"), F.when(is_range, F.concat(F.lit(RANGE), name)).otherwise(name).alias("precedent"))
 
 
 def boxes_of(names: DataFrame) -> DataFrame:
@@ -110,8 +113,7 @@ COMPILED = f"id string, kind string, steps {STEP}, tested string, read string, c
 
 
 def _compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    step = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("value", pa.float64()), ("n", pa.int32())]))
-    types = {"id": pa.string(), "kind": pa.string(), "steps": step, "tested": pa.string(), "read": pa.string(), "column": pa.int32(), "how": pa.string(), "what": pa.string()}
+    types = {"id": pa.string(), "kind": pa.string(), "steps": None, "tested": pa.string(), "read": pa.string(), "column": pa.int32(), "how": pa.string(), "what": pa.string()}
     for batch in batches:
         rows = []
         for own, formula in zip(batch.column("id").to_pylist(), batch.column("formula").to_pylist(), strict=True):
@@ -120,13 +122,24 @@ def _compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             except (ValueError, IndexError):
                 steps, choices = [("error", "#NAME?", 0.0, 0)], []
             node = lambda name, own=own: f"{CHOICE}{own}#{name[7:]}" if name.startswith("#choice") else name
-            whole = lambda steps, node=node: [{"kind": k, "name": RANGE + n if k.startswith("total ") else node(n) if k == "ref" else n, "value": v, "n": a} for k, n, v, a in steps]
+            whole = lambda steps, node=node: [(k, RANGE + n if k.startswith("total ") else node(n) if k == "ref" else n, v, a) for k, n, v, a in steps]
             rows.append((own, "formula", whole(steps), *[None] * 5))
             for i, c in enumerate(choices):
                 rows.append((f"{CHOICE}{own}#{i}", "choice", None, RANGE + c["tested"], RANGE + c["read"], c["column"], c["how"], c["what"]))
                 rows.append((f"{KEY}{own}#{i}", "formula", whole(c["steps"]), *[None] * 5))
         cols = list(zip(*rows, strict=True)) or [()] * len(types)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values(), strict=True)], list(types))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) if t else _steps(c) for c, t in zip(cols, types.values(), strict=True)], list(types))
+
+
+def _steps(rows: tuple) -> pa.Array:
+    """Lists of steps as an array; of a choice the list is empty."""
+    flat = list(zip(*(x for r in rows for x in r or ()), strict=True)) or [()] * 4
+    fields = {"kind": pa.string(), "name": pa.string(), "value": pa.float64(), "n": pa.int32()}
+    struct = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, fields.values(), strict=True)], list(fields))
+    ends = [0]
+    for r in rows:
+        ends.append(ends[-1] + len(r or ()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
 
 
 def compile_formulas(cells: DataFrame) -> DataFrame:
@@ -156,17 +169,27 @@ def _total(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(error.alias("s"), F.sum(F.when(F.col("k") == "n", F.col("n")).otherwise(0.0)).alias("n"), F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("k", F.when(F.col("s").isNotNull(), "e").otherwise("n")).select(*keys, *VALUE)
 
 
+def _lists(column: pa.Array) -> list[list[tuple]]:
+    """The rows of a column of lists of structs, as tuples; a null is an empty list. Fields are read as whole columns."""
+    flat = column.flatten()
+    rows = list(zip(*(flat.field(i).to_pylist() for i in range(flat.type.num_fields)), strict=True))
+    out, at = [], 0
+    for size in column.value_lengths().to_pylist():
+        out.append(rows[at : at + (size or 0)])
+        at += size or 0
+    return out
+
+
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.string(), pa.float64(), pa.string(), pa.int64(), pa.float64(), pa.float64())
     for batch in batches:
         out = []
-        steps, base, new = (batch.column(c).to_pylist() for c in ("steps", "base", "new"))
-        for s, held, over in zip(steps, base, new, strict=True):
-            known = {x["precedent"]: tuple(x[c] for c in VALUE) for x in held or []}
-            known |= {x["precedent"]: tuple(x[c] for c in VALUE) for x in over or []}
-            k, n, t = formulas.value([(x["kind"], x["name"], x["value"], x["n"]) for x in s], known)
-            out.append((k, n, t, int(k == "n"), *([n, n] if k == "n" else [None, None])))
+        for steps, base, new in zip(*(_lists(batch.column(c)) for c in ("steps", "base", "new")), strict=True):
+            known = {x[0]: x[1:] for x in base}
+            known.update((x[0], x[1:]) for x in new)
+            k, n, t = formulas.value(steps, known)
+            out.append((k, n, t, 1, n, n) if k == "n" else (k, n, t, 0, None, None))
         cols = list(zip(*out, strict=True)) or [()] * 6
-        types = (pa.string(), pa.float64(), pa.string(), pa.int64(), pa.float64(), pa.float64())
         yield pa.RecordBatch.from_arrays([batch.column("scenario"), batch.column("id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["scenario", "id", *VALUE])
 
 
@@ -241,6 +264,12 @@ class _Folders:
         self.spark = spark
         self.root = f"{spark.sparkContext.getCheckpointDir()}/recalc-{uuid.uuid4().hex}"
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows, written once: by columns, so that later reads take what they need."""
+        path = f"{self.root}/kept-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def add(self, df: DataFrame, name: str) -> None:
         df.write.mode("append").partitionBy("level").parquet(f"{self.root}/{name}")
 
@@ -262,21 +291,23 @@ class _Run:
 
     def __init__(self, cells: DataFrame, edits: DataFrame):
         self.spark = spark = cells.sparkSession
-        self.cells, self.edits = cells, edits
+        self.folders = _Folders(spark)
+        keep = self.folders.keep
+        self.cells, self.edits = cells, edits = keep(cells), keep(edits)
         self.base = cells.select("id", *_typed(F.col("num"), F.col("txt"), F.col("formula")))
-        graph = references_of(cells)
+        graph = keep(references_of(cells))  # a cell that is read twice by one formula (A1, $A$1) is two edges; later steps don't mind
         names = cut(graph.where(F.col("precedent").startswith(RANGE)).select(F.col("precedent").alias("name")).distinct())
         self.has_ranges = not names.isEmpty()
-        self.ids = placed(cells.select("id").unionByName(edits.select("id")).distinct())
         if self.has_ranges:
-            graph = graph.unionByName(range_edges(boxes_of(names), self.ids))
-        graph = cut(graph)
+            self.ids = placed(cells.select("id").unionByName(edits.select("id")).distinct())
+            graph = graph.unionByName(keep(range_edges(boxes_of(names), self.ids)))
         self.reached = cut(downstream(graph, edits.select("id")).select("id"))
-        hit = self.reached.withColumnRenamed("id", "dependent")
-        edges = graph.join(hit, "dependent", "left_semi")
-        self.compiled = cut(compile_formulas(cells.join(self.reached, "id", "left_semi")))
+        self.compiled = keep(compile_formulas(cells.where("formula is not null").join(self.reached, "id", "left_semi")))
         self.has_choices = not self.compiled.where("kind = 'choice'").isEmpty()
-        self.edges = edges = cut(edges.unionByName(_edges_of(self.compiled)).distinct())
+        edges = graph.join(self.reached.withColumnRenamed("id", "dependent"), "dependent", "left_semi")
+        if self.has_choices:  # nodes that are in no formula as they stand
+            edges = edges.unionByName(_edges_of(self.compiled)).distinct()
+        self.edges = edges = keep(edges)
         inner = edges.join(edges.select(F.col("dependent").alias("precedent")).distinct(), "precedent", "left_semi")
         order, cyclic = levels(inner)
         alone = edges.select(F.col("dependent").alias("id")).distinct().join(order.select("id").unionByName(cyclic.select("id")), "id", "left_anti")
@@ -284,8 +315,7 @@ class _Run:
         self.order = cut(order)
         self.top = self.order.agg(F.max("level")).first()[0]
         self.kinds = {tuple(r) for r in self.order.select("level", F.when(F.col("id").startswith(CHOICE), "choice").when(F.col("id").startswith(RANGE) | F.col("id").startswith(BLOCK), "range").otherwise("formula")).distinct().collect()}
-        self.folders = _Folders(spark)
-        self.targets = cut(edges.join(self.order.withColumnRenamed("id", "dependent"), "dependent").select("precedent", "dependent", "level"))
+        self.targets = keep(edges.join(self.order.withColumnRenamed("id", "dependent"), "dependent").select("precedent", "dependent", "level"))
         self._prepare()
 
     def _prepare(self) -> None:
@@ -310,7 +340,7 @@ class _Run:
             now = lambda rows: rows.join(self.base, "id", "left").withColumn("k", F.coalesce("k", F.lit("z")))
             chosen = _chosen(asked, self.specs, self.members, now).drop("scenario")
             known = known.unionByName(chosen.unionByName(self.base_keys).withColumnRenamed("id", "precedent"))
-        static = cut(self.targets.join(known, "precedent", "left"))
+        static = self.folders.keep(self.targets.join(known, "precedent", "left"))
         if any(kind == "range" for _, kind in self.kinds):
             self.folders.add(static.where(F.col("dependent").startswith(RANGE) | F.col("dependent").startswith(BLOCK)).select("level", "dependent", "precedent", *VALUE), "parts")
         reads = static.where("k is not null").groupBy(F.col("dependent").alias("id")).agg(F.collect_list(F.struct("precedent", *VALUE)).alias("base"))
@@ -371,7 +401,7 @@ class _Run:
     def solve(self, max_rounds: int, tolerance: float) -> DataFrame:
         """(scenario, id, VALUE) of everything that the edits reach."""
         none = F.lit(None).cast("string")
-        edited = cut(self.edits.select("scenario", "id", *_typed(F.col("num"), F.col("txt"), none)))
+        edited = (self.edits.select("scenario", "id", *_typed(F.col("num"), F.col("txt"), none)))
         computed = edited.join(self.order.select("id"), "id", "left_semi").select("scenario", "id")
         self.fixed = None if computed.isEmpty() else cut(computed)
         self.folders.add(edited.withColumn("level", F.lit(-2)), "done")
@@ -403,8 +433,13 @@ class _Run:
                     self.folders.add(new.withColumn("level", F.lit(CYCLIC)), "done")
                     return
             now = new
-        open_ = (moved if moved is not None else now.select("scenario", "id")).withColumn("open", F.lit(True))
-        ended = now.join(open_, ["scenario", "id"], "left")
+        # what has not settled, and all that depends on it, is an error
+        open_ = front = moved if moved is not None else cut(now.select("scenario", "id"))
+        while not front.isEmpty():
+            front = front.withColumnRenamed("id", "precedent").join(links, "precedent").select("scenario", F.col("dependent").alias("id")).distinct()
+            front = cut(front.join(open_, ["scenario", "id"], "left_anti"))
+            open_ = open_.unionByName(front)
+        ended = now.join(open_.withColumn("open", F.lit(True)), ["scenario", "id"], "left")
         ended = ended.withColumns({"k": F.when(F.col("open"), "e").otherwise(F.col("k")), "s": F.when(F.col("open"), "#NUM!").otherwise(F.col("s"))}).drop("open")
         self.folders.add(ended.withColumn("level", F.lit(CYCLIC)), "done")
 
@@ -418,7 +453,8 @@ def recalculate(cells: DataFrame, edits: DataFrame, max_rounds: int = 100, toler
     string = F.lit(None).cast("string")
     cells, edits = (df if "txt" in df.columns else df.withColumn("txt", string) for df in (cells, edits))
     cells = cells.select("id", F.col("num").cast("double").alias("num"), "formula", "txt")
-    edits = cut(edits.select("scenario", "id", F.col("num").cast("double").alias("num"), "txt"))
-    done = _Run(cells, edits).solve(max_rounds, tolerance).where(~F.col("id").startswith("\x01"))
+    edits = edits.select("scenario", "id", F.col("num").cast("double").alias("num"), "txt")
+    run = _Run(cells, edits)
+    done = run.solve(max_rounds, tolerance).where(~F.col("id").startswith("\x01"))
     new = F.when(F.col("k").isin("n", "b"), F.col("n")).alias("new")
-    return done.join(cells.select("id", F.col("num").alias("old")), "id", "left").select("scenario", "id", "old", new, F.col("k").alias("kind"), F.col("s").alias("text"))
+    return done.join(run.cells.select("id", F.col("num").alias("old")), "id", "left").select("scenario", "id", "old", new, F.col("k").alias("kind"), F.col("s").alias("text"))

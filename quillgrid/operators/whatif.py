@@ -74,35 +74,40 @@ def sample(kind: str, u: Column, z: Column, **p: float) -> Column:
     raise ValueError(f"no distribution {kind}")
 
 
-def linear_simulation(params: DataFrame, iterations: int, base: float, std: float = 0.1, floor: float = -0.5) -> DataFrame:
-    """(iteration, value): base plus the sum of change times elasticity, floored. params: param_id, elasticity."""
-    runs = params.sparkSession.range(iterations).withColumnRenamed("id", "iteration")
-    each = runs.join(F.broadcast(params), how="cross").withColumn("change", std * normal(F.col("iteration"), F.col("param_id")))
-    total = each.groupBy("iteration").agg(F.sum(F.col("change") * F.coalesce("elasticity", F.lit(DEFAULT_ELASTICITY))).alias("delta"))
-    return total.select("iteration", F.greatest(F.lit(floor), base + F.col("delta")).alias("value"))
+def linear_simulation(params: DataFrame, iterations: int, by: list[str], std: float = 0.1, floor: float = -0.5) -> DataFrame:
+    """(by, iteration, value): a project's base plus the sum of change times elasticity, floored.
+
+    params: by (the project), base, param_id, elasticity. Runs are made by exploding each parameter's row; every project sees
+    the same changes of a parameter.
+    """
+    each = params.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)).cast("array<bigint>")))
+    each = each.withColumn("change", std * normal(F.col("iteration"), F.col("param_id")))
+    total = each.groupBy(*by, "iteration").agg(F.sum(F.col("change") * F.coalesce("elasticity", F.lit(DEFAULT_ELASTICITY))).alias("delta"), F.first("base").alias("base"))
+    return total.select(*by, "iteration", F.greatest(F.lit(floor), F.col("base") + F.col("delta")).alias("value"))
 
 
-def statistics(rows: DataFrame, value: str, sample_std: bool = False) -> DataFrame:
+def statistics(rows: DataFrame, value: str, by: list[str], sample_std: bool = False) -> DataFrame:
+    """By project: a group holds the iterations of one project, whose number is a parameter."""
     std = F.stddev_samp if sample_std else F.stddev_pop
     points = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
-    return rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), std(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"), *(F.percentile(value, F.lit(q)).alias(n) for n, q in points.items()))
+    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), std(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"), *(F.percentile(value, F.lit(q)).alias(n) for n, q in points.items()))
 
 
-def confidence(rows: DataFrame, value: str, z: float = 1.96, least: int = 30) -> DataFrame:
-    """Mean and its interval, if there are at least 30 values."""
-    out = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")).where(F.col("n") >= least)
+def confidence(rows: DataFrame, value: str, by: list[str], z: float = 1.96, least: int = 30) -> DataFrame:
+    """Mean and its interval, of projects with at least 30 values."""
+    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")).where(F.col("n") >= least)
     half = z * F.col("std") / F.sqrt("n")
-    return out.select("n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+    return out.select(*by, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
-def histogram(rows: DataFrame, value: str) -> DataFrame:
-    """(bin, low, n): a twentieth of the rows' number of bins, 10 at least and 50 at most; the largest value is in the last."""
-    ends = rows.agg(F.count(value).alias("n"), F.min(value).alias("a"), F.max(value).alias("b"))
+def histogram(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, bin, low, n): a twentieth of a project's rows as number of bins, 10 at least and 50 at most; the largest value is in the last."""
+    ends = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("a"), F.max(value).alias("b"))
     ends = ends.withColumn("bins", F.greatest(F.lit(10), F.least(F.lit(50), F.floor(F.col("n") / 20))).cast("int"))
-    each = rows.where(F.col(value).isNotNull()).join(F.broadcast(ends.select("a", "b", "bins")), how="cross")
+    each = rows.where(F.col(value).isNotNull()).join(ends.select(*by, "a", "b", "bins"), by)
     width = (F.col("b") - F.col("a")) / F.col("bins")
     place = F.when(width <= 0, 0).otherwise(F.least(F.col("bins") - 1, F.floor((F.col(value) - F.col("a")) / width))).cast("int")
-    return each.withColumns({"bin": place, "low": F.col("a") + place * width}).groupBy("bin", "low").agg(F.count("*").alias("n"))
+    return each.withColumns({"bin": place, "low": F.col("a") + place * width}).groupBy(*by, "bin", "low").agg(F.count("*").alias("n"))
 
 
 def rank(rows: DataFrame, higher_is_better: dict[str, bool]) -> DataFrame:

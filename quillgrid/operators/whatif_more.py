@@ -80,57 +80,60 @@ def classify_param(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", whatif.classify(F.col("p_type"), PART_CLASSES).alias("kind"))
 
 
-N = 2000
+N = 200  # iterations of a project
 _X = "(({i} * 48271 + {p} * 16807 + {s} * 69621 + 12345) % 2147483647)"
 for _ in range(3):
     _X = f"(({_X} * 48271) % 2147483647)"
 U1, U2 = (f"(({_X.replace('{i}', 'i').replace('{p}', 'p').replace('{s}', s)}) + 0.5) / 2147483647::double" for s in ("1", "2"))
-SIMULATED = f"""e(p, e) as (values (1::bigint, 0.35::double), (2, -0.20), (3, -0.45), (4, 0.05)),
-z as (select i, p, e, 0.1 * sqrt(-2 * ln({U1})) * cos(2 * {math.pi!r}::double * {U2}) as change from range({N}) r(i), e),
-v as (select i as iteration, greatest(-0.5, 0.08 + sum(change * e)) as value from z group by 1)"""
+SIMULATED = f"""f as (select l_suppkey as project, ascii(l_returnflag)::bigint as p, sum(l_extendedprice) as t from lineitem group by 1, 2),
+e as (select project, p, round(0.05 + (p - 65) / 1000.0, 6)::double * 4 * round(t / sum(t) over (partition by project), 6) - 0.1 as e, round(0.04 + 0.01 * count(*) over (partition by project), 6)::double as base from f),
+z as (select project, i, p, e, base, 0.1 * sqrt(-2 * ln({U1})) * cos(2 * {math.pi!r}::double * {U2}) as change from range({N}) r(i), e),
+v as (select project, i as iteration, greatest(-0.5, first(base) + sum(change * e)) as value from z group by 1, 2)"""
 
 
-def _simulated(spark: SparkSession) -> DataFrame:
-    params = spark.createDataFrame([(1, 0.35), (2, -0.20), (3, -0.45), (4, None)], "param_id long, elasticity double")
-    return whatif.linear_simulation(params, N, 0.08)
+def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as projects; their parameters are their return flags, with an elasticity by the flag's share of the revenue."""
+    f = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("project"), F.ascii("l_returnflag").cast("long").alias("param_id")).agg(F.sum("l_extendedprice").alias("t"))
+    own = Window.partitionBy("project")
+    slope = F.round(0.05 + (F.col("param_id") - 65) / 1000.0, 6) * 4 * F.round(F.col("t") / F.sum("t").over(own), 6) - 0.1
+    return whatif.linear_simulation(f.select("project", "param_id", slope.alias("elasticity"), F.round(0.04 + 0.01 * F.count("*").over(own), 6).alias("base")), N, ["project"])
 
 
-@query(f"with {SIMULATED} select count(*) as n, round(avg(value), 8) as mean, round(stddev_pop(value), 8) as std, round(min(value), 8) as least, round(max(value), 8) as most, round(quantile_cont(value, 0.05), 8) as p5, round(quantile_cont(value, 0.25), 8) as p25, round(quantile_cont(value, 0.5), 8) as median, round(quantile_cont(value, 0.75), 8) as p75, round(quantile_cont(value, 0.95), 8) as p95 from v")
+@query(f"with {SIMULATED} select project, count(*) as n, round(avg(value), 8) as mean, round(stddev_pop(value), 8) as std, round(min(value), 8) as least, round(max(value), 8) as most, round(quantile_cont(value, 0.05), 8) as p5, round(quantile_cont(value, 0.25), 8) as p25, round(quantile_cont(value, 0.5), 8) as median, round(quantile_cont(value, 0.75), 8) as p75, round(quantile_cont(value, 0.95), 8) as p95 from v group by 1")
 def mc_fast_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linearised Monte Carlo: change times elasticity, in SQL only."""
-    out = whatif.statistics(_simulated(spark), "value")
-    return out.select("n", *(F.round(c, 8).alias(c) for c in out.columns[1:]))
+    """Linearised Monte Carlo of each project: change times elasticity, in SQL only."""
+    out = whatif.statistics(_simulated(spark, sf_dir), "value", ["project"])
+    return out.select("project", "n", *(F.round(c, 8).alias(c) for c in out.columns[2:]))
 
 
-@query(f"with {SIMULATED}, q as (select unnest(range(0, 21)) / 20.0 as q) select cast(round(q * 100) as int) as percent, round(x, 8) as value from (select q, (select quantile_cont(value, [0, .05, .1, .15, .2, .25, .3, .35, .4, .45, .5, .55, .6, .65, .7, .75, .8, .85, .9, .95, 1]) from v)[cast(round(q * 20) as int) + 1] as x from q)")
+@query(f"with {SIMULATED}, x as (select project, quantile_cont(value, [0, .05, .1, .15, .2, .25, .3, .35, .4, .45, .5, .55, .6, .65, .7, .75, .8, .85, .9, .95, 1]) as x from v group by 1) select project, cast(i * 5 as int) as percent, round(x[i + 1], 8) as value from x, range(21) r(i)")
 def mc_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles 0 to 100 by 5."""
+    """Percentiles 0 to 100 by 5 of each project."""
     steps = [i / 20 for i in range(21)]
-    row = _simulated(spark).agg(F.percentile("value", F.array(*map(F.lit, steps))).alias("p"))
-    return row.select(F.posexplode("p").alias("i", "v")).select((F.col("i") * 5).cast("int").alias("percent"), F.round("v", 8).alias("value"))
+    row = _simulated(spark, sf_dir).groupBy("project").agg(F.percentile("value", F.array(*map(F.lit, steps))).alias("p"))
+    return row.select("project", F.posexplode("p").alias("i", "v")).select("project", (F.col("i") * 5).cast("int").alias("percent"), F.round("v", 8).alias("value"))
 
 
-@query(f"with {SIMULATED}, t as (select unnest([0.04, 0.06, 0.08, 0.10])::double as threshold) select threshold, round(avg(case when value >= threshold then 1.0 else 0 end), 6) as at_least, round(avg(case when value > threshold then 1.0 else 0 end), 6) as above from v, t group by 1")
+@query(f"with {SIMULATED}, t as (select unnest([0.04, 0.06, 0.08, 0.10])::double as threshold) select project, threshold, round(avg(case when value >= threshold then 1.0 else 0 end), 6) as at_least, round(avg(case when value > threshold then 1.0 else 0 end), 6) as above from v, t group by 1, 2")
 def mc_prob_above(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of runs at or above, and above, each threshold."""
-    t = spark.createDataFrame([(x,) for x in (0.04, 0.06, 0.08, 0.10)], "threshold double")
-    each = _simulated(spark).join(F.broadcast(t), how="cross")
+    """Shares of a project's runs at or above, and above, each threshold."""
+    each = _simulated(spark, sf_dir).withColumn("threshold", F.explode(F.array(*map(F.lit, (0.04, 0.06, 0.08, 0.10)))))
     share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return each.groupBy("threshold").agg(share(F.col("value") >= F.col("threshold")).alias("at_least"), share(F.col("value") > F.col("threshold")).alias("above"))
+    return each.groupBy("project", "threshold").agg(share(F.col("value") >= F.col("threshold")).alias("at_least"), share(F.col("value") > F.col("threshold")).alias("above"))
 
 
-@query(f"with {SIMULATED} select count(*) as n, round(avg(value), 8) as mean, round(avg(value) - 1.96 * stddev_pop(value) / sqrt(count(*)), 8) as low, round(avg(value) + 1.96 * stddev_pop(value) / sqrt(count(*)), 8) as high from v having count(*) >= 30")
+@query(f"with {SIMULATED} select project, count(*) as n, round(avg(value), 8) as mean, round(avg(value) - 1.96 * stddev_pop(value) / sqrt(count(*)), 8) as low, round(avg(value) + 1.96 * stddev_pop(value) / sqrt(count(*)), 8) as high from v group by 1 having count(*) >= 30")
 def mc_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and its normal interval."""
-    out = whatif.confidence(_simulated(spark), "value")
-    return out.select("n", *(F.round(c, 8).alias(c) for c in ("mean", "low", "high")))
+    """Mean of each project and its normal interval."""
+    out = whatif.confidence(_simulated(spark, sf_dir), "value", ["project"])
+    return out.select("project", "n", *(F.round(c, 8).alias(c) for c in ("mean", "low", "high")))
 
 
-@query(f"""with {SIMULATED}, x as (select count(*) as n, min(value) as a, max(value) as b, greatest(10, least(50, count(*) // 20)) as bins from v)
-select cast(least(bins - 1, floor((value - a) / ((b - a) / bins))) as int) as bin, count(*) as n from v, x group by 1""")
+@query(f"""with {SIMULATED}, x as (select project, count(*) as n, min(value) as a, max(value) as b, greatest(10, least(50, count(*) // 20)) as bins from v group by 1)
+select project, cast(least(bins - 1, floor((value - a) / ((b - a) / bins))) as int) as bin, count(*) as n from v join x using (project) group by 1, 2""")
 def mc_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs by bin of the result."""
-    return whatif.histogram(_simulated(spark), "value").select("bin", "n")
+    """Runs of each project by bin of the result."""
+    return whatif.histogram(_simulated(spark, sf_dir), "value", ["project"]).select("project", "bin", "n")
 
 
 @query("""with s as (select c_nationkey, sum(o_totalprice) as base, sum(o_totalprice * (1 + 0.1 * (o_orderkey % 3 = 0)::int)) as moved from orders join customer on c_custkey = o_custkey group by 1)

@@ -179,10 +179,10 @@ def test_windows_of_a_stream(spark, tmp_path):
 
 
 def test_workspace_and_repairs(spark):
-    from quillgrid.operators import checks, workspace
+    from quillgrid.operators import checks, signatures, workspace
 
     cells = spark.createDataFrame([("S", 1, 1, 1.0, "=A2+$B$1"), ("S", 1, 2, 5.0, None), ("S", 1, 3, 1.0, "=C2+$B$1"), ("S", 1, 4, 2.0, None)], "sheet string, row int, col int, num double, formula string")
-    assert [tuple(r) for r in checks.repairs(cells).collect()] == [("S", 1, 2, "=B2+$B$1")]
+    assert [tuple(r) for r in signatures.repairs(cells).collect()] == [("S", 1, 2, "=B2+$B$1")]
     items = spark.createDataFrame([(2, "Net Price", 2), (1, "price of power", 1), (3, "other", 3)], "item_id int, name string, place int")
     assert [tuple(r) for r in workspace.by_keywords(items, ["PRICE", "none"]).collect()] == [("PRICE", 1)]
     text = spark.createDataFrame([("1,200.5",), ("true",), ("x",)], "t string")
