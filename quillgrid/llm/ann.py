@@ -13,12 +13,13 @@ where there are more than ``SPACING`` nodes to each, every ``SPACING``-th node i
 query also starts from those under its ``CELLS`` nearest (at most ``ENTRIES`` under each, by a hash). Then it expands its best unexpanded nodes, all queries at once, a few joins a round, until its ``beam`` holds none.
 
 Defined cases: null or zero vectors, and ones with null or non-finite components, take no part, nor do vectors that
-differ from the most common length (ties: the larger); ties in distance go to the smaller id; repeated rows of one id and
-vector are one candidate; with fewer candidates than ``top`` all are returned; an empty table gives an empty result.
+differ from the most common length (ties: the larger); ties in distance go to the smaller id; an id is one candidate and one
+query, and of several vectors that could take part it has the least (component by component); with fewer candidates than ``top`` all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,8 +66,8 @@ def _squared(a: tuple, b: tuple) -> np.ndarray:
     return np.maximum(0, a[1][:, None] + b[1][None, :] - 2 * (a[0][:, None] * b[0][None, :]) * (a[2] @ b[2].T))
 
 
-def nodes_of(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
-    """(node, vec) for distinct vectors, node the least id; (node, id) with the top + 1 smallest ids of each.
+def nodes_of(rows: DataFrame, top: int, is_query) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, vec) for distinct vectors, node the least id; (node, id) with the top + 1 smallest ids; (id, query) of queries.
 
     rows: id, vec (array).
     """
@@ -79,14 +80,15 @@ def nodes_of(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
         & F.exists("vec", lambda v: v != 0)
     )
     sizes = good.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    good = good.where(F.size("vec") == (sizes[0]["n"] if sizes else 0))
+    good = good.where(F.size("vec") == (sizes[0]["n"] if sizes else 0)).groupBy("id").agg(F.min("vec").alias("vec"))
     keyed = good.withColumns({"k1": F.xxhash64("vec"), "k2": F.xxhash64(F.lit(1), "vec")})
     least = keyed.groupBy("k1", "k2").agg(F.min("id").alias("node"))
     order = Window.partitionBy("k1", "k2").orderBy("id")
-    few = keyed.select("k1", "k2", "id").dropDuplicates().withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1)
+    few = keyed.select("k1", "k2", "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1)
     members = few.join(least, ["k1", "k2"]).select("node", "id")
-    nodes = keyed.join(least.withColumnRenamed("node", "id"), ["k1", "k2", "id"]).select(F.col("id").alias("node"), "vec").dropDuplicates(["node"])
-    return nodes, members
+    nodes = keyed.join(least.withColumnRenamed("node", "id"), ["k1", "k2", "id"]).select(F.col("id").alias("node"), "vec")
+    asked = keyed.where(is_query).select("id", "k1", "k2").join(least, ["k1", "k2"]).select("id", F.col("node").alias("query"))
+    return nodes, members, asked
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +181,8 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, max_rounds: int = 12, ch
         new = graph.agg(F.sum(F.size(F.filter("flagged", lambda e: e["new"])))).first()[0] or 0
         if new <= change * n * degree:
             break
+    else:
+        warnings.warn(f"the graph still changed after {max_rounds} rounds: {new} of {n * degree} edges were new", stacklevel=2)
     return codes, graph.select("node", "old")
 
 
@@ -248,8 +252,11 @@ def _advance(beam: int, expand: int = EXPAND):
     return run
 
 
-def search(queries: DataFrame, codes: DataFrame, graph: DataFrame, beam: int = BEAM, max_rounds: int = 40) -> DataFrame:
-    """(query, node): what greedy search from its graph list and the entry nodes holds in its beam. queries: query, code."""
+def search(queries: DataFrame, codes: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
+    """(query, node): what greedy search from its graph list and the entry nodes holds in its beam. queries: query, code.
+
+    It goes on until no beam holds a node that has not been expanded; each round expands some of every open beam.
+    """
     spark = queries.sparkSession
     scratch = Scratch(spark)
     links = graph.select("node", F.explode("old.other").alias("other"))
@@ -273,7 +280,7 @@ def search(queries: DataFrame, codes: DataFrame, graph: DataFrame, beam: int = B
         more = cells.select(F.col("node").alias("query"), F.explode("cells").alias("cell")).join(below, "cell").join(state.select("query", "seen"), "query")
         more = more.where(~F.array_contains("seen", F.col("node"))).groupBy("query").agg(F.collect_list(F.struct("node", "code")).alias("cands"))
         state = scratch.keep(state.join(more, "query", "left").select("query", "code", "beam", "seen", "cands").mapInArrow(_advance(beam, 0), STATE))
-    for _ in range(max_rounds):
+    while True:
         open_ = F.slice(F.filter("beam", lambda e: e["open"]), 1, EXPAND)
         frontier = state.select("query", F.explode(F.transform(open_, lambda e: e["node"])).alias("node"))
         reached = frontier.join(around, "node").select("query", F.explode("others").alias("node")).distinct()
@@ -291,15 +298,8 @@ def search(queries: DataFrame, codes: DataFrame, graph: DataFrame, beam: int = B
 def nearest(rows: DataFrame, is_query, top: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each query row, itself left out. rows: id, vec."""
     scratch = Scratch(rows.sparkSession)
-    nodes, members = nodes_of(rows, top)
-    nodes = scratch.keep(nodes)
-    members = scratch.keep(members)
+    nodes, members, asked = (scratch.keep(x) for x in nodes_of(rows, top, is_query))
     codes, graph = build_graph(nodes)
-    # every query row, also those that are not among the smallest ids of their vector
-    asked = rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where(is_query).dropDuplicates(["id"])
-    of_vec = nodes.select(F.col("node").alias("query"), F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), "vec").alias("k2"))
-    asked = asked.where(F.col("vec").isNotNull()).select("id", F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), "vec").alias("k2"))
-    asked = scratch.keep(asked.join(of_vec, ["k1", "k2"]).select("id", "query"))
     starts = codes.join(asked.select(F.col("query").alias("node")).distinct(), "node").select(F.col("node").alias("query"), "code")
     found = search(starts, codes, graph)
     found = found.unionByName(starts.select("query", F.col("query").alias("node"))).distinct()
