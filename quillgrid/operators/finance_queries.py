@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quillgrid.functions import finance
+from quillgrid.operators import model
 from quillgrid.registry import Registry, table
 
 registry = Registry()
@@ -228,3 +229,28 @@ def return_on_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _statements(spark, sf_dir)
     out = rows.groupBy("o_custkey").agg(F.round(finance.return_on_equity(F.col("profit"), F.col("assets") - F.col("liabilities")), 8).alias("roe"))
     return out.where("roe is not null")
+
+
+@query("""with recursive o as (select n_nationkey as project, year(o_orderdate) as year, month(o_orderdate) as m, floor(o_totalprice) as v from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey),
+y as (select project, year, sum(v) as spent from o group by 1, 2),
+i as (select project, year, case when m <= 6 then 6 else 12 end as m, 0.4::double * sum(v) as amount from o group by all),
+e as (select *, row_number() over (partition by project order by year, m) as number, last_day(make_date(year, m, 1)) as fin from i),
+f as (select e.*, coalesce(lag(fin) over (partition by project order by number) + 1, make_date(min(year) over (partition by project), 1, 15)) as beg from e),
+g as (select *, cast(round_even((fin - beg) / 30.0, 0) as int) as months from f),
+h as (select g.*, y.spent * months / sum(months) over (partition by g.project, g.year) as invested from g join y on y.project = g.project and y.year = g.year),
+d as (select *, greatest(0, invested - amount) as debt, (fin - beg) / 365.0 as share from h),
+r as (select project, number, 0.0::double as owed, debt * 0.043 * share * 0.5 as interest, debt + debt * 0.043 * share * 0.5 as still, year from d where number = 1
+  union all select d.project, d.number, case when d.year <> r.year then r.owed + r.still else r.owed end, (case when d.year <> r.year then r.owed + r.still else r.owed end) * 0.043 * share + debt * 0.043 * share * 0.5,
+    (case when d.year <> r.year then 0 else r.still end) + debt + (case when d.year <> r.year then r.owed + r.still else r.owed end) * 0.043 * share + debt * 0.043 * share * 0.5, d.year from r join d on d.project = r.project and d.number = r.number + 1)
+select d.project, d.number::int as number, beg as period_start, fin as period_end, months, round(invested, 4) as invested, amount as equity, round(debt, 4) as debt, round(interest, 4) as interest from d join r on r.project = d.project and r.number = d.number""")
+def financing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as projects: orders of a year are its investment, equity comes in twice a year for 40 % of them."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("project"))
+    o = table(spark, sf_dir, "orders").join(c, "o_custkey").select("project", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("m"), F.floor("o_totalprice").cast("double").alias("v"))
+    yearly = o.groupBy("project", "year").agg(F.sum("v").alias("amount"))
+    half = o.groupBy("project", "year", F.when(F.col("m") <= 6, "06").otherwise("12").alias("m")).agg((0.4 * F.sum("v")).alias("amount"))
+    number = F.row_number().over(Window.partitionBy("project").orderBy("year", "m"))
+    injections = half.select("project", number.alias("number"), F.concat("year", F.lit("-"), "m").alias("label"), "amount")
+    starts = yearly.groupBy("project").agg(F.make_date(F.min("year"), F.lit(1), F.lit(15)).alias("start"))
+    out = model.financing_periods(injections, starts, yearly, 0.043)
+    return out.select("project", "number", "period_start", "period_end", "months", F.round("invested", 4).alias("invested"), "equity", F.round("debt", 4).alias("debt"), F.round("interest", 4).alias("interest"))

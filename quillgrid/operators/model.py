@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from quillgrid.functions import finance
 
@@ -88,6 +89,32 @@ def interest_by_periods(periods: Column, debt_ratio: float, rate: float) -> Colu
     return F.aggregate(periods, start, step, lambda s: s["out"])
 
 
+def financing_periods(injections: DataFrame, starts: DataFrame, yearly: DataFrame, rate: float) -> DataFrame:
+    """(project, number, period_start, period_end, months, invested, equity, debt, interest): construction cut at injections.
+
+    injections: project, number, label (``2024-06``: a period ends with that month), amount; starts: project, start; yearly:
+    project, year, amount. A period begins the day after the one before; months are days over 30, half to even. A year's
+    investment is split by the months of the periods that end in it; debt is what equity doesn't cover, never below 0;
+    interest is that of irregular periods, capitalised at year ends.
+    """
+    order = Window.partitionBy("project").orderBy("number")
+    end = F.last_day(F.to_date(F.concat("label", F.lit("-01"))))
+    each = injections.join(starts, "project").withColumn("period_end", end)
+    each = each.withColumn("period_start", F.coalesce(F.date_add(F.lag("period_end").over(order), 1), F.col("start")))
+    each = each.withColumns({"months": F.bround(F.datediff("period_end", "period_start") / 30, 0).cast("int"), "year": F.year("period_end")})
+    each = each.withColumn("of_year", F.sum("months").over(Window.partitionBy("project", "year")))
+    invested = F.when(F.col("of_year") > 0, F.coalesce("spent", F.lit(0.0)) * F.col("months") / F.col("of_year")).otherwise(0.0)
+    each = each.join(yearly.select("project", "year", F.col("amount").alias("spent")), ["project", "year"], "left").withColumn("invested", invested)
+    each = each.withColumn("debt", F.greatest(F.lit(0.0), F.col("invested") - F.col("amount")))
+    # a project's periods are few; they are folded in one array
+    row = F.struct("number", F.col("period_start").alias("start"), F.col("period_end").alias("end"), F.col("debt").alias("invested"), "months", F.col("invested").alias("whole"), "amount")
+    folded = each.groupBy("project").agg(F.array_sort(F.collect_list(row)).alias("p"))
+    interest = interest_by_periods(F.col("p"), 1.0, rate)
+    out = folded.select("project", F.explode(F.arrays_zip("p", interest.alias("interest"))).alias("x"))
+    p = lambda c: F.col(f"x.p.{c}")
+    return out.select("project", p("number").alias("number"), p("start").alias("period_start"), p("end").alias("period_end"), p("months").alias("months"), p("whole").alias("invested"), p("amount").alias("equity"), p("invested").alias("debt"), F.col("x.interest").alias("interest"))
+
+
 def price_contingency(invested: Column, rate: float) -> Column:
     """What rising prices add to each year's investment; nothing in the first year."""
     return F.transform(invested, lambda v, i: F.when(i == 0, 0.0).otherwise(v * (F.pow(F.lit(1 + rate), i + 1) - 1)))

@@ -177,12 +177,12 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("sheet", F.round(structure.quality_score(*(F.col(x) for x in "tlfic")), 6).alias("score"))
 
 
-@query("""select c_mktsegment as sheet, count(*) as n, min(c_custkey) as first from customer where not exists (select 1 from orders where o_custkey = c_custkey) or c_custkey % 10 = 0 group by 1""")
+@query("""select o_orderpriority as sheet, count(*) as n, min(o_orderkey) as first from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey) group by 1""")
 def unlinked_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells without a link, by sheet."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    linked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).where("c_custkey % 10 <> 0").distinct()
-    return c.join(linked, "c_custkey", "left_anti").groupBy(F.col("c_mktsegment").alias("sheet")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
+    """Cells without a link, by sheet: orders without lines."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    linked = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return o.join(linked, "o_orderkey", "left_anti").groupBy(F.col("o_orderpriority").alias("sheet")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
 @query("""select event_type, date_trunc('day', ts) as day, count(*) as n, round(sum(value), 4) as total, count(props) as with_props from events group by 1, 2""")

@@ -16,7 +16,7 @@ def merged_edits(overrides: DataFrame, pending: DataFrame) -> DataFrame:
 def history(changes: DataFrame) -> DataFrame:
     """(id, seq, before, after): each change of a cell with the value it replaced. changes: id, seq, num, first (value before any)."""
     order = Window.partitionBy("id").orderBy("seq")
-    return changes.select("id", "seq", F.coalesce(F.lag("num").over(order), F.col("first")).alias("before"), F.col("num").alias("after"))
+    return changes.select("id", "seq", F.when(F.row_number().over(order) == 1, F.col("first")).otherwise(F.lag("num").over(order)).alias("before"), F.col("num").alias("after"))
 
 
 def rolled_back(records: DataFrame, undone: DataFrame) -> DataFrame:

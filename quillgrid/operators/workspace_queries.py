@@ -14,22 +14,23 @@ query = registry.query
 
 @query("""
 with o as (select o_orderpriority as scenario, cast(o_custkey as varchar) as id, max(o_totalprice) as num from orders where o_orderstatus = 'F' group by 1, 2),
-p as (select o_orderpriority as scenario, cast(o_custkey as varchar) as id, max(o_totalprice) as num from orders where o_orderstatus = 'O' group by 1, 2)
+p as (select o_orderpriority as scenario, cast(o_custkey as varchar) as id, max(o_totalprice) as num from orders where o_orderstatus <> 'F' or o_orderstatus is null group by 1, 2)
 select coalesce(o.scenario, p.scenario) as scenario, coalesce(o.id, p.id) as id, coalesce(p.num, o.num) as num from o full join p on o.scenario = p.scenario and o.id = p.id""")
 def scenario_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overrides of each scenario with its pending edits, which win."""
     orders = table(spark, sf_dir, "orders")
-    side = lambda s: orders.where(F.col("o_orderstatus") == s).groupBy(F.col("o_orderpriority").alias("scenario"), F.col("o_custkey").cast("string").alias("id")).agg(F.max("o_totalprice").alias("num"))
-    return workspace.merged_edits(side("F"), side("O"))
+    final = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
+    side = lambda s: orders.where(s).groupBy(F.col("o_orderpriority").alias("scenario"), F.col("o_custkey").cast("string").alias("id")).agg(F.max("o_totalprice").alias("num"))
+    return workspace.merged_edits(side(final), side(~final))
 
 
 _CHANGES = "c as (select user_id as id, event_id as seq, value as num from events where value is not null)"
 
 
-@query(f"with {_CHANGES} select id, seq, coalesce(lag(num) over (partition by id order by seq), 0) as before, num as after from c")
+@query("""select user_id as id, event_id as seq, case when row_number() over w = 1 then 0 else lag(value) over w end as before, value as after from events window w as (partition by user_id order by event_id)""")
 def change_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as changes of their user's value."""
-    changes = table(spark, sf_dir, "events").where("value is not null")
+    """Events as changes of their user's value; a null is a change to a blank."""
+    changes = table(spark, sf_dir, "events")
     return workspace.history(changes.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("value").alias("num"), F.lit(0.0).alias("first")))
 
 
