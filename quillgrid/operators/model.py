@@ -89,13 +89,14 @@ def interest_by_periods(periods: Column, debt_ratio: float, rate: float) -> Colu
     return F.aggregate(periods, start, step, lambda s: s["out"])
 
 
-def financing_periods(injections: DataFrame, starts: DataFrame, yearly: DataFrame, rate: float) -> DataFrame:
+def financing_periods(injections: DataFrame, starts: DataFrame, yearly: DataFrame, rate: float, debt_ratio: float | None = None) -> DataFrame:
     """(project, number, period_start, period_end, months, invested, equity, debt, interest): construction cut at injections.
 
     injections: project, number, label (``2024-06``: a period ends with that month), amount; starts: project, start; yearly:
     project, year, amount. A period begins the day after the one before; months are days over 30, half to even. A year's
-    investment is split by the months of the periods that end in it; debt is what equity doesn't cover, never below 0;
-    interest is that of irregular periods, capitalised at year ends.
+    investment is split by the months of the periods that end in it, unless injections say what a period invests (invested);
+    debt is that share of it, or without a ratio what equity doesn't cover, never below 0. Interest is that of irregular
+    periods, capitalised at year ends.
     """
     order = Window.partitionBy("project").orderBy("number")
     end = F.last_day(F.to_date(F.concat("label", F.lit("-01"))))
@@ -104,8 +105,10 @@ def financing_periods(injections: DataFrame, starts: DataFrame, yearly: DataFram
     each = each.withColumns({"months": F.bround(F.datediff("period_end", "period_start") / 30, 0).cast("int"), "year": F.year("period_end")})
     each = each.withColumn("of_year", F.sum("months").over(Window.partitionBy("project", "year")))
     invested = F.when(F.col("of_year") > 0, F.coalesce("spent", F.lit(0.0)) * F.col("months") / F.col("of_year")).otherwise(0.0)
-    each = each.join(yearly.select("project", "year", F.col("amount").alias("spent")), ["project", "year"], "left").withColumn("invested", invested)
-    each = each.withColumn("debt", F.greatest(F.lit(0.0), F.col("invested") - F.col("amount")))
+    if "invested" not in injections.columns:
+        each = each.join(yearly.select("project", "year", F.col("amount").alias("spent")), ["project", "year"], "left").withColumn("invested", invested)
+    short = F.greatest(F.lit(0.0), F.col("invested") - F.col("amount"))
+    each = each.withColumn("debt", short if debt_ratio is None else F.col("invested") * debt_ratio)
     # a project's periods are few; they are folded in one array
     row = F.struct("number", F.col("period_start").alias("start"), F.col("period_end").alias("end"), F.col("debt").alias("invested"), "months", F.col("invested").alias("whole"), "amount")
     folded = each.groupBy("project").agg(F.array_sort(F.collect_list(row)).alias("p"))

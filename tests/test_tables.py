@@ -73,3 +73,21 @@ def test_draws_stay_in_their_ranges(spark):
     assert 90 <= s[0] < 92 and 108 < s[1] <= 110 and s[2] == 0.0 and s[3] == 500 and s[4] == 1
     with pytest.raises(ValueError):
         simulation.draws(configs, [simulation.Distribution("hours", "cauchy")], 2)
+
+
+def test_financing_from_injections(spark):
+    """Interest of the published construction schedule: 106,971.73 within a thousandth."""
+    from quillgrid.operators import model
+
+    # Month of each injection, its amount, and what its period invests.
+    rows = [("2023-03", 6000, 28514.73), ("2023-12", 15000, 66534.38), ("2024-12", 20000, 92411.92), ("2025-12", 25000, 104888.03), ("2026-12", 28000, 114702.85), ("2027-12", 35000, 153329.43), ("2028-12", 33000, 140584.94), ("2029-08", 15000, 71022.45), ("2029-12", 10000, 47348.30), ("2030-07", 12000, 50636.92)]
+    total = sum(r[2] for r in rows)
+    net = (total - 10000) / total
+    injections = spark.createDataFrame([(1, i, label, float(a), v * net) for i, (label, a, v) in enumerate(rows)], "project int, number int, label string, amount double, invested double")
+    starts = spark.sql("select 1 as project, date'2023-02-01' as start")
+    yearly = spark.createDataFrame([(1, 2023, 900.0)], "project int, year int, amount double")
+    got = model.financing_periods(injections, starts, yearly, 0.043, 0.75).orderBy("number").collect()
+    assert sum(r["interest"] for r in got) == pytest.approx(106971.73, rel=1e-3)
+    assert [r["months"] for r in got] == [2, 9, 12, 12, 12, 12, 12, 8, 4, 7]
+    split = model.financing_periods(injections.drop("invested"), starts, yearly, 0.043).orderBy("number").collect()
+    assert [r["invested"] for r in split[:3]] == pytest.approx([900 * 2 / 11, 900 * 9 / 11, 0.0]) and split[0]["debt"] == 0.0
