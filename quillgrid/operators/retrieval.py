@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -26,17 +30,88 @@ def token_score(name: Column, category: Column, token: Column) -> Column:
     return F.when(n == token, 10.0).when(F.contains(n, token), 5 + F.char_length(token) / F.char_length(n)).when(F.contains(c, token), 2.0).otherwise(0.0)
 
 
+def pairs_of(text: Column) -> Column:
+    """The distinct two-letter pieces of a text."""
+    return F.when(F.char_length(text) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - 1), lambda i: F.substring(text, i, 2)))).otherwise(F.array().cast("array<string>"))
+
+
 def score(items: DataFrame, questions: DataFrame) -> DataFrame:
-    """(question_id, item_id, score) where it is above 0. Tokens meet items by the words and categories that hold them.
+    """(question_id, item_id, score) where it is above 0. items: item_id, name, category; questions: question_id, question.
 
-    items: item_id, name, category; questions: question_id, question, a table of its own bounded size.
+    Tokens have two letters at least; one meets the items that hold its first two, by an equi-join, and only those are looked at.
     """
-    asked = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("token"))
-    pairs = items.join(F.broadcast(asked), F.contains(F.lower("name"), F.col("token")) | F.contains(F.lower("category"), F.col("token")))
-    each = pairs.withColumn("s", token_score(F.col("name"), F.col("category"), F.col("token")))
+    asked = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("token")).withColumn("pair", F.substring("token", 1, 2))
+    held = items.withColumn("pair", F.explode(F.array_union(pairs_of(F.lower("name")), F.coalesce(pairs_of(F.lower("category")), F.array().cast("array<string>")))))
+    each = held.join(asked, "pair").withColumn("s", token_score(F.col("name"), F.col("category"), F.col("token")))
     return each.groupBy("question_id", "item_id").agg(F.sum("s").alias("score")).where("score > 0")
 
 
+def _fuzzy(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for query, name in zip(batch.column("query").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                if query in name:
+                    scores.append(0.9 + 0.1 * len(query) / len(name))
+                elif name in query:
+                    scores.append(0.8 + 0.1 * len(name) / len(query))
+                else:
+                    scores.append(SequenceMatcher(None, query, name).ratio())
+            keep = pa.array([x >= least for x in scores], pa.bool_())
+            out = pa.RecordBatch.from_arrays([batch.column("question_id"), batch.column("item_id"), pa.array(scores, pa.float64())], ["question_id", "item_id", "score"])
+            yield out.filter(keep)
+
+    return run
+
+
+def _prefixes(texts: DataFrame, often: DataFrame, least: float) -> DataFrame:
+    """(id, letter, size): the rarest letters of each text, so many that two texts of that likeness share one of them."""
+    each = texts.select("id", F.char_length("text").alias("size"), F.explode(_letters(F.col("text"))).alias("letter")).join(often, "letter")
+    ordered = each.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "letter"))).alias("l"))
+    most = F.col("size") - F.ceil(F.col("size") * (least / (2 - least)) - 1e-9) + 1
+    return ordered.select("id", "size", F.explode(F.slice("l", F.lit(1), F.greatest(F.lit(1), most.cast("int")))).alias("x")).select("id", "size", "x.letter")
+
+
+def _letters(text: Column) -> Column:
+    """The letters of a text, each with how often it has come before, so that they are a set."""
+    chars = F.split(text, "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda x: x == c)).cast("string")))
+
+
+def fuzzy_matches(questions: DataFrame, names: DataFrame, least: float = 0.4) -> DataFrame:
+    """(question_id, item_id, score) of likenesses of at least ``least``.
+
+    questions: question_id, query; names: item_id, name. A query in a name scores 0.9 and a tenth of its share, a name in a query
+    0.8 and so; else the share of the letters in matching blocks. Candidates of the first two share a pair of letters (or are one
+    letter); of the last one letter of their rarest ones and fit in length, as matching blocks are letters in common. Only they
+    are compared. Null and empty texts match nothing; cases are folded.
+    """
+    q = questions.select(F.col("question_id").alias("id"), F.lower("query").alias("text")).where("text <> ''")
+    n = names.select(F.col("item_id").alias("id"), F.lower("name").alias("text")).where("text <> ''")
+    first = lambda df, other: df.select(F.col("id").alias(other), F.substring("text", 1, 2).alias("piece"))
+    pieces = lambda df, other: df.select(F.col("id").alias(other), F.explode(F.array_union(pairs_of(F.col("text")), F.array_distinct(F.split("text", "")))).alias("piece"))
+    inside = first(q, "question_id").join(pieces(n, "item_id"), "piece").unionByName(pieces(q, "question_id").join(first(n, "item_id"), "piece")).select("question_id", "item_id")
+    often = q.unionByName(n).select(F.explode(_letters(F.col("text"))).alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
+    a = _prefixes(q, often, least).select(F.col("id").alias("question_id"), F.col("size").alias("size_a"), "letter")
+    b = _prefixes(n, often, least).select(F.col("id").alias("item_id"), F.col("size").alias("size_b"), "letter")
+    share = least / (2 - least) - 1e-9
+    alike = a.join(b, "letter").where((F.col("size_a") >= share * F.col("size_b")) & (F.col("size_b") >= share * F.col("size_a"))).select("question_id", "item_id")
+    both = inside.unionByName(alike).distinct()
+    both = both.join(q.select(F.col("id").alias("question_id"), F.col("text").alias("query")), "question_id").join(n.select(F.col("id").alias("item_id"), F.col("text").alias("name")), "item_id")
+    return both.select(F.col("question_id").cast("long").alias("question_id"), F.col("item_id").cast("long").alias("item_id"), "query", "name").mapInArrow(_fuzzy(least), "question_id long, item_id long, score double")
+
+
+def param_of(questions: DataFrame, params: DataFrame, least: float = 0.4) -> DataFrame:
+    """(question_id, item_id, score): the parameter whose name is most like the query; the first by place of equal ones.
+
+    params: item_id, name, num, place; those without a value or with 0 are no parameters.
+    """
+    some = params.where(F.coalesce(F.col("num") != 0, F.lit(False)))
+    found = fuzzy_matches(questions, some, least).join(some.select(F.col("item_id").cast("long").alias("item_id"), "place"), "item_id")
+    best = found.groupBy("question_id").agg(F.max_by(F.struct("item_id", "score"), F.struct("score", (-F.col("place")).alias("p"), (-F.col("item_id")).alias("i"))).alias("b"))
+    return best.select("question_id", "b.item_id", "b.score")
+
+
 def best(scored: DataFrame, k: int = 8) -> DataFrame:
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "item_id")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

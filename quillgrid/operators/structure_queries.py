@@ -197,3 +197,14 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of labels behind bar and pie charts."""
     each = F.array(F.struct(F.lit("returnflag").alias("label"), F.col("l_returnflag").alias("value")), F.struct(F.lit("linestatus").alias("label"), F.col("l_linestatus").alias("value")))
     return table(spark, sf_dir, "lineitem").select(F.explode(each).alias("k")).groupBy("k.label", "k.value").agg(F.count("*").alias("n"))
+
+
+@query()
+def param_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with a letter missing, asked for among the distinct names and types of parts; no SQL: see tests/test_retrieval.py."""
+    p = table(spark, sf_dir, "part")
+    asked = p.select(F.col("p_partkey").alias("question_id"), F.concat(F.expr("substring(p_name, 1, cast(p_partkey % length(p_name) as int))"), F.expr("substring(p_name, cast(p_partkey % length(p_name) as int) + 2)")).alias("query"))
+    words = p.select("p_name", "p_partkey", "p_retailprice").unionByName(p.select(F.col("p_type").alias("p_name"), (-F.col("p_partkey") - 1).alias("p_partkey"), "p_retailprice"))
+    params = words.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("item_id"), F.max("p_retailprice").alias("num")).withColumn("place", F.col("item_id"))
+    out = retrieval.param_of(asked, params)
+    return out.select("question_id", "item_id", F.round("score", 8).alias("score"))

@@ -26,7 +26,11 @@ def _rows(frame: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(plain(v) for v in r) for r in frame.itertuples(index=False)), key=lambda r: [(v is None, isinstance(v, str), v if v is not None else 0) for v in r])
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+#: Likeness by matching blocks is no SQL; tests/test_retrieval.py holds it against a plain version.
+WITHOUT_SQL = {"param_match"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WITHOUT_SQL))
 def test_query_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
     want = duck.execute(ORACLE_SQL[name]).df()
@@ -38,4 +42,4 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) == set(ORACLE_SQL) | WITHOUT_SQL
