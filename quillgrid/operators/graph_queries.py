@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillgrid.operators import graph, snapshot
+from quillgrid.operators import graph, propagation, snapshot
 from quillgrid.registry import Registry, table
 
 registry = Registry()
@@ -157,3 +157,33 @@ def rollup_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes rolled up: line item, sheet, all."""
     owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("sheet"), F.col("o_orderpriority").alias("item"))
     return snapshot.diff(*_versions(spark, sf_dir)).join(owner, "id").rollup("sheet", "item").agg(F.count("*").alias("n"), F.round(F.sum("magnitude"), 4).alias("total"))
+
+
+_SPREAD = f"""{EDGES},
+d(root, id, depth) as (select 'p' || p_partkey, 'p' || p_partkey, 0 from part where p_brand = 'Brand#11' union select d.root, e.dependent, d.depth + 1 from d join e on e.precedent = d.id),
+m as (select root, id, min(depth) as depth from d group by 1, 2),
+v as (select * from (select *, row_number() over (partition by root order by depth, id) as n, count(*) over (partition by root) > 40 as truncated from m) where n <= 40)"""
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges = graph.cut(cell_edges(spark, sf_dir))
+    roots = table(spark, sf_dir, "part").where("p_brand = 'Brand#11'").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    changed = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("l"), "l_orderkey", F.lit("_"), "l_linenumber").alias("id"))
+    owner = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("owner"))
+    return edges, propagation.propagation(edges, roots, changed, owner, max_nodes=40)
+
+
+@query(f"""with recursive {_SPREAD},
+r as (select distinct 'l' || l_orderkey || '_' || l_linenumber as id from lineitem where l_returnflag = 'R')
+select root, v.id, case when depth = 0 then 'root' when r.id is not null then 'changed' else 'downstream' end as kind, cast(depth as int) as depth, truncated from v left join r using (id)
+union all select root, 'c' || o_custkey, 'item', cast(min(depth) as int), truncated from v join orders on v.id = 'o' || o_orderkey group by 1, 2, truncated""")
+def propagation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of a brand's parts reaches, the 40 nearest, and the customers behind the orders among it."""
+    return _spread(spark, sf_dir)[1]
+
+
+@query(f"with recursive {_SPREAD} select distinct a.root, e.dependent, e.precedent from e join v a on a.id = e.precedent join v b on b.root = a.root and b.id = e.dependent")
+def propagation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges inside those views."""
+    edges, nodes = _spread(spark, sf_dir)
+    return propagation.links(nodes, edges)
