@@ -20,17 +20,16 @@ g as (select sheet, x as k, min(y) as region from r group by 1, 2),
 b as (select sheet, region, min(row) as top, max(row) as bottom, min(col) as left_, max(col) as right_, count(*) as n from g join k using (sheet, k) group by 1, 2 having max(row) > min(row))"""
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as cells: a sheet a supplier, a row a week, a column a line number."""
     week = F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")) / 7).cast("int")
-    cells = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), week.alias("row"), F.col("l_linenumber").cast("int").alias("col"))
-    return tables.regions(cells)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), week.alias("row"), F.col("l_linenumber").cast("int").alias("col"))
 
 
 @query(f"with recursive {_REGIONS} select sheet, region // 10 as first_row, region % 10 as first_col, top, bottom, left_, right_, n from b")
 def grid_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of connected cells."""
-    found = tables.boxes(_placed(spark, sf_dir))
+    found = tables.region_boxes(_cells(spark, sf_dir))
     return found.select("sheet", F.col("region.row").alias("first_row"), F.col("region.col").alias("first_col"), "top", "bottom", F.col("left").alias("left_"), F.col("right").alias("right_"), "n")
 
 
@@ -41,7 +40,7 @@ o as (select sheet, x as region, min(y) as tab from t group by 1, 2)
 select sheet, tab // 10 as first_row, tab % 10 as first_col, count(*) as regions, min(top) as top, max(bottom) as bottom, min(left_) as left_, max(right_) as right_, cast(sum(n) as bigint) as n from o join b using (sheet, region) group by sheet, tab""")
 def detect_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables: boxes merged with their neighbours."""
-    found = tables.graph.cut(tables.boxes(_placed(spark, sf_dir)))
+    found = tables.graph.cut(tables.region_boxes(_cells(spark, sf_dir)))
     both = found.join(tables.merged(found), "region").groupBy("sheet", "table").agg(
         F.count("*").alias("regions"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("left").alias("left_"), F.max("right").alias("right_"), F.sum("n").alias("n"),
     )

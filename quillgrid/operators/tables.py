@@ -1,11 +1,15 @@
 """Tables of a sheet: connected regions of filled cells, neighbours merged, title and header rows, line items.
 
-A table is named by the least (sheet, row, col) of its runs of cells. Regions come from runs of cells in a row and the runs
-below them that share a column, so that the graph has a node a run and not a cell.
+A table is named by the least (sheet, row, col) of its cells. Cells are dealt to tiles of fixed size by one shuffle; what
+touches inside a tile is a piece, and only pieces at the edges of tiles go into the graph that joins them to regions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -13,20 +17,95 @@ from pyspark.sql import Window
 from quillgrid.operators import graph
 
 BLOCK = 256  # rows; neighbours are looked for by blocks
+TALL, WIDE = 256, 16  # rows and columns of a tile
+TILED = "sheet {sheet}, down int, over int, cells array<struct<at:int,piece:int>>, boxes array<struct<piece:int,top:int,bottom:int,left:int,right:int,n:int,open:boolean>>"
 # Words that mark a header cell.
 HEADER_WORDS = "序号|编号|序|项目|名称|参数|指标|科目|类别|分类|大类"
 
 
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that each of n nodes is connected with along a[i] - b[i]."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of tiles with the least cell that they touch inside the tile, and the boxes of these pieces."""
+    for batch in batches:
+        sizes = batch.column("cells").value_lengths().to_numpy(zero_copy_only=False)
+        tile = np.repeat(np.arange(len(sizes)), sizes)
+        key = np.sort(tile * (TALL * WIDE) + batch.column("cells").flatten().to_numpy(zero_copy_only=False))
+        at = key % (TALL * WIDE)
+        row, col = at // WIDE, at % WIDE
+        a, b = [], []
+        for step, may in ((1, col < WIDE - 1), (WIDE, row < TALL - 1)):
+            to = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+            met = np.flatnonzero(may & (key[to] == key + step))
+            a.append(met)
+            b.append(to[met])
+        label = _labels(len(key), np.concatenate(a), np.concatenate(b))
+        cells = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(at[label], pa.int32())], ["at", "piece"])
+        order = np.argsort(label, kind="stable")
+        first = np.flatnonzero(np.diff(label[order], prepend=-1))
+        edge = (row == 0) | (row == TALL - 1) | (col == 0) | (col == WIDE - 1)
+        over = lambda f, v: f.reduceat(v[order], first) if len(first) else v[:0]
+        n = np.diff(first, append=len(key))
+        found = [at[order][first], over(np.minimum, row), over(np.maximum, row), over(np.minimum, col), over(np.maximum, col), n]
+        boxes = pa.StructArray.from_arrays([*(pa.array(v, pa.int32()) for v in found), pa.array(over(np.logical_or, edge), pa.bool_())], ["piece", "top", "bottom", "left", "right", "n", "open"])
+        ends = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends(sizes), cells), pa.ListArray.from_arrays(ends(np.bincount(tile[order][first], minlength=len(sizes))), boxes)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sheet", "down", "over")), *lists], ["sheet", "down", "over", "cells", "boxes"])
+
+
+def _tiled(cells: DataFrame) -> DataFrame:
+    """A row a tile: its cells with their pieces and its pieces' boxes, by offsets in the tile."""
+    row, col = F.col("row").cast("int"), F.col("col").cast("int")
+    at = cells.dropna(subset=["sheet", "row", "col"]).select("sheet", F.floor(row / TALL).cast("int").alias("down"), F.floor(col / WIDE).cast("int").alias("over"), (F.pmod(row, F.lit(TALL)) * WIDE + F.pmod(col, F.lit(WIDE))).alias("at"))
+    return graph.cut(at.groupBy("sheet", "down", "over").agg(F.collect_set("at").alias("cells")).mapInArrow(_pieces, TILED.format(sheet=dict(cells.dtypes)["sheet"])))
+
+
+def _id(at: Column) -> Column:
+    return F.struct("sheet", (F.col("down") * TALL + F.floor(at / WIDE)).cast("int").alias("row"), (F.col("over") * WIDE + at % WIDE).cast("int").alias("col"))
+
+
+def _joined(tiles: DataFrame) -> DataFrame:
+    """(id, label) of the pieces that touch a piece of another tile."""
+    at = lambda c: F.floor(c["at"] / WIDE)
+    across = lambda c: c["at"] % WIDE
+
+    def side(keep, place, name: str, down: int = 0, over: int = 0) -> DataFrame:
+        each = tiles.select("*", F.explode(F.filter("cells", keep)).alias("c"))
+        return each.select("sheet", (F.col("down") + down).alias("d"), (F.col("over") + over).alias("o"), place(F.col("c")).alias("place"), _id(F.col("c.piece")).alias(name))
+
+    edge = ["sheet", "d", "o", "place"]
+    below = side(lambda c: at(c) == TALL - 1, across, "src", down=1).join(side(lambda c: at(c) == 0, across, "dst"), edge)
+    right = side(lambda c: across(c) == WIDE - 1, at, "src", over=1).join(side(lambda c: across(c) == 0, at, "dst"), edge)
+    edges = graph.cut(below.select("src", "dst").unionByName(right.select("src", "dst")).distinct())
+    return graph.connected(edges, edges.select(F.explode(F.array("src", "dst")).alias("id")))
+
+
 def regions(cells: DataFrame) -> DataFrame:
     """(sheet, row, col, region): filled cells that touch by an edge have one region. cells: sheet, row, col (number)."""
-    at = cells.select("sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
-    across = Window.partitionBy("sheet", "row").orderBy("col")
-    first = F.max(F.when(F.coalesce(F.col("col") - F.lag("col").over(across) > 1, F.lit(True)), F.col("col"))).over(across)
-    runs = graph.cut(at.withColumn("id", F.struct("sheet", "row", first.alias("col"))))
-    below = runs.select("sheet", (F.col("row") - 1).alias("row"), "col", F.col("id").alias("dst"))
-    edges = runs.withColumnRenamed("id", "src").join(below, ["sheet", "row", "col"]).select("src", "dst").distinct()
-    found = graph.connected(edges, runs.select("id"))
-    return runs.join(found, "id").select("sheet", "row", "col", F.col("label").alias("region"))
+    tiles = _tiled(cells)
+    each = tiles.select("sheet", "down", "over", F.explode("cells").alias("c")).select("sheet", _id(F.col("c.at")).alias("at"), _id(F.col("c.piece")).alias("id"))
+    return each.join(_joined(tiles), "id", "left").select("sheet", "at.row", "at.col", F.coalesce("label", "id").alias("region"))
+
+
+def region_boxes(cells: DataFrame) -> DataFrame:
+    """``boxes`` of the regions of cells, from the boxes of their pieces; only pieces at the edges of tiles are joined to others."""
+    tiles = _tiled(cells)
+    at = lambda c: (F.col("over") * WIDE + F.col(f"b.{c}")).alias(c)
+    down = lambda c: (F.col("down") * TALL + F.col(f"b.{c}")).alias(c)
+    each = tiles.select("sheet", "down", "over", F.explode("boxes").alias("b")).select("sheet", _id(F.col("b.piece")).alias("region"), down("top"), down("bottom"), at("left"), at("right"), F.col("b.n").cast("long").alias("n"), "b.open")
+    edge = each.where("open").join(_joined(tiles).withColumnRenamed("id", "region"), "region", "left").withColumn("region", F.coalesce("label", "region"))
+    whole = edge.groupBy("sheet", "region").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("left").alias("left"), F.max("right").alias("right"), F.sum("n").alias("n"))
+    return each.where("not open").drop("open").unionByName(whole).where("bottom > top")
 
 
 def boxes(placed: DataFrame) -> DataFrame:
@@ -46,7 +125,9 @@ def merged(found: DataFrame, widest: int = 3) -> DataFrame:
     one = one.select("sheet", "src", "a", "b", "block", near.alias("left"))
     two = found.select("sheet", F.col("region").alias("dst"), "top", "bottom", "left", blocks.alias("block"))
     pairs = one.join(two, ["sheet", "left", "block"]).where("a <= bottom and top <= b").select("src", "dst").distinct()
-    return graph.connected(pairs, found.select(F.col("region").alias("id"))).select(F.col("id").alias("region"), F.col("label").alias("table"))
+    pairs = graph.cut(pairs)
+    near = graph.connected(pairs, pairs.select(F.explode(F.array("src", "dst")).alias("id"))).select(F.col("id").alias("region"), F.col("label").alias("table"))
+    return found.select("region").join(near, "region", "left").withColumn("table", F.coalesce("table", "region"))
 
 
 def is_date(num: Column) -> Column:

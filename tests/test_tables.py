@@ -1,5 +1,7 @@
 """Table detection, line items and simulations on small sheets."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,24 @@ def test_financing_from_injections(spark):
     assert [r["months"] for r in got] == [2, 9, 12, 12, 12, 12, 12, 8, 4, 7]
     split = model.financing_periods(injections.drop("invested"), starts, yearly, 0.043).orderBy("number").collect()
     assert [r["invested"] for r in split[:3]] == pytest.approx([900 * 2 / 11, 900 * 9 / 11, 0.0]) and split[0]["debt"] == 0.0
+
+
+def test_regions_across_tiles_equal_a_walk(spark):
+    """Tiles are joined: cells around the edges of tiles, in both directions, against a walk over all cells."""
+    rng = random.Random(3)
+    cells = {("s", r, c) for r in range(245, 270) for c in range(8, 40) if rng.random() < 0.6} | {("t", 255, 15), ("t", 256, 16)} | {("u", r, 3) for r in range(600)}
+    seen, want = set(), {}
+    for start in sorted(cells):
+        todo = [start] if start not in seen else []
+        while todo:
+            at = todo.pop()
+            if at in cells and at not in seen:
+                seen.add(at)
+                want[at] = start
+                s, r, c = at
+                todo += [(s, r + 1, c), (s, r - 1, c), (s, r, c + 1), (s, r, c - 1)]
+    df = spark.createDataFrame([*sorted(cells), ("s", None, 1)], "sheet string, row int, col int")
+    got = {(r["sheet"], r["row"], r["col"]): tuple(r["region"]) for r in tables.regions(df).collect()}
+    assert got == want
+    names = ["sheet", "region", "top", "bottom", "left", "right", "n"]
+    assert sorted(map(tuple, tables.region_boxes(df).select(*names).collect())) == sorted(map(tuple, tables.boxes(tables.regions(df)).select(*names).collect()))
