@@ -52,6 +52,15 @@ def _each(f) -> Column:
     return F.transform(F.col("i"), lambda i: f(i).cast("double"))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The same rows, as a step of their own.
+
+    Spark puts an expression that is used once where it is used; inside a walk over the years it would be computed again for
+    each year, and over several steps for each year of each year. It puts none through an explode.
+    """
+    return df.select("*", F.explode(F.array(F.lit(0))).alias("step")).drop("step")
+
+
 def _total(name: str) -> Column:
     return F.aggregate(name, F.lit(0.0), lambda a, v: a + v)
 
@@ -144,10 +153,10 @@ def timeline(params: DataFrame) -> DataFrame:
 def run(configs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Every statement of every project, as arrays by year, beside the parameters."""
     rules = rules or Rules()
-    df = configs.withColumn("i", F.sequence(F.lit(0), F.col("build_years") + F.col("op_years") - 1))
+    df = _settled(configs).withColumn("i", F.sequence(F.lit(0), F.col("build_years") + F.col("op_years") - 1))
     build = F.col("build_years")
     given = lambda i: F.coalesce(F.get("ratios", i.cast("int")), F.try_element_at("ratios", F.lit(-1)))
-    df = df.withColumns({
+    df = _settled(df).withColumns({
         "years": F.transform("i", lambda i: F.col("start_year") + i),
         "ratio": _each(lambda i: F.coalesce(given(i), F.when(i >= build, 1.0).otherwise(0.0))),
         "invested": _each(lambda i: F.when(i < build, _at("capex", i)).otherwise(0.0)),
@@ -155,16 +164,16 @@ def run(configs: DataFrame, rules: Rules | None = None) -> DataFrame:
         "fixed": F.aggregate(F.filter("assets", lambda a: a["name"] == "fixed"), F.lit(0.0), lambda t, a: t + a["original"]),
         "yearly_depreciation": F.aggregate("assets", F.lit(0.0), lambda t, a: t + a["original"] * (1 - a["residual"]) / a["life"]),
     })
-    df = df.withColumn("first_op", F.coalesce(F.nullif(F.array_position(F.transform("i", lambda i: (i >= build) | (_at("ratio", i) > 0)), True), F.lit(0)) - 1, build))
-    df = df.withColumns({
+    df = _settled(df).withColumn("first_op", F.coalesce(F.nullif(F.array_position(F.transform("i", lambda i: (i >= build) | (_at("ratio", i) > 0)), True), F.lit(0)) - 1, build))
+    df = _settled(df).withColumns({
         "invested_total": _total("invested"),
         "financed": _each(lambda i: _at("invested", i) + _at("capitalised", i)),
     })
-    df = df.withColumns({
+    df = _settled(df).withColumns({
         "equity_in": _each(lambda i: _at("financed", i) * F.col("equity_ratio")),
         "debt_in": _each(lambda i: _at("financed", i) * (1 - F.col("equity_ratio"))),
     })
-    df = df.withColumn("loan", _total("debt_in"))
+    df = _settled(df).withColumn("loan", _total("debt_in"))
 
     def loan(part: str):
         def value(i: Column) -> Column:
@@ -178,7 +187,7 @@ def run(configs: DataFrame, rules: Rules | None = None) -> DataFrame:
     per_year = F.col("input_vat") / F.least(F.col("input_vat_years"), F.col("op_years"))
     generation = F.col("capacity_mw") * F.col("hours")
     offset = lambda i: i - build
-    df = df.withColumns({
+    df = _settled(df).withColumns({
         "interest": loan("interest"),
         "principal": loan("principal_part"),
         "owed": _each(lambda i: F.when(i < build, 0.0).when(i == build, F.col("loan")).when(i - build > F.col("loan_years"), 0.0).otherwise(finance.equal_principal(F.col("loan"), F.col("loan_rate"), i - build, F.col("loan_years"))["balance"] if rules.equal_principal else finance.equal_instalment(F.col("loan"), F.col("loan_rate"), i - build, F.col("loan_years"))["balance"])),
@@ -186,29 +195,29 @@ def run(configs: DataFrame, rules: Rules | None = None) -> DataFrame:
         "energy_revenue": _each(lambda i: generation * _at("ratio", i) * (1 - F.col("aux_rate")) * F.col("grid_price") / 10 / (1 + F.col("vat_rate"))),
         "prepaid": _each(lambda i: F.when((offset(i) >= 0) & (F.coalesce("prepaid_amount", F.lit(0.0)) > 0) & (F.pmod(offset(i), F.col("prepaid_cycle")) < F.col("prepaid_period")), F.col("prepaid_amount") / F.col("prepaid_period")).otherwise(0.0)),
     })
-    df = df.withColumns({
+    df = _settled(df).withColumns({
         "revenue": _each(lambda i: _at("capacity_revenue", i) + _at("energy_revenue", i)),
         "depreciation": _each(lambda i: F.col("yearly_depreciation") * _at("ratio", i) + _at("prepaid", i)),
     })
-    df = df.withColumns({
+    df = _settled(df).withColumns({
         "vat_output": _each(lambda i: _at("revenue", i) * F.col("vat_rate")),
         "vat_deducted": _each(lambda i: F.when(on(i), F.greatest(F.lit(0.0), F.least(per_year, F.col("input_vat") - per_year * (i - F.col("first_op"))))).otherwise(0.0)),
         "production_cost": _each(lambda i: _at("ratio", i) * (F.col("capacity_mw") * rules.material_per_mw + generation / rules.pump_efficiency * F.col("pump_price") / 10 + F.when(i >= build, F.col("invested_total") * rules.maintenance_rate).otherwise(0.0) + rules.labour) + _at("depreciation", i)),
     })
-    df = df.withColumn("surcharge", _each(lambda i: F.greatest(F.lit(0.0), _at("vat_output", i) - _at("vat_deducted", i)) * F.col("surcharge_rate")))
-    df = df.withColumns({
+    df = _settled(df).withColumn("surcharge", _each(lambda i: F.greatest(F.lit(0.0), _at("vat_output", i) - _at("vat_deducted", i)) * F.col("surcharge_rate")))
+    df = _settled(df).withColumns({
         "profit_total": _each(lambda i: _at("revenue", i) - _at("surcharge", i) - _at("production_cost", i)),
         "profit_equity": _each(lambda i: _at("revenue", i) - _at("surcharge", i) - _at("production_cost", i) - _at("interest", i)),
     })
     tax = lambda name: F.transform(finance.loss_carry_forward(F.col(name), rules.tax_rate, rules.loss_years), lambda t: t["tax"])
-    df = df.withColumns({"tax_total": tax("profit_total"), "tax_equity": tax("profit_equity")})
+    df = _settled(df).withColumns({"tax_total": tax("profit_total"), "tax_equity": tax("profit_equity")})
     overhaul = F.create_map(*(F.lit(x) for y, v in rules.overhauls.items() for x in (y, float(v)))) if rules.overhauls else None
     last = lambda i: i == F.size("i") - 1
     ends = lambda i: F.when(last(i), F.col("fixed") * rules.residual_share + F.col("working_capital")).otherwise(0.0)
     started = lambda i: F.when(i == build, F.col("working_capital")).otherwise(0.0)
     running = lambda i: _at("production_cost", i) - _at("depreciation", i) + _at("surcharge", i)
     upkeep = (lambda i: F.coalesce(F.try_element_at(overhaul, F.get("years", i)), F.lit(0.0))) if overhaul is not None else (lambda i: F.lit(0.0))
-    df = df.withColumns({
+    df = _settled(df).withColumns({
         "net_profit": _each(lambda i: _at("profit_equity", i) - _at("tax_equity", i)),
         "cf_total": _each(lambda i: _at("revenue", i) + ends(i) - (_at("invested", i) - F.col("subsidy") * F.coalesce(F.try_divide(_at("invested", i), F.col("invested_total")), F.lit(0.0))) - started(i) - running(i) - upkeep(i) - _at("tax_total", i)),
         "cf_equity": _each(lambda i: _at("revenue", i) + ends(i) + _at("debt_in", i) - _at("equity_in", i) - started(i) - running(i) - _at("tax_equity", i) - _at("principal", i) - _at("interest", i)),
@@ -233,8 +242,8 @@ def balance(model: DataFrame, rules: Rules | None = None) -> DataFrame:
         row = F.struct((s["reserve"] + put).alias("reserve"), (s["retained"] + kept).alias("retained"))
         return F.struct(row["reserve"].alias("reserve"), row["retained"].alias("retained"), F.array_append(s["out"], row).alias("out"))
 
-    df = model.withColumns({"equity_sum": _running("equity_in"), "debt_sum": _running("debt_in"), "prepaid_sum": _running("prepaid"), "ratio_sum": _running("ratio")})
-    df = df.withColumn("items", F.aggregate(F.slice("net_profit", build + 1, F.col("op_years")), start, step, lambda s: s["out"]))
+    df = _settled(model).withColumns({"equity_sum": _running("equity_in"), "debt_sum": _running("debt_in"), "prepaid_sum": _running("prepaid"), "ratio_sum": _running("ratio")})
+    df = _settled(df).withColumn("items", F.aggregate(F.slice("net_profit", build + 1, F.col("op_years")), start, step, lambda s: s["out"]))
     worn = lambda i: _at("ratio_sum", i) - F.when(build > 0, _at("ratio_sum", build - 1)).otherwise(0.0)
 
     def assets(i: Column) -> Column:
@@ -242,14 +251,14 @@ def balance(model: DataFrame, rules: Rules | None = None) -> DataFrame:
         paid = F.greatest(F.lit(0.0), (F.floor((i - build) / F.col("prepaid_cycle")) + 1) * F.coalesce("prepaid_amount", F.lit(0.0)) - _at("prepaid_sum", i))
         return F.aggregate("assets", F.lit(0.0), lambda t, a: t + left(a)) + paid + F.col("working_capital")
 
-    df = df.withColumns({
+    df = _settled(df).withColumns({
         "non_cash": _each(lambda i: F.when(i < build, _at("equity_sum", i) + _at("debt_sum", i)).otherwise(assets(i))),
         "liabilities": _each(lambda i: F.when(i < build, _at("debt_sum", i)).otherwise(_at("owed", i) + F.col("working_capital") * (1 - rules.wc_equity_share))),
         "paid_in": _each(lambda i: F.when(i < build, _at("equity_sum", i)).otherwise(_at("equity_sum", build - 1) + F.col("working_capital") * rules.wc_equity_share)),
         "reserve": _each(lambda i: F.coalesce(F.get("items", (i - build).cast("int"))["reserve"], F.lit(0.0))),
         "retained": _each(lambda i: F.coalesce(F.get("items", (i - build).cast("int"))["retained"], F.lit(0.0))),
     })
-    rows = by_year(df, ["non_cash", "liabilities", "paid_in", "reserve", "retained"])
+    rows = by_year(_settled(df), ["non_cash", "liabilities", "paid_in", "reserve", "retained"])
     total = F.col("liabilities") + F.col("paid_in") + F.col("reserve") + F.col("retained")
     return rows.withColumns({"total_assets": total, "cash": total - F.col("non_cash")})
 
@@ -276,7 +285,7 @@ def metrics(model: DataFrame, rate: float = 0.08) -> DataFrame:
     """A row a project: irr_total, irr_equity, npv_total, npv_equity, payback, payback_dynamic, dscr_min, dscr_avg, margin."""
     days = F.transform("years", lambda y: F.datediff(F.make_date(y, F.lit(12), F.lit(31)), F.make_date(F.col("start_year"), F.lit(12), F.lit(31))))
     ratios = F.filter(F.transform("i", lambda i: F.try_divide(_at("profit_equity", i) + _at("interest", i) + _at("depreciation", i), F.nullif(F.greatest(F.lit(0.0), _at("principal", i) + _at("interest", i)), F.lit(0.0)))), lambda x: x.isNotNull())
-    df = model.withColumns({"days": days, "ratios_of_debt": ratios})
+    df = _settled(_settled(model).withColumns({"days": days, "ratios_of_debt": ratios}))
     discounted = F.transform("cf_total", lambda v, t: v / F.pow(F.lit(1 + rate), t))
     return df.select(
         "project",

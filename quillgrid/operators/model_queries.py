@@ -17,7 +17,9 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     mw, build = 600 + (k % 13) * 100.0, (4 + k % 4).cast("int")
     asset = lambda name, per_mw, residual, life: F.struct(F.lit(name).alias("name"), (mw * per_mw).alias("original"), F.lit(residual).alias("residual"), F.lit(life).alias("life"))
     fixed = {"equity_ratio": 0.25, "construction_rate": 0.043, "loan_rate": 0.043, "subsidy": 10000.0, "working_capital": 700.0, "hours": 1169.29, "grid_price": 0.35, "pump_price": 0.23085, "aux_rate": 0.02, "vat_rate": 0.13, "surcharge_rate": 0.1, "prepaid_amount": 500.0}
-    return table(spark, sf_dir, "supplier").select(
+    # a project is a small row and much work, so rows are dealt by number and not by size
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "supplier").repartition(tasks, "s_suppkey").select(
         k.alias("project"), F.lit(2024).alias("start_year"), build.alias("build_years"), F.lit(20).alias("op_years"),
         F.array_repeat(mw * 600 / build, build).alias("capex"), mw.alias("capacity_mw"), (500 + (k % 7) * 50.0).alias("capacity_price"),
         F.lit(15).alias("loan_years"), (mw * 60).alias("input_vat"), F.lit(10).alias("input_vat_years"),
