@@ -42,7 +42,7 @@ TOGETHER = 1000  # stretches that are read at once
 PART_PAIRS = 1_000_000  # pairs whose partial counts a task holds
 PART_CHARS = 4_000_000  # characters that are looked at together
 ID = 1 << 20  # a pair is a * ID + b
-CUT = re.compile(r"(?<=\S)(?= )")
+STRETCH = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+")  # up to where a visible character is followed by a space
 
 #: n: the group's number, a window sum over the starts that both sides share; q: where the token of B starts.
 FIRST = """
@@ -91,7 +91,7 @@ class Tokenizers:
 
     def __call__(self, stretches: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """Ids of A and B of texts that start with a space, end to end; how many each text has; which texts read back by both."""
-        size = np.fromiter((len(s.encode()) for s in stretches), np.int64, len(stretches))
+        size = pc.binary_length(pa.array(stretches, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
         flat, count, good = [], [], np.ones(len(stretches), bool)
         for encode, token, length in ((self._a, self.a_bytes, self.sizes[0]), (self._b, self.b_bytes, self.sizes[1])):
             # no token reaches over the end of a stretch, so many are read at once and cut by their bytes
@@ -166,22 +166,27 @@ class Stretches:
         """
         if len(self.said) > REMEMBERED:
             self.clear()
-        cut = [CUT.split(" " + t) if t else [] for t in texts]
-        new = dict.fromkeys(s for parts in cut for s in parts if s not in self.number)
+        cut = [STRETCH.findall(" " + t) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        every = list(chain.from_iterable(cut))
+        new = [s for s in dict.fromkeys(every) if s not in self.number]
         first = len(self.said)
-        self._add(list(new))
-        here = {s: first + i for i, s in enumerate(new)}
-        self.number |= {s: i for s, i in here.items() if len(s) <= LONG}
-        look = self.number | here if len(here) > 0 and any(len(s) > LONG for s in here) else self.number
-        rows = [[look[s] for s in parts] for parts in cut]
-        if self.bad:
-            # read as wholes: only then do A's and B's bytes tell whether the text has tokens
-            whole = [i for i, r in enumerate(rows) if not self.bad.isdisjoint(r)]
-            first = len(self.said)
-            self._add([" " + texts[i] for i in whole])
-            for n, i in enumerate(whole):
-                rows[i] = [] if first + n in self.bad else [first + n]
-        return np.fromiter((n for r in rows for n in r), np.int64), np.array([len(r) for r in rows], np.int64)
+        self._add(new)
+        here = dict(zip(new, range(first, first + len(new)), strict=True))
+        kept = {s: i for s, i in here.items() if len(s) <= LONG}
+        self.number |= kept
+        look = self.number | here if len(kept) < len(here) else self.number
+        numbers = np.fromiter(map(look.__getitem__, every), np.int64, len(every))
+        if not self.bad:
+            return numbers, sizes
+        # read as wholes: only then do A's and B's bytes tell whether the text has tokens
+        rows = [r.tolist() for r in np.split(numbers, np.cumsum(sizes)[:-1])]
+        whole = [i for i, r in enumerate(rows) if not self.bad.isdisjoint(r)]
+        first = len(self.said)
+        self._add([" " + texts[i] for i in whole])
+        for n, i in enumerate(whole):
+            rows[i] = [] if first + n in self.bad else [first + n]
+        return np.fromiter(chain.from_iterable(rows), np.int64), np.array([len(r) for r in rows], np.int64)
 
     def links_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pairs, how many) of stretches, end to end."""

@@ -122,3 +122,16 @@ def test_whole_table(spark, plain):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in alignment.op11_token_alignment(spark, sf).select("doc_id", *FIELDS).collect()), key=str)
     assert got == plain(rows)[0]
+
+
+def test_stretches_end_where_a_visible_character_is_followed_by_a_space():
+    import random
+    import re
+
+    from quillgrid.llm import alignment
+
+    rng = random.Random(5)
+    cut = re.compile(r"(?<=\S)(?= )")
+    for _ in range(20000):
+        text = " " + "".join(rng.choice(["a", "bc", " ", "  ", "\n", "\t", "　", "é", "​", "\x1c", "\r\n"]) for _ in range(rng.randint(1, 9)))
+        assert alignment.STRETCH.findall(text) == cut.split(text)
