@@ -17,7 +17,7 @@ def _series(flows: Column) -> Column:
 def npv(flows: Column, rate: Column | float) -> Column:
     """Net present value; the first flow isn't discounted."""
     rate = F.lit(rate) if isinstance(rate, (int, float)) else rate
-    discounted = F.transform(_series(flows), lambda v, t: v / F.pow(1 + rate, t))
+    discounted = F.transform(flows, lambda v, t: F.coalesce(v.cast("double"), F.lit(0.0)) / F.pow(1 + rate, t))
     return F.when(F.size(flows) > 0, F.aggregate(discounted, F.lit(0.0), lambda a, v: a + v))
 
 
@@ -94,12 +94,13 @@ def loss_carry_forward(profits: Column, rate: float, years: int = 5) -> Column:
         F.array().cast("array<struct<profit:double,used_loss:double,taxable:double,tax:double>>").alias("out"),
     )
 
-    def step(s: Column, profit: Column) -> Column:
-        aged = F.filter(F.transform(s["losses"], lambda x: F.struct((x["age"] + 1).alias("age"), x["left"].alias("left"))), lambda x: (x["age"] <= years) & (x["left"] > 0))
-        have = F.aggregate(aged, F.lit(0.0), lambda a, x: a + x["left"])
-        used = F.when(profit > 0, F.least(profit, have)).otherwise(0.0)
-        # oldest first: each loss gives what the ones before it leave to use
-        taken = F.aggregate(
+    row = lambda profit, used, taxable: F.struct(profit.alias("profit"), used.alias("used_loss"), taxable.alias("taxable"), (taxable * rate).alias("tax"))
+    # a value that is used more than once is bound by a walk over an array of it; else it is computed again at each use
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def used_up(aged: Column, used: Column) -> Column:
+        """Oldest first: each loss gives what the ones before it leave to use."""
+        return F.aggregate(
             aged,
             F.struct(used.alias("need"), F.array().cast("array<struct<age:int,left:double>>").alias("kept")),
             lambda a, x: F.struct(
@@ -108,12 +109,21 @@ def loss_carry_forward(profits: Column, rate: float, years: int = 5) -> Column:
             ),
             lambda a: a["kept"],
         )
-        losses = F.when(profit < 0, F.array_append(taken, F.struct(F.lit(0).alias("age"), (-profit).alias("left")))).otherwise(taken)
-        taxable = F.greatest(F.lit(0.0), profit - used)
-        row = F.struct(profit.alias("profit"), used.alias("used_loss"), taxable.alias("taxable"), (taxable * rate).alias("tax"))
-        return F.struct(losses.alias("losses"), F.array_append(s["out"], row).alias("out"))
 
-    return F.aggregate(_series(profits), start, step, lambda s: s["out"])
+    def step(s: Column, profit: Column) -> Column:
+        aged = F.filter(F.transform(s["losses"], lambda x: F.struct((x["age"] + 1).alias("age"), x["left"].alias("left"))), lambda x: (x["age"] <= years) & (x["left"] > 0))
+
+        def settled(aged: Column, used: Column) -> Column:
+            losses = F.when(profit < 0, F.array_append(aged, F.struct(F.lit(0).alias("age"), (-profit).alias("left")))).when(used > 0, used_up(aged, used)).otherwise(aged)
+            return F.struct(losses.alias("losses"), F.array_append(s["out"], row(profit, used, F.greatest(F.lit(0.0), profit - used))).alias("out"))
+
+        have = lambda aged: F.aggregate(aged, F.lit(0.0), lambda a, x: a + x["left"])
+        used = lambda aged: F.when((profit > 0) & (F.size(aged) > 0), F.least(profit, have(aged))).otherwise(0.0)
+        return bound(aged, lambda a: bound(used(a), lambda u: settled(a, u)))
+
+    series = _series(profits)
+    simple = F.transform(series, lambda v: row(v, F.lit(0.0), F.greatest(F.lit(0.0), v)))
+    return F.when(F.exists(profits, lambda v: v < 0), F.aggregate(series, start, step, lambda s: s["out"])).when(profits.isNotNull(), simple)
 
 
 def capped_running_sum(amounts: Column, cap: Column | float) -> Column:

@@ -20,6 +20,11 @@ from pyspark.sql import Window
 
 from quillgrid.functions import finance
 
+#: Parameters that ``schedule`` reads.
+SCHEDULED = {
+    "start_year", "build_years", "op_years", "capex", "equity_ratio", "construction_rate", "loan_rate", "loan_years", "subsidy", "working_capital",
+    "input_vat", "input_vat_years", "assets", "prepaid_amount", "prepaid_cycle", "prepaid_period", "ratios",
+}
 ASSETS = "array<struct<name:string,original:double,residual:double,life:double>>"
 
 
@@ -52,6 +57,11 @@ def _each(f) -> Column:
     return F.transform(F.col("i"), lambda i: f(i).cast("double"))
 
 
+def _zipped(f, *names: str) -> Column:
+    """An array with a value for each year from the values of other arrays in that year."""
+    return F.transform(F.arrays_zip(*names), lambda s: f(*(F.coalesce(s[n], F.lit(0.0)) for n in names)).cast("double"))
+
+
 def _settled(df: DataFrame) -> DataFrame:
     """The same rows, as a step of their own.
 
@@ -150,8 +160,11 @@ def timeline(params: DataFrame) -> DataFrame:
     return rows.select("project", "period_start", "period_end", months.alias("months"), F.year("period_end").alias("end_year"), phase.alias("phase"))
 
 
-def run(configs: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """Every statement of every project, as arrays by year, beside the parameters."""
+def schedule(configs: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """The configs with all that follows from SCHEDULED: investment, loan, depreciation, deducted VAT.
+
+    Runs of one project that differ in other parameters only are exploded after this, so that it is computed once for them.
+    """
     rules = rules or Rules()
     df = _settled(configs).withColumn("i", F.sequence(F.lit(0), F.col("build_years") + F.col("op_years") - 1))
     build = F.col("build_years")
@@ -185,47 +198,65 @@ def run(configs: DataFrame, rules: Rules | None = None) -> DataFrame:
 
     on = lambda i: i >= F.col("first_op")
     per_year = F.col("input_vat") / F.least(F.col("input_vat_years"), F.col("op_years"))
-    generation = F.col("capacity_mw") * F.col("hours")
     offset = lambda i: i - build
+    last = lambda i: i == F.size("i") - 1
     df = _settled(df).withColumns({
         "interest": loan("interest"),
         "principal": loan("principal_part"),
         "owed": _each(lambda i: F.when(i < build, 0.0).when(i == build, F.col("loan")).when(i - build > F.col("loan_years"), 0.0).otherwise(finance.equal_principal(F.col("loan"), F.col("loan_rate"), i - build, F.col("loan_years"))["balance"] if rules.equal_principal else finance.equal_instalment(F.col("loan"), F.col("loan_rate"), i - build, F.col("loan_years"))["balance"])),
-        "capacity_revenue": _each(lambda i: F.col("capacity_mw") * F.col("capacity_price") * _at("ratio", i) / 10 / (1 + F.col("vat_rate"))),
-        "energy_revenue": _each(lambda i: generation * _at("ratio", i) * (1 - F.col("aux_rate")) * F.col("grid_price") / 10 / (1 + F.col("vat_rate"))),
         "prepaid": _each(lambda i: F.when((offset(i) >= 0) & (F.coalesce("prepaid_amount", F.lit(0.0)) > 0) & (F.pmod(offset(i), F.col("prepaid_cycle")) < F.col("prepaid_period")), F.col("prepaid_amount") / F.col("prepaid_period")).otherwise(0.0)),
+        "vat_deducted": _each(lambda i: F.when(on(i), F.greatest(F.lit(0.0), F.least(per_year, F.col("input_vat") - per_year * (i - F.col("first_op"))))).otherwise(0.0)),
+        "recovered": _each(lambda i: F.when(last(i), F.col("fixed") * rules.residual_share + F.col("working_capital")).otherwise(0.0)),
+        "started": _each(lambda i: F.when(i == build, F.col("working_capital")).otherwise(0.0)),
+        "invested_own": _each(lambda i: _at("invested", i) - F.col("subsidy") * F.coalesce(F.try_divide(_at("invested", i), F.col("invested_total")), F.lit(0.0))),
+    })
+    return _settled(df).withColumn("depreciation", _each(lambda i: F.col("yearly_depreciation") * _at("ratio", i) + _at("prepaid", i)))
+
+
+def operate(scheduled: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """Every statement beside what ``schedule`` gives. What doesn't change with the year is computed before the walks over the years."""
+    rules = rules or Rules()
+    build = F.col("build_years")
+    generation = F.col("capacity_mw") * F.col("hours")
+    cost = F.col("capacity_mw") * rules.material_per_mw + generation / rules.pump_efficiency * F.col("pump_price") / 10
+    df = _settled(scheduled).withColumns({
+        "capacity_yearly": F.col("capacity_mw") * F.col("capacity_price") / 10 / (1 + F.col("vat_rate")),
+        "energy_yearly": generation * (1 - F.col("aux_rate")) * F.col("grid_price") / 10 / (1 + F.col("vat_rate")),
+        "cost_building": cost + 0.0 + rules.labour,
+        "cost_operating": cost + F.col("invested_total") * rules.maintenance_rate + rules.labour,
     })
     df = _settled(df).withColumns({
-        "revenue": _each(lambda i: _at("capacity_revenue", i) + _at("energy_revenue", i)),
-        "depreciation": _each(lambda i: F.col("yearly_depreciation") * _at("ratio", i) + _at("prepaid", i)),
+        "capacity_revenue": _zipped(lambda r: F.col("capacity_yearly") * r, "ratio"),
+        "energy_revenue": _zipped(lambda r: F.col("energy_yearly") * r, "ratio"),
+        "revenue": _zipped(lambda r: F.col("capacity_yearly") * r + F.col("energy_yearly") * r, "ratio"),
+        "production_cost": _zipped(lambda r, d, i: r * F.when(i >= build, F.col("cost_operating")).otherwise(F.col("cost_building")) + d, "ratio", "depreciation", "i"),
     })
     df = _settled(df).withColumns({
-        "vat_output": _each(lambda i: _at("revenue", i) * F.col("vat_rate")),
-        "vat_deducted": _each(lambda i: F.when(on(i), F.greatest(F.lit(0.0), F.least(per_year, F.col("input_vat") - per_year * (i - F.col("first_op"))))).otherwise(0.0)),
-        "production_cost": _each(lambda i: _at("ratio", i) * (F.col("capacity_mw") * rules.material_per_mw + generation / rules.pump_efficiency * F.col("pump_price") / 10 + F.when(i >= build, F.col("invested_total") * rules.maintenance_rate).otherwise(0.0) + rules.labour) + _at("depreciation", i)),
+        "vat_output": _zipped(lambda r: r * F.col("vat_rate"), "revenue"),
+        "surcharge": _zipped(lambda r, d: F.greatest(F.lit(0.0), r * F.col("vat_rate") - d) * F.col("surcharge_rate"), "revenue", "vat_deducted"),
     })
-    df = _settled(df).withColumn("surcharge", _each(lambda i: F.greatest(F.lit(0.0), _at("vat_output", i) - _at("vat_deducted", i)) * F.col("surcharge_rate")))
     df = _settled(df).withColumns({
-        "profit_total": _each(lambda i: _at("revenue", i) - _at("surcharge", i) - _at("production_cost", i)),
-        "profit_equity": _each(lambda i: _at("revenue", i) - _at("surcharge", i) - _at("production_cost", i) - _at("interest", i)),
+        "profit_total": _zipped(lambda r, s, c: r - s - c, "revenue", "surcharge", "production_cost"),
+        "profit_equity": _zipped(lambda r, s, c, i: r - s - c - i, "revenue", "surcharge", "production_cost", "interest"),
+        "running": _zipped(lambda c, d, s: c - d + s, "production_cost", "depreciation", "surcharge"),
     })
     tax = lambda name: F.transform(finance.loss_carry_forward(F.col(name), rules.tax_rate, rules.loss_years), lambda t: t["tax"])
     df = _settled(df).withColumns({"tax_total": tax("profit_total"), "tax_equity": tax("profit_equity")})
     overhaul = F.create_map(*(F.lit(x) for y, v in rules.overhauls.items() for x in (y, float(v)))) if rules.overhauls else None
-    last = lambda i: i == F.size("i") - 1
-    ends = lambda i: F.when(last(i), F.col("fixed") * rules.residual_share + F.col("working_capital")).otherwise(0.0)
-    started = lambda i: F.when(i == build, F.col("working_capital")).otherwise(0.0)
-    running = lambda i: _at("production_cost", i) - _at("depreciation", i) + _at("surcharge", i)
-    upkeep = (lambda i: F.coalesce(F.try_element_at(overhaul, F.get("years", i)), F.lit(0.0))) if overhaul is not None else (lambda i: F.lit(0.0))
-    df = _settled(df).withColumns({
-        "net_profit": _each(lambda i: _at("profit_equity", i) - _at("tax_equity", i)),
-        "cf_total": _each(lambda i: _at("revenue", i) + ends(i) - (_at("invested", i) - F.col("subsidy") * F.coalesce(F.try_divide(_at("invested", i), F.col("invested_total")), F.lit(0.0))) - started(i) - running(i) - upkeep(i) - _at("tax_total", i)),
-        "cf_equity": _each(lambda i: _at("revenue", i) + ends(i) + _at("debt_in", i) - _at("equity_in", i) - started(i) - running(i) - _at("tax_equity", i) - _at("principal", i) - _at("interest", i)),
-        "cf_operating": _each(lambda i: _at("revenue", i) - running(i) - _at("tax_equity", i)),
-        "cf_investing": _each(lambda i: ends(i) - _at("invested", i) - _at("equity_in", i) - started(i)),
-        "cf_financing": _each(lambda i: _at("debt_in", i) - _at("principal", i) - _at("interest", i)),
+    upkeep = (lambda y: F.coalesce(F.try_element_at(overhaul, y.cast("int")), F.lit(0.0))) if overhaul is not None else (lambda y: F.lit(0.0))
+    return _settled(df).withColumns({
+        "net_profit": _zipped(lambda p, t: p - t, "profit_equity", "tax_equity"),
+        "cf_total": _zipped(lambda r, e, v, s, c, y, t: r + e - v - s - c - upkeep(y) - t, "revenue", "recovered", "invested_own", "started", "running", "years", "tax_total"),
+        "cf_equity": _zipped(lambda r, e, d, q, s, c, t, p, i: r + e + d - q - s - c - t - p - i, "revenue", "recovered", "debt_in", "equity_in", "started", "running", "tax_equity", "principal", "interest"),
+        "cf_operating": _zipped(lambda r, c, t: r - c - t, "revenue", "running", "tax_equity"),
+        "cf_investing": _zipped(lambda e, v, q, s: e - v - q - s, "recovered", "invested", "equity_in", "started"),
+        "cf_financing": _zipped(lambda d, p, i: d - p - i, "debt_in", "principal", "interest"),
     })
-    return df
+
+
+def run(configs: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """Every statement of every project, as arrays by year, beside the parameters."""
+    return operate(schedule(configs, rules), rules)
 
 
 def balance(model: DataFrame, rules: Rules | None = None) -> DataFrame:

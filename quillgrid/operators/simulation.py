@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.operators import whatif
+from quillgrid.operators import model, whatif
 
 # Parameters that can't be negative.
 NON_NEGATIVE = ["grid_price", "pump_price", "capacity_price", "capacity_mw", "hours"]
@@ -51,8 +51,17 @@ class Distribution:
         raise ValueError(f"no distribution {self.kind}")
 
 
+def _after_schedule(configs: DataFrame, changed: set[str]) -> None:
+    if "loan" in configs.columns and changed & model.SCHEDULED:
+        raise ValueError(f"the schedule follows from {sorted(changed & model.SCHEDULED)}: change them before it")
+
+
 def draws(configs: DataFrame, distributions: list[Distribution], iterations: int) -> DataFrame:
-    """The configs once for each iteration with their parameters drawn; arrays by year (capex) are left as they are."""
+    """The configs once for each iteration with their parameters drawn; arrays by year (capex) are left as they are.
+
+    Configs may have their schedule already, unless a drawn parameter is one of those it follows from.
+    """
+    _after_schedule(configs, {d.param for d in distributions})
     kinds = dict(configs.dtypes)
     each = configs.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)).cast("array<bigint>")))
     drawn = {}
@@ -66,7 +75,8 @@ def draws(configs: DataFrame, distributions: list[Distribution], iterations: int
 
 
 def scenarios(configs: DataFrame, overrides: dict[str, dict[str, float]] = SCENARIOS) -> DataFrame:
-    """The configs once for each named scenario, with its parameters in place of their own."""
+    """The configs once for each named scenario, with its parameters in place of their own; they may have their schedule, as in ``draws``."""
+    _after_schedule(configs, {p for o in overrides.values() for p in o})
     each = configs.withColumn("run", F.explode(F.array(*map(F.lit, overrides))))
     changed = {}
     for param in sorted({p for o in overrides.values() for p in o}):

@@ -53,8 +53,8 @@ u as (select project // {RUNS} as project, 'npv_total' as metric, npv_total as v
 
 
 def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = simulation.draws(projects(spark, sf_dir), VARIED, RUNS)
-    return simulation.long_metrics(model.metrics(model.run(runs)), NPVS)
+    runs = simulation.draws(model.schedule(projects(spark, sf_dir)), VARIED, RUNS)
+    return simulation.long_metrics(model.metrics(model.operate(runs)), NPVS)
 
 
 @query(f"""with recursive {SIMULATED} select project, metric, count(*) as n, round(avg(value), 2) as mean, round(stddev_samp(value), 2) as std, round(min(value), 2) as least, round(max(value), 2) as most,
@@ -79,7 +79,7 @@ e as (select project, run, 'npv_total' as metric, npv_total as value from a unio
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulation.long_metrics(model.metrics(model.run(simulation.scenarios(projects(spark, sf_dir)))), [*NPVS, "margin"])
+    return simulation.long_metrics(model.metrics(model.operate(simulation.scenarios(model.schedule(projects(spark, sf_dir))))), [*NPVS, "margin"])
 
 
 @query(f"with recursive {NAMED} select project, run as scenario, metric, round(value, 3) as value from e")
