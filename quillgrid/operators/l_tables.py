@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillgrid.operators import graph, structure, tables
+from quillgrid.operators import graph, tables
 
 BLOCK = 4096  # rows of a block in scans
+STEP = 16  # rows of the lowest blocks in which places meet ranges, and the factor of each higher level
 LOOK = 50  # rows below an anchor's first that tell how far right its table goes
 GAP = 3  # so many empty rows end a table
 APART = 5  # so many empty columns are still inside a table
@@ -25,8 +26,9 @@ ANCHOR = ["sheet", "r1", "c1"]
 def nearest(rows: DataFrame, keys: list[str], at: str, value: Column, name: str, after: bool, block: int = BLOCK) -> DataFrame:
     """Each row with the first ``value`` that isn't null strictly after it (or before it) in the order of ``at``, as ``name``."""
     rows = rows.withColumns({"_v": value, "_b": F.floor(F.col(at) / block)})
-    way = (lambda c: F.asc(c)) if after else (lambda c: F.desc(c))
-    onward = lambda w: F.first("_v", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # against the way of the search: Spark carries a growing frame along, but walks a shrinking one again for every row
+    way = (lambda c: F.desc(c)) if after else (lambda c: F.asc(c))
+    onward = lambda w: F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     edge = (F.min_by if after else F.max_by)("_v", F.when(F.col("_v").isNotNull(), F.col(at)))
     blocks = rows.groupBy(*keys, "_b").agg(edge.alias("_v"))
     later = blocks.withColumn("_far", onward(Window.partitionBy(*keys).orderBy(way("_b")))).drop("_v")
@@ -71,26 +73,39 @@ def _extents(cells: DataFrame, merges: DataFrame, found: DataFrame, words: str)
     blocked = rows.withColumn("part", F.floor(F.col("row") / BLOCK))
     lanes = known.select(*LANE).distinct().join(blocked.select("sheet", "part").distinct(), "sheet")
     laned = blocked.join(lanes, ["sheet", "part"]).where(F.exists("cols", lambda c: (c >= F.col("c1")) & (c <= F.col("edge"))))
-    laned = laned.select(*LANE, "row", "header", "note", (F.array_max("cols") <= F.col("c1") + 3).alias("narrow"))
-    held = structure.in_ranges(laned.where("narrow").select("sheet", "row", F.col("c1").alias("col")).distinct(), merges)
+    # each step below reads the one before it twice, so that without cuts the lanes' rows would be made anew many times
+    laned = graph.cut(laned.select(*LANE, "row", "header", "note", (F.array_max("cols") <= F.col("c1") + 3).alias("narrow")))
+    held = _near(laned.where("narrow").select("sheet", "row", F.col("c1").alias("col")).distinct(), merges, "r1", "r2").where("row between r1 and r2 and col between c1 and c2")
     held = held.select("sheet", "row", F.col("col").alias("c1")).distinct().withColumn("held", F.lit(True))
-    laned = laned.join(held, ["sheet", "row", "c1"], "left").select(*LANE, "row", (F.col("header") | F.col("note") | (F.col("narrow") & F.col("held").isNotNull())).alias("fresh"))
-    laned = nearest(laned, LANE, "row", F.col("row"), "prev", after=False)
+    laned = graph.cut(laned.join(held, ["sheet", "row", "c1"], "left").select(*LANE, "row", (F.col("header") | F.col("note") | (F.col("narrow") & F.col("held").isNotNull())).alias("fresh")))
+    laned = graph.cut(nearest(laned, LANE, "row", F.col("row"), "prev", after=False))
     empty = F.col("row") - F.col("prev") - 1
     ends = nearest(laned, LANE, "row", F.when((empty >= GAP) | ((empty > 0) & F.col("fresh")), F.struct("prev")), "stop", after=True)
     ends = ends.join(laned.groupBy(*LANE).agg(F.max("row").alias("last")), LANE)
     step = F.struct("row", "fresh", F.coalesce("stop.prev", "last").alias("end"))
-    both = ends.select(*LANE, (2 * F.col("row")).alias("at"), step.alias("step")).unionByName(known.select(*LANE, (2 * F.col("r2") + 1).alias("at")).distinct(), allowMissingColumns=True)
+    both = graph.cut(ends.select(*LANE, (2 * F.col("row")).alias("at"), step.alias("step"))).unionByName(known.select(*LANE, (2 * F.col("r2") + 1).alias("at")).distinct(), allowMissingColumns=True)
     after = nearest(both, LANE, "at", F.col("step"), "next", after=True, block=2 * BLOCK).where("at % 2 <> 0").select(*LANE, ((F.col("at") - 1) / 2).cast("int").alias("r2"), "next")
     empty = F.col("next.row") - F.col("r2") - 1
     goes_on = (empty < GAP) & ((empty == 0) | ~F.col("next.fresh"))
     return known.join(after, [*LANE, "r2"]).select(*ANCHOR, "r2", "c2", "edge", "top", F.when(F.coalesce(goes_on, F.lit(False)), F.col("next.end")).otherwise(F.col("r2")).alias("bottom"))
 
 
+def _near(places: DataFrame, ranges: DataFrame, top: str, bottom: str) -> DataFrame:
+    """Places with the ranges of their sheet that meet their block of rows. Short ranges are met by low blocks, tall ones by high ones.
+
+    A range lies in 17 blocks of its level at most, up to the highest level, so it meets few places outside it and is copied little.
+    """
+    height = F.col(bottom) - F.col(top) + 1
+    level = F.when(height <= STEP**2, 1).when(height <= STEP**3, 2).otherwise(3)
+    block = lambda row: F.floor(F.col(row) / F.pow(F.lit(STEP), F.col("level")))
+    blocks = ranges.withColumn("level", level).withColumn("block", F.explode(F.sequence(block(top), block(bottom))))
+    placed = places.withColumn("level", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("block", block("row"))
+    return placed.join(blocks, ["sheet", "level", "block"]).drop("level", "block")
+
+
 def _covered(at: DataFrame, by: DataFrame) -> DataFrame:
     """Places with the tables that would take them. at: sheet, row, col, before; by: extents."""
-    parts = F.explode(F.sequence(F.floor(F.col("top") / structure.BLOCK), F.floor(F.col("bottom") / structure.BLOCK)))
-    near = at.withColumn("part", F.floor(F.col("row") / structure.BLOCK)).join(by.withColumn("part", parts), ["sheet", "part"]).drop("part")
+    near = _near(at, by, "top", "bottom")
     return near.where("row between top and bottom and col between c1 and edge and coalesce(before, 0) < c1")
 
 

@@ -55,3 +55,21 @@ def test_planted_tables(spark):
 def test_no_cells_and_no_merges(spark):
     assert _found(spark, [], [("a", 1, 1, 3, 1)]) == {}
     assert _found(spark, [("a", 1, 1, "x", None)], []) == {}
+
+
+def test_nearest_value_is_found_by_a_growing_frame(spark):
+    """A frame that shrinks to the end is walked again for every row."""
+    rows = spark.createDataFrame([(k, at, v) for k in "ab" for at, v in ((1, None), (3, 7), (4, None), (9, 8), (12, None))], "k string, at int, v int")
+    for after in (True, False):
+        out = l_tables.nearest(rows, ["k"], "at", F.col("v"), "found", after=after, block=4)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString()
+        want = {1: 7, 3: 8, 4: 8, 9: None, 12: None} if after else {1: None, 3: None, 4: 7, 9: 7, 12: 8}
+        assert {(r["k"], r["at"]): r["found"] for r in out.collect()} == {(k, at): v for k in "ab" for at, v in want.items()}
+
+
+def test_places_meet_ranges_of_every_height(spark):
+    ranges = spark.createDataFrame([(1, 5, 5), (1, -3, 40), (1, 10, 900), (1, 0, 70000), (2, 5, 5)], "sheet int, r1 int, r2 int")
+    places = spark.createDataFrame([(1, r) for r in (-3, 5, 6, 40, 41, 900, 69999)], "sheet int, row int")
+    got = l_tables._near(places, ranges, "r1", "r2").where("row between r1 and r2").select("row", "r1", "r2").collect()
+    want = [(r.row, s.r1, s.r2) for r in places.collect() for s in ranges.collect() if s.sheet == 1 and s.r1 <= r.row <= s.r2]
+    assert sorted(map(tuple, got)) == sorted(want)
