@@ -94,6 +94,8 @@ v as (select project, i as iteration, greatest(-0.5, first(base) + sum(change *
 def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as projects; their parameters are their return flags, with an elasticity by the flag's share of the revenue."""
     f = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("project"), F.ascii("l_returnflag").cast("long").alias("param_id")).agg(F.sum("l_extendedprice").alias("t"))
+    # a project is a small row and much work, so rows are dealt by number and not by size
+    f = f.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "project")
     own = Window.partitionBy("project")
     slope = F.round(0.05 + (F.col("param_id") - 65) / 1000.0, 6) * 4 * F.round(F.col("t") / F.sum("t").over(own), 6) - 0.1
     return whatif.linear_simulation(f.select("project", "param_id", slope.alias("elasticity"), F.round(0.04 + 0.01 * F.count("*").over(own), 6).alias("base")), N, ["project"])

@@ -34,3 +34,13 @@ def test_no_type_of_events_is_ranked_in_one_task(spark):
 def test_shortest_path_is_the_first_as_text(spark):
     edges = spark.createDataFrame([("c1", "s1"), ("c1", "s10"), ("s1", "x"), ("s10", "x"), ("x", "y")], "src string, dst string")
     assert [tuple(r) for r in graph.shortest_path(edges, "c1", "y").collect()] == [(3, ["c1", "s10", "x", "y"])]
+
+
+def test_simulated_projects_are_dealt_by_number(spark):
+    """They are small rows and much work; joined by size they would be few tasks."""
+    for name in ("mc_fast_stats", "mc_percentiles", "mc_confidence", "mc_prob_above"):
+        assert "REPARTITION_BY_NUM" in _plan(QUERIES[name](spark, SF))
+
+
+def test_the_best_items_are_found_without_a_broadcast(spark):
+    assert "Broadcast" not in _plan(QUERIES["retrieval_topk"](spark, SF))
