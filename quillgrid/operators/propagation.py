@@ -17,7 +17,7 @@ def propagation(edges: DataFrame, roots: DataFrame, changed: DataFrame, owner: D
     has cells enough is not followed further, and a level keeps of each root only the first that the view can hold. Cycles
     end where they meet a cell that is known. The root stands whether or not it has edges; null ids take no part.
     """
-    steps = edges.select(F.col("dependent").alias("next"), F.col("precedent").alias("id")).dropna().distinct()
+    steps = edges.select(F.col("dependent").alias("next"), F.col("precedent").alias("id")).dropna()  # what is doubled ends with what a round finds
     start = roots.select(F.col("id").alias("root"), "id").dropna().distinct()
     order = Window.partitionBy("root").orderBy("id")
     seen = frontier = cut(start.withColumn("depth", F.lit(0)))
@@ -42,5 +42,5 @@ def propagation(edges: DataFrame, roots: DataFrame, changed: DataFrame, owner: D
 def links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, dependent, precedent): the edges between the cells of each view. nodes: what ``propagation`` returns."""
     cells = nodes.where("kind <> 'item'").select("root", "id")
-    first = cells.join(edges.select("dependent", F.col("precedent").alias("id")).distinct(), "id").withColumnRenamed("id", "precedent")
-    return first.join(cells.withColumnRenamed("id", "dependent"), ["root", "dependent"]).select("root", "dependent", "precedent")
+    first = cells.join(edges.select("dependent", F.col("precedent").alias("id")), "id").withColumnRenamed("id", "precedent")
+    return first.join(cells.withColumnRenamed("id", "dependent"), ["root", "dependent"]).select("root", "dependent", "precedent").distinct()

@@ -23,3 +23,11 @@ def test_views(spark):
     assert not any(r.truncated for r in exact.collect())
     assert _rows(propagation(edges, ids("a"), ids(), owner, max_depth=1).where("kind <> 'item'").select("id")) == [("a",), ("b",)]
     assert _rows(propagation(edges.limit(0), ids(), ids(), owner)) == []
+
+
+def test_doubled_edges_are_not_sought_among_all_edges(spark):
+    """What is found is made distinct, not the edges, which are many more."""
+    nodes = spark.createDataFrame([("a", "a", "root"), ("a", "b", "downstream")], "root string, id string, kind string")
+    out = links(nodes, spark.createDataFrame([("b", "a"), ("b", "a"), ("c", "b")], "dependent string, precedent string"))
+    assert _rows(out) == [("a", "b", "a")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
