@@ -14,24 +14,22 @@ query = registry.query
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, l_orderkey, ...): one row a line, of repeated ones the least."""
+    """(k, l_orderkey, ...): one row a line, of repeated ones the least; dealt by order."""
     names = ["l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min(F.struct(*names)).alias("m"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *names).repartition("l_orderkey")
+    li = li.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min(F.struct(*names)).alias("m"))
     return li.select(F.concat("l_orderkey", F.lit("_"), "l_linenumber", F.lit("_"), "l_partkey").alias("k"), "l_orderkey", "m.*")
 
 
 def order_cells(li: DataFrame) -> DataFrame:
-    null = F.lit(None).cast("string")
-    consts = [li.select(F.concat(F.lit(p), "k").alias("id"), F.col(c).alias("num"), null.alias("formula")) for p, c in (("p", "l_extendedprice"), ("d", "l_discount"), ("t", "l_tax"))]
-    line = F.concat(F.lit("=p"), "k", F.lit("*(1-d"), "k", F.lit(")*(1+t"), "k", F.lit(")"))
-    value = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
-    lines = li.select(F.concat(F.lit("v"), "k").alias("id"), value.alias("num"), line.alias("formula"))
-    orders = li.groupBy("l_orderkey").agg(F.sum(value).alias("num"), F.concat(F.lit("=SUM("), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("v"), "k"))), ","), F.lit(")")).alias("formula"))
-    orders = orders.select(F.concat(F.lit("o"), "l_orderkey").alias("id"), "num", "formula")
-    out = consts[0]
-    for df in [*consts[1:], lines, orders]:
-        out = out.unionByName(df)
-    return out
+    """Prices, discounts, taxes and values of lines, made from one row each, and the orders' sums."""
+    cell = lambda name, num, formula=F.lit(None).cast("string"): F.struct(name.alias("id"), num.alias("num"), formula.alias("formula"))
+    k, value = F.col("k"), F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    line = F.concat(F.lit("=p"), k, F.lit("*(1-d"), k, F.lit(")*(1+t"), k, F.lit(")"))
+    consts = [cell(F.concat(F.lit(p), k), F.col(c)) for p, c in (("p", "l_extendedprice"), ("d", "l_discount"), ("t", "l_tax"))]
+    lines = li.select(F.inline(F.array(*consts, cell(F.concat(F.lit("v"), k), value, line))))
+    orders = li.groupBy("l_orderkey").agg(F.sum(value).alias("num"), F.concat(F.lit("=SUM("), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("v"), k))), ","), F.lit(")")).alias("formula"))
+    return lines.unionByName(orders.select(F.concat(F.lit("o"), "l_orderkey").alias("id"), "num", "formula"))
 
 
 @query("""with li as (select distinct on (l_orderkey, l_linenumber, l_partkey) * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount, l_tax, l_returnflag),
