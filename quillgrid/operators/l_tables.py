@@ -1,8 +1,9 @@
 """L-shaped tables: a tall merged cell at the left ties the rows beside and below it to one table.
 
 Everything but the choice between anchors is found for all anchors at once. Rows are scanned by lane, which is a sheet, the
-anchor's column and the rightmost column in use near it; anchors of a lane share the scan. Scans go by blocks of rows, and only
-one row a block meets the other blocks, so that a tall sheet is no single task.
+anchor's column and the rightmost column in use near it; anchors of a lane share the scan. No table goes on over as many empty rows
+of its whole sheet as end one, so a lane is scanned only in the parts between such gaps in which an anchor of its own goes on. Scans
+go by blocks of rows, and only one row a block meets the other blocks, so that a tall sheet is no single task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from quillgrid.operators import graph, tables
 
 BLOCK = 4096  # rows of a block in scans
 STEP = 16  # rows of the lowest blocks in which places meet ranges, and the factor of each higher level
+NEAR = 64  # rows of a block in which anchors meet the rows they look at
 LOOK = 50  # rows below an anchor's first that tell how far right its table goes
 GAP = 3  # so many empty rows end a table
 APART = 5  # so many empty columns are still inside a table
@@ -47,7 +49,8 @@ def filled(cells: DataFrame) -> DataFrame:
 
     before is the last column of the part of the row that ends more than ``APART`` empty columns to the left; null if none does.
     """
-    one = cells.groupBy("sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).agg(F.min(F.when(F.trim("text") != "", F.col("text"))).alias("text"), F.min("num").alias("num"))
+    cells = cells.select("sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "text", "num").repartition("sheet", "row")  # once for all below
+    one = cells.groupBy("sheet", "row", "col").agg(F.min(F.when(F.trim("text") != "", F.col("text"))).alias("text"), F.min("num").alias("num"))
     one = one.where("text is not null or num is not null").withColumn("num", F.when(F.col("text").isNull(), F.col("num")))
     across = Window.partitionBy("sheet", "row").orderBy("col")
     gone = F.lag("col").over(across)
@@ -61,33 +64,52 @@ def _extents(cells: DataFrame, merges: DataFrame, found: DataFrame, words: str)
         F.sort_array(F.collect_list("col")).alias("cols"), F.count("*").alias("n"), F.count("text").alias("texts"),
         F.count(F.when(text & F.col("text").rlike(words), 1)).alias("words"), F.count(F.when(text & ~F.trim("text").rlike("^[0-9]+$"), 1)).alias("notes"),
     )
-    rows = graph.cut(rows.select("sheet", "row", "cols", ((F.col("texts") == F.col("n")) & (F.col("texts") > 1) & (F.col("words") > 1)).alias("header"), ((F.col("n") == 1) & (F.col("notes") == 1)).alias("note")))
-    around = found.withColumn("row", F.explode(F.sequence(F.col("r1") - 1, F.col("r1") + LOOK))).join(rows, ["sheet", "row"], "left")
-    own = F.col("row") >= F.col("r1")
-    over = F.max(F.when(~own, F.col("cols")))
-    known = around.groupBy(*ANCHOR, "r2", "c2").agg(F.max(F.when(own, F.array_max("cols"))).alias("far"), over.alias("over"))
+    rows = rows.select("sheet", "row", "cols", ((F.col("texts") == F.col("n")) & (F.col("texts") > 1) & (F.col("words") > 1)).alias("header"), ((F.col("n") == 1) & (F.col("notes") == 1)).alias("note"))
+    rows = graph.cut(_parts(rows))
+    r1, r2 = F.col("r1"), F.col("r2")
+    block = lambda row: F.floor(row / NEAR)
+    near = rows.groupBy("sheet", block(F.col("row")).alias("block")).agg(F.collect_list(F.struct("row", "start", "cols")).alias("near"))
+    blocks = F.array_union(F.sequence(block(r1 - 1), block(r1 + LOOK)), F.sequence(block(r2 + 1), block(r2 + GAP)))
+    of = lambda low, high, what: F.transform(F.filter("near", lambda x: (x["row"] >= low) & (x["row"] <= high)), what)
+    far, over = F.array_max(of(r1, r1 + LOOK, lambda x: F.array_max(x["cols"]))), F.get(of(r1 - 1, r1 - 1, lambda x: x["cols"]), F.lit(0))
+    start = F.array_min(of(r2 + 1, r2 + GAP, lambda x: x["start"]))
+    known = found.withColumn("block", F.explode(blocks)).join(near, ["sheet", "block"]).groupBy(*ANCHOR, "r2", "c2").agg(F.max(far).alias("far"), F.max(over).alias("over"), F.min(start).alias("start"))
     known = known.withColumn("edge", F.greatest("c2", "far"))
     tied = (F.array_min("over") - F.col("c1") <= ABOVE) & F.exists("over", lambda c: (c >= F.col("c1")) & (c <= F.col("edge")))
-    known = graph.cut(known.select(*ANCHOR, "r2", "c2", "edge", (F.col("r1") - F.coalesce(tied, F.lit(False)).cast("int")).alias("top")))
+    known = graph.cut(known.select(*ANCHOR, "r2", "c2", "edge", (F.col("r1") - F.coalesce(tied, F.lit(False)).cast("int")).alias("top"), "start"))
 
+    scan = [*LANE, "start"]
     blocked = rows.withColumn("part", F.floor(F.col("row") / BLOCK))
-    lanes = known.select(*LANE).distinct().join(blocked.select("sheet", "part").distinct(), "sheet")
-    laned = blocked.join(lanes, ["sheet", "part"]).where(F.exists("cols", lambda c: (c >= F.col("c1")) & (c <= F.col("edge"))))
+    lanes = known.groupBy(*scan).agg(F.min("r2").alias("from")).join(blocked.select("sheet", "start", "part").distinct(), ["sheet", "start"])
+    laned = blocked.join(lanes, ["sheet", "start", "part"]).where(F.col("row") > F.col("from")).where(F.exists("cols", lambda c: (c >= F.col("c1")) & (c <= F.col("edge"))))
     # each step below reads the one before it twice, so that without cuts the lanes' rows would be made anew many times
-    laned = graph.cut(laned.select(*LANE, "row", "header", "note", (F.array_max("cols") <= F.col("c1") + 3).alias("narrow")))
+    laned = graph.cut(laned.select(*scan, "row", "header", "note", (F.array_max("cols") <= F.col("c1") + 3).alias("narrow")))
     held = _near(laned.where("narrow").select("sheet", "row", F.col("c1").alias("col")).distinct(), merges, "r1", "r2").where("row between r1 and r2 and col between c1 and c2")
     held = held.select("sheet", "row", F.col("col").alias("c1")).distinct().withColumn("held", F.lit(True))
-    laned = graph.cut(laned.join(held, ["sheet", "row", "c1"], "left").select(*LANE, "row", (F.col("header") | F.col("note") | (F.col("narrow") & F.col("held").isNotNull())).alias("fresh")))
-    laned = graph.cut(nearest(laned, LANE, "row", F.col("row"), "prev", after=False))
+    laned = graph.cut(laned.join(held, ["sheet", "row", "c1"], "left").select(*scan, "row", (F.col("header") | F.col("note") | (F.col("narrow") & F.col("held").isNotNull())).alias("fresh")))
+    laned = graph.cut(nearest(laned, scan, "row", F.col("row"), "prev", after=False))
     empty = F.col("row") - F.col("prev") - 1
-    ends = nearest(laned, LANE, "row", F.when((empty >= GAP) | ((empty > 0) & F.col("fresh")), F.struct("prev")), "stop", after=True)
-    ends = ends.join(laned.groupBy(*LANE).agg(F.max("row").alias("last")), LANE)
+    ends = nearest(laned, scan, "row", F.when((empty >= GAP) | ((empty > 0) & F.col("fresh")), F.struct("prev")), "stop", after=True)
+    ends = ends.join(laned.groupBy(*scan).agg(F.max("row").alias("last")), scan)
     step = F.struct("row", "fresh", F.coalesce("stop.prev", "last").alias("end"))
-    both = graph.cut(ends.select(*LANE, (2 * F.col("row")).alias("at"), step.alias("step"))).unionByName(known.select(*LANE, (2 * F.col("r2") + 1).alias("at")).distinct(), allowMissingColumns=True)
-    after = nearest(both, LANE, "at", F.col("step"), "next", after=True, block=2 * BLOCK).where("at % 2 <> 0").select(*LANE, ((F.col("at") - 1) / 2).cast("int").alias("r2"), "next")
+    both = graph.cut(ends.select(*scan, (2 * F.col("row")).alias("at"), step.alias("step"))).unionByName(known.where("start is not null").select(*scan, (2 * F.col("r2") + 1).alias("at")).distinct(), allowMissingColumns=True)
+    after = nearest(both, scan, "at", F.col("step"), "next", after=True, block=2 * BLOCK).where("at % 2 <> 0").select(*scan, ((F.col("at") - 1) / 2).cast("int").alias("r2"), "next")
     empty = F.col("next.row") - F.col("r2") - 1
     goes_on = (empty < GAP) & ((empty == 0) | ~F.col("next.fresh"))
-    return known.join(after, [*LANE, "r2"]).select(*ANCHOR, "r2", "c2", "edge", "top", F.when(F.coalesce(goes_on, F.lit(False)), F.col("next.end")).otherwise(F.col("r2")).alias("bottom"))
+    return known.join(after, [*scan, "r2"], "left").select(*ANCHOR, "r2", "c2", "edge", "top", F.when(F.coalesce(goes_on, F.lit(False)), F.col("next.end")).otherwise(F.col("r2")).alias("bottom"))
+
+
+def _parts(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows of sheets with ``start``, the first row of their part of the sheet; between two parts lie ``GAP`` empty rows or more."""
+    within, blockwise = Window.partitionBy("sheet", "_b").orderBy("row"), Window.partitionBy("sheet").orderBy("_b")
+    rows = rows.withColumn("_b", F.floor(F.col("row") / block)).withColumn("_first", F.when(F.col("row") - F.lag("row").over(within) > GAP, F.col("row")))
+    rows = graph.cut(rows.withColumn("_own", F.last("_first", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))).drop("_first"))
+    blocks = rows.groupBy("sheet", "_b").agg(F.min("row").alias("a"), F.max("row").alias("z"), F.max("_own").alias("own"))
+    gone = F.lag("z").over(blockwise)
+    blocks = blocks.withColumn("head", F.when(gone.isNull() | (F.col("a") - gone > GAP), F.col("a")))
+    before = F.last(F.coalesce("own", "head"), ignorenulls=True).over(blockwise.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("sheet", "_b", F.coalesce("head", before).alias("_lead"))
+    return rows.join(blocks, ["sheet", "_b"]).withColumn("start", F.coalesce("_own", "_lead")).drop("_b", "_own", "_lead")
 
 
 def _near(places: DataFrame, ranges: DataFrame, top: str, bottom: str) -> DataFrame:

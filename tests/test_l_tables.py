@@ -73,3 +73,25 @@ def test_places_meet_ranges_of_every_height(spark):
     got = l_tables._near(places, ranges, "r1", "r2").where("row between r1 and r2").select("row", "r1", "r2").collect()
     want = [(r.row, s.r1, s.r2) for r in places.collect() for s in ranges.collect() if s.sheet == 1 and s.r1 <= r.row <= s.r2]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_parts_of_a_sheet_are_apart_by_empty_rows(spark):
+    rng = random.Random(3)
+    rows = [(s, r) for s in "ab" for r in sorted(rng.sample(range(-20, 180), 60))] + [("c", r) for r in range(30)]
+    got = {(r.sheet, r.row): r.start for r in l_tables._parts(spark.createDataFrame(rows, "sheet string, row int"), block=8).collect()}
+    start, was = None, (None, None)
+    for s, r in rows:
+        start = r if was[0] != s or r - was[1] - 1 >= l_tables.GAP else start
+        was = (s, r)
+        assert got[s, r] == start
+    assert len(got) == len(rows)
+
+
+def test_lanes_are_scanned_only_where_an_anchor_goes_on(spark, monkeypatch):
+    """Of a sheet of 400 rows in parts of four, two anchors' parts are scanned; without parts each lane took all rows."""
+    cells = [("a", r, c, None, 1.0) for r in range(400) if r % 8 < 4 for c in (2, 3)] + [("a", 80, 1, "One", None), ("a", 240, 1, "Two", None), ("a", 240, 9, None, 2.0)]
+    scanned, plain = [], l_tables.nearest
+    monkeypatch.setattr(l_tables, "nearest", lambda rows, *a, **kw: scanned.append(rows.count()) or plain(rows, *a, **kw))
+    got = _found(spark, cells, [("a", 80, 1, 82, 1), ("a", 240, 1, 242, 1)])
+    assert got == {("a", 80, 1): ("One", 80, 83, 1, 3, 9), ("a", 240, 1): ("Two", 240, 243, 1, 9, 10)}
+    assert scanned and max(scanned) <= 4
