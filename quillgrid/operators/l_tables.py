@@ -68,14 +68,18 @@ def _extents(cells: DataFrame, merges: DataFrame, found: DataFrame, words: str)
     rows = graph.cut(_parts(rows))
     r1, r2 = F.col("r1"), F.col("r2")
     block = lambda row: F.floor(row / NEAR)
-    near = rows.groupBy("sheet", block(F.col("row")).alias("block")).agg(F.collect_list(F.struct("row", "start", "cols")).alias("near"))
+    looked = F.struct("row", "start", "cols", F.array_max("cols").alias("last"))
+    near = rows.groupBy("sheet", block(F.col("row")).alias("block")).agg(F.collect_list(looked).alias("near"))
     blocks = F.array_union(F.sequence(block(r1 - 1), block(r1 + LOOK)), F.sequence(block(r2 + 1), block(r2 + GAP)))
     of = lambda low, high, what: F.transform(F.filter("near", lambda x: (x["row"] >= low) & (x["row"] <= high)), what)
-    far, over = F.array_max(of(r1, r1 + LOOK, lambda x: F.array_max(x["cols"]))), F.get(of(r1 - 1, r1 - 1, lambda x: x["cols"]), F.lit(0))
-    start = F.array_min(of(r2 + 1, r2 + GAP, lambda x: x["start"]))
-    known = found.withColumn("block", F.explode(blocks)).join(near, ["sheet", "block"]).groupBy(*ANCHOR, "r2", "c2").agg(F.max(far).alias("far"), F.max(over).alias("over"), F.min(start).alias("start"))
+    far, start = F.array_max(of(r1, r1 + LOOK, lambda x: x["last"])), F.array_min(of(r2 + 1, r2 + GAP, lambda x: x["start"]))
+    over = F.get(of(r1 - 1, r1 - 1, lambda x: x["cols"]), F.lit(0))
+    # of the row above: its first column, and its first that isn't left of the anchor; numbers, as arrays are aggregated by sorting
+    met = found.withColumn("block", F.explode(blocks)).join(near, ["sheet", "block"]).select(*ANCHOR, "r2", "c2", far.alias("far"), over.alias("over"), start.alias("start"))
+    onward = F.array_min(F.filter("over", lambda c: c >= F.col("c1")))
+    known = met.groupBy(*ANCHOR, "r2", "c2").agg(F.max("far").alias("far"), F.max(F.array_min("over")).alias("over"), F.max(onward).alias("onward"), F.min("start").alias("start"))
     known = known.withColumn("edge", F.greatest("c2", "far"))
-    tied = (F.array_min("over") - F.col("c1") <= ABOVE) & F.exists("over", lambda c: (c >= F.col("c1")) & (c <= F.col("edge")))
+    tied = (F.col("over") - F.col("c1") <= ABOVE) & (F.col("onward") <= F.col("edge"))
     known = graph.cut(known.select(*ANCHOR, "r2", "c2", "edge", (F.col("r1") - F.coalesce(tied, F.lit(False)).cast("int")).alias("top"), "start"))
 
     scan = [*LANE, "start"]
